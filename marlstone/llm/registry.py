@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, packing
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (exact_dedup.op10_exact_dedup,)}
+    return {f.__name__: f for f in (packing.op9_packing, exact_dedup.op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
