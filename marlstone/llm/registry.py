@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, records
+from . import exact_dedup, packing, quality, records
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (records.op3_token_records, packing.op9_packing, exact_dedup.op10_exact_dedup)}
+    return {f.__name__: f for f in (records.op3_token_records, quality.op6_quality, packing.op9_packing, exact_dedup.op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
