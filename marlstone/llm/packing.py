@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from . import wordtok
 
-CAPACITY, MAX_PIECE, GROUP_WINDOWS, END_ID = 2048, 256, 256, 1
+CAPACITY, MAX_PIECE, GROUP_WINDOWS, END_ID = 2048, 256, 64, 1
 #: A group is closed at this share of its windows' capacity: differencing leaves the fullest window about so much above the mean.
-FILL = 0.995
+FILL = 0.993
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 

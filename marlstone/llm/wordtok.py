@@ -1,8 +1,8 @@
 """Whole-text encoding with a public tokenizer file, with a cache of words where that gives the same ids.
 
 The word BPE's pre-tokenizer cuts a text into words that are encoded one by one. For texts made only of plain
-Latin characters, where its normalisation is lower-casing alone, the words are cut here and each distinct
-word is encoded by the library once. Any other text goes to the library whole.
+Latin characters, where its normalisation is lower-casing alone, texts are split at white space here and each
+distinct word is encoded by the library's model once. Any other text goes to the library whole.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,8 +20,17 @@ _OTHER = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-\\xa9\\xab\\xac\\xae-\\xb1\\xb4
 #: The pre-tokenizer's pattern, for those characters. Fixed by the tokenizer file.
 _WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 _PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-#: Words kept in the cache at most, and words encoded by one call of the library.
-CACHE_WORDS, CALL_WORDS = 400_000, 256
+#: Strings, and words of strings, kept in the caches at about most.
+CACHE_WORDS = 200_000
+
+
+def _byte_characters() -> dict[int, str]:
+    """How the byte-level step writes bytes as characters: printable Latin-1 ones as themselves, others from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(0x100 + k) for k, b in enumerate(sorted(set(range(256)) - set(own)))}
+
+
+_BYTE_CHARACTERS = _byte_characters()
 
 _loaded: dict[str, "WordTokenizer"] = {}
 
@@ -47,38 +57,42 @@ class WordTokenizer:
         end = spec["model"].get("end_of_word_suffix")
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         self._by_word = bool(end) and steps[0].get("pattern", {}).get("Regex") == _PATTERN
-        self._ends = np.zeros(self.ids, bool)
-        if end:
-            self._ends[[i for word, i in vocab.items() if word.endswith(end)]] = True
         added = [t["content"] for t in spec["added_tokens"]]
         self._special = re.compile("|".join(map(re.escape, added))) if added else None
         self._cache: dict[str, bytes] = {}
+        self._words: dict[str, bytes] = {}
         self._most = cache_words
 
-    def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), CALL_WORDS):
-            part = words[at : at + CALL_WORDS]
-            ids = np.array(self._library.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self._ends[ids]) + 1
-            if len(ends) != len(part):  # a word was cut in a way that its tokens don't show
-                for word in part:
-                    self._cache[word] = np.array(self._library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-                continue
-            raw, begin = ids.tobytes(), 0
-            for word, stop in zip(part, (ends * 4).tolist()):
-                self._cache[word] = raw[begin:stop]
-                begin = stop
+    def _learn(self, strings: list[str]) -> None:
+        """Ids of strings without white space, from those of their words."""
+        words, tokenize, known = self._words, self._library.model.tokenize, self._cache
+        for x in strings:
+            if x.isalpha():
+                parts = (x,)
+            elif x[:-1].isalpha():  # letters, then one mark or digit: two words whatever they are
+                parts = (x[:-1], x[-1])
+            else:
+                parts = _WORDS.findall(x)
+            out = b""
+            for w in parts:
+                ids = words.get(w)
+                if ids is None:
+                    mapped = w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+                    ids = words[w] = array("I", [t.id for t in tokenize(mapped)]).tobytes()
+                out += ids
+            known[x] = out
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
         texts = list(texts)
         plain = [self._by_word and not _OTHER.search(t) and not (self._special and self._special.search(t)) for t in texts]
-        cut = [_WORDS.findall(t.lower()) if p else None for t, p in zip(texts, plain)]
-        if len(self._cache) > self._most:
-            self._cache.clear()
-        cache = self._cache
-        self._learn(list({w for words in cut if words for w in words if w not in cache}))
-        return [b"".join([cache[w] for w in words]) if words is not None else np.array(self._library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, words in zip(texts, cut)]
+        cut = [t.lower().split() if p else None for t, p in zip(texts, plain)]
+        for held in (self._cache, self._words):
+            if len(held) > self._most:
+                held.clear()
+        self._learn(list({x for found in cut if found for x in set(found)}.difference(self._cache)))
+        known = self._cache.__getitem__
+        return [b"".join(map(known, found)) if found is not None else np.array(self._library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, found in zip(texts, cut)]
 
 
 def batches(texts: Iterable[str | None], most_chars: int = 2_000_000) -> Iterator[list[str]]:
