@@ -23,6 +23,8 @@ from .storage import checkpointed
 _RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 #: Bits of filter for each row, and the most bits there may be (64 to a broadcast row, so at most 2**20 rows).
 BITS_PER_ROW, MAX_BITS = 64, 1 << 26
+#: Groups of copies with more than one in so many of all rows are joined by broadcast.
+HOT_SHARE = 1000
 
 
 def normalised(text: Column) -> Column:
@@ -66,9 +68,11 @@ def copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     alone = probed.filter(~F.col("maybe_copy")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     maybe = probed.filter("maybe_copy")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first")
-    groups = maybe.groupBy("text_sha256").agg(first, F.count(F.lit(1)).alias("group_size"))
-    # the hot side may be split by the adaptive planner: a group's single row meets each of its parts
-    held = maybe.join(groups, "text_sha256").select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("__row") == F.col("first.__row")).alias("kept"), "text_sha256")
+    groups = checkpointed(maybe.groupBy("text_sha256").agg(first, F.count(F.lit(1)).alias("group_size")))
+    # a group of at least a HOT_SHARE-th of the rows is hot: there are at most HOT_SHARE of them, which are broadcast
+    hot = groups.filter(F.col("group_size") >= max(2, narrow.count() // HOT_SHARE + 1))
+    found = [maybe.join(F.broadcast(hot), "text_sha256"), maybe.join(F.broadcast(hot), "text_sha256", "left_anti").join(groups, "text_sha256")]
+    held = found[0].unionByName(found[1]).select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("__row") == F.col("first.__row")).alias("kept"), "text_sha256")
     return alone.unionByName(held)
 
 
