@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup, packing, quality, records
+from . import exact_dedup, near_dedup, packing, quality, records, substrings
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (records.op3_token_records, quality.op6_quality, near_dedup.op8_near_dedup, packing.op9_packing, exact_dedup.op10_exact_dedup)}
+    return {f.__name__: f for f in (records.op3_token_records, substrings.op5_substring_dedup, quality.op6_quality, near_dedup.op8_near_dedup, packing.op9_packing, exact_dedup.op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_near_dedup": near_dedup.ORACLE_SQL, "op10_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op5_substring_dedup": substrings.ORACLE_SQL, "op8_near_dedup": near_dedup.ORACLE_SQL, "op10_exact_dedup": exact_dedup.ORACLE_SQL}
