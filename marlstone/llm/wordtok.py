@@ -20,8 +20,8 @@ _OTHER = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-\\xa9\\xab\\xac\\xae-\\xb1\\xb4
 #: The pre-tokenizer's pattern, for those characters. Fixed by the tokenizer file.
 _WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 _PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-#: Strings, and words of strings, kept in the caches at about most.
-CACHE_WORDS = 200_000
+#: Strings, and words of strings, in one generation of the caches at about most.
+CACHE_WORDS = 250_000
 
 
 def _byte_characters() -> dict[int, str]:
@@ -32,6 +32,52 @@ def _byte_characters() -> dict[int, str]:
 
 _BYTE_CHARACTERS = _byte_characters()
 
+class _Known(dict):
+    """Ids of strings without white space; one that is missing is cut into words, which have a cache of their own.
+
+    Both are held in two generations: what an older one has moves on when it is asked for, the rest ages out.
+    """
+
+    def __init__(self, tokenize):
+        super().__init__()
+        self._older: dict[str, bytes] = {}
+        self._words: dict[str, bytes] = {}
+        self._older_words: dict[str, bytes] = {}
+        self._tokenize = tokenize
+
+    def age(self, most: int) -> None:
+        if len(self) > most:
+            self._older = dict(self)
+            self.clear()
+        if len(self._words) > most:
+            self._older_words, self._words = self._words, {}
+
+    def __missing__(self, x: str) -> bytes:
+        out = self._older.get(x)
+        if out is not None:
+            self[x] = out
+            return out
+        words = self._words
+        if x.isalpha():
+            parts = (x,)
+        elif x[:-1].isalpha():  # letters, then one mark or digit: two words whatever they are
+            parts = (x[:-1], x[-1])
+        else:
+            parts = _WORDS.findall(x)
+        out = b""
+        for w in parts:
+            ids = words.get(w)
+            if ids is None:
+                ids = self._older_words.get(w)
+            if ids is None:
+                mapped = w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+                ids = array("I", [t.id for t in self._tokenize(mapped)]).tobytes()
+            words[w] = ids
+            out += ids
+        self[x] = out
+        return out
+
+
 _loaded: dict[str, "WordTokenizer"] = {}
 
 
@@ -59,38 +105,15 @@ class WordTokenizer:
         self._by_word = bool(end) and steps[0].get("pattern", {}).get("Regex") == _PATTERN
         added = [t["content"] for t in spec["added_tokens"]]
         self._special = re.compile("|".join(map(re.escape, added))) if added else None
-        self._cache: dict[str, bytes] = {}
-        self._words: dict[str, bytes] = {}
+        self._cache = _Known(self._library.model.tokenize)
         self._most = cache_words
 
-    def _learn(self, strings: list[str]) -> None:
-        """Ids of strings without white space, from those of their words."""
-        words, tokenize, known = self._words, self._library.model.tokenize, self._cache
-        for x in strings:
-            if x.isalpha():
-                parts = (x,)
-            elif x[:-1].isalpha():  # letters, then one mark or digit: two words whatever they are
-                parts = (x[:-1], x[-1])
-            else:
-                parts = _WORDS.findall(x)
-            out = b""
-            for w in parts:
-                ids = words.get(w)
-                if ids is None:
-                    mapped = w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
-                    ids = words[w] = array("I", [t.id for t in tokenize(mapped)]).tobytes()
-                out += ids
-            known[x] = out
-
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
         texts = list(texts)
         plain = [self._by_word and not _OTHER.search(t) and not (self._special and self._special.search(t)) for t in texts]
         cut = [t.lower().split() if p else None for t, p in zip(texts, plain)]
-        for held in (self._cache, self._words):
-            if len(held) > self._most:
-                held.clear()
-        self._learn(list({x for found in cut if found for x in set(found)}.difference(self._cache)))
+        self._cache.age(self._most)
         known = self._cache.__getitem__
         return [b"".join(map(known, found)) if found is not None else np.array(self._library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, found in zip(texts, cut)]
 
