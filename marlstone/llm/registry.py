@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, mixing, near_dedup, packing, quality, records, substrings
+from . import chat, exact_dedup, html_text, mixing, near_dedup, neighbours, packing, quality, records, substrings
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (mixing.op1_mixing, html_text.op2_html_text, records.op3_token_records, substrings.op5_substring_dedup, quality.op6_quality, near_dedup.op8_near_dedup, packing.op9_packing, exact_dedup.op10_exact_dedup)}
+    return {f.__name__: f for f in (mixing.op1_mixing, html_text.op2_html_text, records.op3_token_records, chat.op4_chat_format, substrings.op5_substring_dedup, quality.op6_quality, neighbours.op7_nearest, near_dedup.op8_near_dedup, packing.op9_packing, exact_dedup.op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
