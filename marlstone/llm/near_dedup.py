@@ -22,6 +22,7 @@ empty result; other columns are ignored by the report and carried along by ``dro
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -191,39 +192,59 @@ def _cross_pairs(members: DataFrame, percent: int, every: bool) -> DataFrame:
     dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
     least = _least_likely(percent)
 
-    def among(rows: list[tuple]) -> list[tuple[int, int]]:
-        rep, root, n = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
-        if len(np.unique(root)) < 2:
-            return []
-        regs = np.frombuffer(b"".join(r[6] for r in rows), "<u2").reshape(len(rows), REGISTERS)
+    def among(rep: np.ndarray, root: np.ndarray, n: np.ndarray, regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of pairs of one block that differ in component and agree in enough registers to be estimated."""
         kinds, counts = np.unique(root, return_counts=True)
-        out = []
-        for x in np.flatnonzero(root != kinds[counts.argmax()]).tolist():
+        xs, ys = [], []
+        for x in np.flatnonzero(root != kinds[counts.argmax()]).tolist() if len(kinds) > 1 else ():
             y = np.flatnonzero((root != root[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])))
-            y = y[(regs[y] == regs[x]).sum(1) >= least * REGISTERS * 0.9]
-            if len(y):
-                j = likeliest(np.repeat(regs[x : x + 1], len(y), 0), regs[y], np.full(len(y), float(n[x])), n[y].astype(float))
-                y, j = y[j >= least], j[j >= least]
-                for other in (y if every else y[j.argmax() : j.argmax() + 1] if len(y) else y).tolist():
-                    out.append((min(rep[x], rep[other]), max(rep[x], rep[other])))
-        return out
+            y = y[np.count_nonzero(regs[y] == regs[x], axis=1) >= least * REGISTERS * 0.9]
+            xs.append(np.full(len(y), x))
+            ys.append(y)
+        return (np.concatenate(xs), np.concatenate(ys)) if xs else (np.zeros(0, np.int64),) * 2
+
+    def likely(rep: np.ndarray, n: np.ndarray, regs: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(x), 20_000):
+            i, j = x[a : a + 20_000], y[a : a + 20_000]
+            guess = likeliest(regs[i], regs[j], n[i].astype(float), n[j].astype(float))
+            good = guess >= least
+            if not every:  # the best of each member
+                order = np.lexsort((-guess, i))
+                best = np.zeros(len(i), bool)
+                best[order[np.concatenate([[True], i[order][1:] != i[order][:-1]])]] = True
+                good &= best
+            both = np.sort(np.stack([rep[i[good]], rep[j[good]]], 1), axis=1)
+            both = np.unique(both, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def pairs() -> Iterator[pa.RecordBatch]:
-            if found := sorted(set(among(held))):
-                both = np.array(found, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-        for batch in rows:
-            for r in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and held[0][:3] != r[:3]:
-                    yield from pairs()
-                    held.clear()
-                held.append(r)
-        if held:
-            yield from pairs()
+        carried: list[pa.RecordBatch] = []  # the last block, which the next batch may go on with
+        for batch in itertools.chain(rows, [None]):
+            if batch is not None:
+                carried.append(batch)
+                if batch.num_rows == 0:
+                    continue
+            table = pa.Table.from_batches(carried).combine_chunks() if carried else None
+            if table is None or not table.num_rows:
+                continue
+            key = [table.column(k).to_numpy() for k in range(3)]
+            new = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in key], axis=0)])
+            cuts = [*np.flatnonzero(new).tolist(), table.num_rows]
+            if batch is not None:
+                carried, cuts = [table.slice(cuts[-2]).to_batches()[0]], cuts[:-1]
+            rep, root, n = (table.column(k).to_numpy() for k in (3, 4, 5))
+            regs = np.frombuffer(b"".join(table.column(6).to_pylist()), "<u2").reshape(-1, REGISTERS)
+            xs, ys, held = [], [], 0
+            for a, b in zip(cuts, cuts[1:]):
+                x, y = among(rep[a:b], root[a:b], n[a:b], regs[a:b])
+                xs.append(x + a)
+                ys.append(y + a)
+                held += len(x)
+                if held > 100_000:
+                    yield from likely(rep, n, regs, np.concatenate(xs), np.concatenate(ys))
+                    xs, ys, held = [], [], 0
+            if held:
+                yield from likely(rep, n, regs, np.concatenate(xs), np.concatenate(ys))
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``. Only where it is unset, as in local tests, a temporary folder."""
@@ -23,12 +26,31 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, materialised once in the shared folder: lineage ends here and lost executors cost nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no other call uses."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, written once as a table in the shared folder: lineage ends here and lost executors cost nothing.
+
+    Tables are Parquet rather than serialised rows: smaller, read by column, and of a size that the planner knows.
+    They go when the session's process ends, as lazy results may still read them until then.
+    """
+    path = fresh_dir(df.sparkSession, "table")
+    df.write.parquet(path)
+    if not _written:
+        atexit.register(_remove)
+    _written.add(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _remove() -> None:
+    """Deletes the tables at exit, if the session still lives."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _written:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
