@@ -10,9 +10,10 @@ floor(1 - log_b(minimum)), within two bytes. Equal registers are about as likely
 3. Each bucket pairs its smallest id with the others: one pair per member, never all pairs. The similarity of a pair
    is estimated jointly from both sketches and set sizes by maximum likelihood; pairs within five standard errors
    of the threshold, or above, are verified on the full sets.
-4. Links give components. A bucket whose members still lie in different components may hide further links:
-   a second round pairs each member with the likeliest partner of another component, a third one with every
-   likely partner. Pairs within a component need no check. Buckets of any size are dealt out in blocks.
+4. Links give components. A bucket whose members still lie in different components may hide further links: members
+   whose sketches agree enough with one of another component are brought together with their texts, and every two
+   of different components are compared on full sets. A link is kept where it joins components, so a block of
+   s members returns fewer than s links. Buckets of any size are dealt out in blocks.
 
 Defined results: a null or empty text, or one without words, has an empty set, links with nothing and stays; rows of
 a null id take no part in links, get a null component and stay; repeated rows share a component, and those
@@ -37,7 +38,7 @@ from .textkit import Words, mixed, noise, runs, windows
 WIDTH, REGISTERS, ROWS, BASE, RATE, TOP = 5, 144, 4, 1.001, 20.0, 65534
 PERCENT, ERRORS = 75, 5
 #: Members of one block of a bucket, and members verified against one copy of their centre's text.
-BLOCK, SHARE = 4096, 256
+BLOCK, SHARE = 1024, 256
 #: Bits of the filter that spares documents without a candidate the shuffle: at most 2**20 broadcast rows.
 MAX_BITS = 1 << 26
 
@@ -144,8 +145,18 @@ def _screened(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long")
 
 
+def _needed(texts: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """Rows of ``texts`` that may have one of the ids, told by a filter of bounded size before anything shuffles."""
+    bits = 1 << max(10, min(MAX_BITS.bit_length() - 1, (most * 32).bit_length()))
+    h = F.xxhash64(F.col("id"), F.lit(5))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(h, 40), F.lit(64)).cast("int"))
+    word = F.pmod(h, F.lit(bits // 64))
+    bloom = ids.groupBy(word.alias("word")).agg(F.bit_or(mask).alias("bits"))
+    return texts.join(F.broadcast(bloom), word == F.col("word")).filter(F.col("bits").bitwiseAND(mask) != 0).select("id", "text")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Of checkpointed pairs (a, b), those whose full sets are similar enough. ``texts`` has a row (id, text) for every id in pairs.
+    """Of written pairs (a, b), those whose full sets are similar enough. ``texts`` has a row (id, text) for every id in pairs.
 
     The texts of a's partners are brought to copies of a's text, ``SHARE`` to a copy, however many there are.
     """
@@ -153,12 +164,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     members = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("last") + 1).cast("int").alias("part"), F.col("b").alias("id"), F.lit(1).alias("role"))
     centres = many.select("a", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("part"), F.col("a").alias("id"), F.lit(0).alias("role"))
     wanted = members.unionByName(centres)
-    bits = 1 << max(10, min(MAX_BITS.bit_length() - 1, (pairs.count() * 32).bit_length()))
-    h = lambda c: F.xxhash64(F.col(c), F.lit(5))
-    mask = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(h(c), 40), F.lit(64)).cast("int"))
-    needed = wanted.groupBy(F.pmod(h("id"), F.lit(bits // 64)).alias("word")).agg(F.bit_or(mask("id")).alias("bits"))
-    likely = texts.join(F.broadcast(needed), F.pmod(h("id"), F.lit(bits // 64)) == F.col("word")).filter(F.col("bits").bitwiseAND(mask("id")) != 0).select("id", "text")
-    brought = wanted.join(likely, "id").repartition("a", "part").sortWithinPartitions("a", "part", "role", "id")
+    brought = wanted.join(_needed(texts, wanted.select("id"), 2 * pairs.count()), "id").repartition("a", "part").sortWithinPartitions("a", "part", "role", "id")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, centre = None, np.zeros(0, np.uint64)
@@ -183,70 +189,89 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return brought.select("a", "part", "id", "role", "text").mapInArrow(run, "a long, b long")
 
 
-def _cross_pairs(members: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Likely pairs (a, b) of members of one bucket and different components; only each member's likeliest unless ``every``."""
-    spread = members.groupBy("bucket").agg(F.floor((F.count(F.lit(1)) - 1) / BLOCK).cast("int").alias("last"))
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs of sorted rows with equal values in the first three columns."""
+    carried: list[pa.RecordBatch] = []  # the last run, which the next batch may go on with
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            carried.append(batch)
+        if not carried:
+            continue
+        table = pa.Table.from_batches(carried).combine_chunks()
+        keys = [table.column(k).to_numpy() for k in range(3)]
+        cuts = [*np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])).tolist(), table.num_rows]
+        if batch is not None:
+            carried, cuts = table.slice(cuts[-2]).to_batches(), cuts[:-1]
+        for a, b in zip(cuts, cuts[1:]):
+            yield table.slice(a, b - a)
+
+
+def _open_members(members: DataFrame, percent: int) -> DataFrame:
+    """Of (bucket, rep, root, n, registers), the members that may resemble one of another component of their bucket.
+
+    A bucket is dealt out in pairs (i, j) of blocks, so that any two members meet in one of them.
+    """
+    spread = checkpointed(members.groupBy("bucket").agg(F.floor((F.count(F.lit(1)) - 1) / BLOCK).cast("int").alias("last")))
     mine = F.pmod(F.xxhash64("rep"), F.col("last") + 1).cast("int")
-    dealt = members.join(checkpointed(spread), "bucket").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    dealt = members.join(spread, "bucket").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
     dealt = dealt.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "root", "n", "registers")
     dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
-    least = _least_likely(percent)
-
-    def among(rep: np.ndarray, root: np.ndarray, n: np.ndarray, regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of pairs of one block that differ in component and agree in enough registers to be estimated."""
-        kinds, counts = np.unique(root, return_counts=True)
-        xs, ys = [], []
-        for x in np.flatnonzero(root != kinds[counts.argmax()]).tolist() if len(kinds) > 1 else ():
-            y = np.flatnonzero((root != root[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])))
-            y = y[np.count_nonzero(regs[y] == regs[x], axis=1) >= least * REGISTERS * 0.9]
-            xs.append(np.full(len(y), x))
-            ys.append(y)
-        return (np.concatenate(xs), np.concatenate(ys)) if xs else (np.zeros(0, np.int64),) * 2
-
-    def likely(rep: np.ndarray, n: np.ndarray, regs: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for a in range(0, len(x), 20_000):
-            i, j = x[a : a + 20_000], y[a : a + 20_000]
-            guess = likeliest(regs[i], regs[j], n[i].astype(float), n[j].astype(float))
-            good = guess >= least
-            if not every:  # the best of each member
-                order = np.lexsort((-guess, i))
-                best = np.zeros(len(i), bool)
-                best[order[np.concatenate([[True], i[order][1:] != i[order][:-1]])]] = True
-                good &= best
-            both = np.sort(np.stack([rep[i[good]], rep[j[good]]], 1), axis=1)
-            both = np.unique(both, axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+    # estimated similarity and share of equal registers go together; a tenth less than needed loses nothing
+    equal = _least_likely(percent) * REGISTERS * 0.9
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried: list[pa.RecordBatch] = []  # the last block, which the next batch may go on with
-        for batch in itertools.chain(rows, [None]):
-            if batch is not None:
-                carried.append(batch)
-                if batch.num_rows == 0:
-                    continue
-            table = pa.Table.from_batches(carried).combine_chunks() if carried else None
-            if table is None or not table.num_rows:
+        for block in _blocks(rows):
+            root, n = (block.column(k).to_numpy() for k in (4, 5))
+            kinds, counts = np.unique(root, return_counts=True)
+            if len(kinds) < 2:
                 continue
-            key = [table.column(k).to_numpy() for k in range(3)]
-            new = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in key], axis=0)])
-            cuts = [*np.flatnonzero(new).tolist(), table.num_rows]
-            if batch is not None:
-                carried, cuts = [table.slice(cuts[-2]).to_batches()[0]], cuts[:-1]
-            rep, root, n = (table.column(k).to_numpy() for k in (3, 4, 5))
-            regs = np.frombuffer(b"".join(table.column(6).to_pylist()), "<u2").reshape(-1, REGISTERS)
-            xs, ys, held = [], [], 0
-            for a, b in zip(cuts, cuts[1:]):
-                x, y = among(rep[a:b], root[a:b], n[a:b], regs[a:b])
-                xs.append(x + a)
-                ys.append(y + a)
-                held += len(x)
-                if held > 100_000:
-                    yield from likely(rep, n, regs, np.concatenate(xs), np.concatenate(ys))
-                    xs, ys, held = [], [], 0
-            if held:
-                yield from likely(rep, n, regs, np.concatenate(xs), np.concatenate(ys))
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+            regs = np.frombuffer(b"".join(block.column(6).to_pylist()), "<u2").reshape(-1, REGISTERS)
+            near = np.zeros(len(root), bool)
+            for x in np.flatnonzero(root != kinds[counts.argmax()]).tolist():
+                y = np.flatnonzero((root != root[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])))
+                y = y[np.count_nonzero(regs[y] == regs[x], axis=1) >= equal]
+                near[y] = True
+                near[x] |= len(y) > 0
+            if near.any():
+                yield from block.select(["bucket", "i", "j", "rep", "root"]).filter(pa.array(near)).to_batches()
+
+    return dealt.mapInArrow(run, "bucket long, i int, j int, rep long, root long")
+
+
+def _open_links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links between components among the members of each block, found on full sets: every pair of different components is
+    compared, and a link is returned where it joins two components that were still apart, so at most one per member."""
+    brought = members.join(_needed(texts, members.select(F.col("rep").alias("id")), members.count()), F.col("rep") == F.col("id"))
+    brought = brought.select("bucket", "i", "j", "rep", "root", "text").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(rows):
+            rep, root = block.column(3).to_numpy(), block.column(4).to_numpy().copy()
+            sets = []
+            for part in runs(block.column(5).to_pylist()):
+                shingles, first = shingle_sets(part)
+                sets += [np.unique(shingles[a:b]) for a, b in zip(first[:-1], first[1:])]
+            sizes = np.array([len(x) for x in sets])
+            begin = np.cumsum(sizes) - sizes
+            words, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+            mark, out = np.zeros(len(words), bool), []
+            kinds, counts = np.unique(root, return_counts=True)
+            for x in np.flatnonzero(root != kinds[counts.argmax()]).tolist():
+                own = numbers[begin[x] : begin[x] + sizes[x]]
+                mark[own] = True
+                both = np.add.reduceat(mark[numbers], begin, dtype=np.int64)
+                mark[own] = False
+                for y in np.flatnonzero(100 * both >= percent * (sizes + sizes[x] - both)).tolist():
+                    if root[y] != root[x]:
+                        out.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
+                        root[root == root[y]] = root[x]
+            if out:
+                both = np.array(out, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    return brought.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -263,18 +288,13 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     texts = docs.filter("id IS NOT NULL")
     edges = checkpointed(_verified(checkpointed(_screened(stars, classes, percent)), texts, percent))
     roots = checkpointed(components(edges))
-    for every in (False, True):
-        members = bands.join(buckets.filter("members > 2"), "bucket").filter("rep <> a").join(roots, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
-        members = checkpointed(members)
-        open_ = checkpointed(members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("bucket"))
-        left = members.join(open_, "bucket", "left_semi").join(classes.select("rep", "n", "registers"), "rep")
-        pairs = checkpointed(_cross_pairs(left, percent, every))
-        if pairs.isEmpty():
-            break
-        more = checkpointed(_verified(pairs, texts, percent))
-        if not more.isEmpty():
-            edges = checkpointed(edges.unionByName(more))
-            roots = checkpointed(components(edges))
+    members = bands.join(buckets.filter("members > 2"), "bucket").filter("rep <> a").join(roots, F.col("rep") == F.col("node"), "left")
+    members = checkpointed(members.select("bucket", "rep", F.coalesce("root", "rep").alias("root")))
+    undecided = checkpointed(members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("bucket"))
+    left = members.join(undecided, "bucket", "left_semi").join(classes.select("rep", "n", "registers"), "rep")
+    more = checkpointed(_open_links(checkpointed(_open_members(left, percent)), texts, percent))
+    if not more.isEmpty():
+        roots = checkpointed(components(edges.unionByName(more)))
     named = checkpointed(classes.join(roots, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("root", "rep").alias("component")))
     out = linked.select("doc_id", "n_shingles", "set_key").join(named, "set_key").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     rest = rows.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
