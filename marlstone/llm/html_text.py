@@ -75,7 +75,7 @@ def _outside(tag: str, attrs: str, in_article: bool) -> bool:
 
 
 def lines(page: str) -> list[tuple[str, int, bool]]:
-    """The page's lines: text, characters in links, and whether the line lies in an article."""
+    """The page's lines: text, characters outside links, and whether the line lies in an article."""
     out: list[tuple[str, int, bool]] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether each is outside
     held: list[tuple[str, bool]] = []
@@ -85,8 +85,8 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if held:
             text = " ".join(html.unescape("".join(t for t, _ in held)).split())
             if text:
-                linked = len(" ".join(html.unescape("".join(t for t, in_link in held if in_link)).split()))
-                out.append((text, linked, articles > 0))
+                plain = len(" ".join(html.unescape("".join(t for t, in_link in held if not in_link)).split()))
+                out.append((text, plain, articles > 0))
             held.clear()
 
     def pop(to: int) -> None:
@@ -143,7 +143,7 @@ def main_text(page: str | None) -> list[str]:
     found = lines(page or "")
     article = any(inside for _, _, inside in found)
     # inside an article every line counts, links or not
-    weights = [(max(1, len(t) - linked) if inside else 0) if article else len(t) - linked for t, linked, inside in found]
+    weights = [(max(1, plain) if inside else 0) if article else plain for _, plain, inside in found]
     sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
     surge = SURGE if not article and max(sums, default=0) >= SURGE else 1  # a page of few words is all text
     out, i = [], 0
