@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import exact_dedup, mixing, near_dedup, packing, quality
-from marlstone.llm.storage import fresh_dir
+from marlstone.llm.storage import carried, fresh_dir
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -19,7 +19,7 @@ TOKENIZER = "word_bpe_49k.json"
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     network = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, network, to="__score").filter(F.col("__score") >= quality.THRESHOLD).select(*docs.columns)
+    return quality.score(docs, network, to="__score").filter(F.col("__score") >= quality.THRESHOLD).select(*carried(docs, ()))
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def different_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of a mix of their sources."""
-    return mixing.mixed_in_order(docs).select(*docs.columns)
+    return mixing.mixed_in_order(docs).select(*carried(docs, ()))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

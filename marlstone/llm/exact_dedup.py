@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import checkpointed
+from .storage import carried, checkpointed
 
 #: Runs of white space that differ from one space; a lone space needs no rewriting.
 _RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -82,7 +82,7 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     Copies meet in a grouping that keeps one row of each group on the map side already, so that a group of any
     size sends one row from each task.
     """
-    columns = df.columns
+    columns = carried(df, ())
     hashes = checkpointed(df.select(F.sha2(normalised(F.col(text_col)), 256).alias("sha")))
     bloom, words = repeated_filter(hashes, "sha", bits_per_row, max_bits)
     probed = probe(df.select(F.struct(*columns).alias("row"), F.sha2(normalised(F.col(text_col)), 256).alias("sha")), "sha", bloom, words)

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import carried, numbered, small_batches
+
 WINDOW, SURGE = 3, 86
 
 _SKIP = frozenset("nav header footer aside form button menu dialog fieldset label input datalist".split())
@@ -167,7 +169,9 @@ def main_text(page: str | None) -> list[str]:
 def extract(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """The rows, or their columns in ``keep``, with text, n_chars (code points) and n_blocks."""
     added = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_blocks", T.LongType())]
-    kept = [c for c in (pages.columns if keep is None else keep) if c not in {f.name for f in added}]
+    small_batches(pages.sparkSession)
+    kept = carried(pages, (f.name for f in added), keep)
+    schema = T.StructType([*pages.select(*kept).schema.fields, *added])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -175,9 +179,9 @@ def extract(pages: DataFrame, html_col: str = "html", keep: list[str] | None = N
                 part = batch.slice(a, 500)
                 blocks = [main_text(page) for page in part.column(part.num_columns - 1).to_pylist()]
                 texts = ["\n\n".join(b) for b in blocks]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(map(len, blocks), pa.int64())], [*part.schema.names[:-1], *(f.name for f in added)])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(map(len, blocks), pa.int64())], schema.names)
 
-    return pages.select(*kept, F.col(html_col).cast("string").alias("__html")).mapInArrow(run, T.StructType([*pages.select(*kept).schema.fields, *added]))
+    return pages.select(*numbered(kept), F.col(html_col).cast("string").alias("__html")).mapInArrow(run, schema)
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

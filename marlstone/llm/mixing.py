@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .storage import carried
+
 BLOCK_ROWS, RESOLUTION, MAX_SOURCES, ALPHA = 16, 1000, 10_000, 0.5
 BUCKET_ROWS, MAX_BUCKETS = 1000, 100_000
 ADDED = ("mix_block", "mix_slot", "mix_position")
@@ -107,8 +109,9 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, id_col: str = "d
     Without ``weights`` a source's weight is its number of rows to the power ``alpha``.
     """
     spark = df.sparkSession
-    df = df.drop(*ADDED)
-    plain = [c for c, kind in df.dtypes if not kind.startswith(("map", "array", "struct", "variant"))]
+    kept = carried(df, ADDED)
+    df = df.select(*kept)
+    plain = [c for c, (_, kind) in zip(kept, df.dtypes) if not kind.startswith(("map", "array", "struct", "variant"))]
     rows = df.withColumn("__source", F.coalesce(F.col(source_col).cast("string"), F.lit("\0"))).withColumn("__hash", F.xxhash64(*plain, F.lit(seed)))
     counts = {r["__source"]: r["count"] for r in rows.groupBy("__source").count().limit(MAX_SOURCES + 1).collect()}
     if len(counts) > MAX_SOURCES:
@@ -150,7 +153,7 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, id_col: str = "d
         return pd.Series(s * block_rows - missing[np.searchsorted(end_slots, s, "left")])
 
     placed = numbered.withColumn("mix_slot", slot_of("__k", "mix_block")).withColumn("mix_position", first_of("mix_slot") + F.pmod(F.col("__index"), F.lit(block_rows)))
-    return placed.select(*df.columns, *ADDED)
+    return placed.select(*kept, *ADDED)
 
 
 def in_order(mixed: DataFrame, rows: int, files: int) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .storage import checkpointed
+from .storage import checkpointed, small_batches
 from .textkit import Words, mixed, noise, runs, windows
 
 WIDTH, REGISTERS, ROWS, BASE, RATE, TOP = 5, 144, 4, 1.001, 20.0, 65534
@@ -276,6 +276,7 @@ def _open_links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
+    small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     rows = checkpointed(sketch(docs, "id", "text"))
     linked = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import carried, numbered, small_batches
+
 BLOCK, TAPS, FILTERS, LAGS, HIDDEN = 64, 3, 12, 32, 16
 SEGMENT = 1 << 18
 SAMPLE, SAMPLE_BYTES, STEPS, BATCH, THRESHOLD = 3000, 8192, 900, 32, 0.3
@@ -186,15 +188,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, network: Network, text_col: str = "text", to: str = "score", keep: list[str] | None = None) -> DataFrame:
     """The rows, or their columns in ``keep``, with a column for the probability of a good text."""
-    kept = [c for c in (docs.columns if keep is None else keep) if c != to]
+    small_batches(docs.sparkSession)
+    kept = carried(docs, [to], keep)
+    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField(to, T.DoubleType())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             scores = [network.score((t or "").encode()) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], to])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], schema.names)
 
-    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField(to, T.DoubleType())])
-    return docs.select(*kept, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*numbered(kept), F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

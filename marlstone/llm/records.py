@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordtok
-from .storage import fresh_dir
+from .storage import fresh_dir, small_batches
 
 END_ID = 2
 #: Fixed by the checksum's definition: the reflected Castagnoli polynomial and the mask's constant.
@@ -152,6 +152,7 @@ def write_records(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
     ``shards`` defaults to the number of the table's scan tasks, so a shard holds about what one task reads.
     """
     spark = df.sparkSession
+    small_batches(spark)
     shards = max(1, shards or df.select(id_col, text_col).rdd.getNumPartitions())
     bounds = _bounds(df, id_col, shards)
 

@@ -5,12 +5,25 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: set[str] = set()
 
 
+def carried(df: DataFrame, added: Iterable[str], keep: list[str] | None = None) -> list[str]:
+    """Names of the columns to carry along, quoted, without those that an added column replaces (in any case)."""
+    replaced = {c.lower() for c in added}
+    return ["`" + c.replace("`", "``") + "`" for c in (df.columns if keep is None else keep) if c.lower() not in replaced]
+
+
+def numbered(columns: list[str]) -> list[Column]:
+    """Carried columns under plain names, for the functions over Arrow batches, which refuse some names."""
+    return [F.col(c).alias(f"__c{k}") for k, c in enumerate(columns)]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``. Only where it is unset, as in local tests, a temporary folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,6 +44,13 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows to an Arrow batch, where the session has the default: a row here is a whole text."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "2000")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows, written once as a table in the shared folder: lineage ends here and lost executors cost nothing.
 

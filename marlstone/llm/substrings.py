@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import checkpointed
+from .storage import carried, checkpointed, numbered, small_batches
 from .textkit import Words, runs, windows
 
 WINDOW, MER = 35, 4
@@ -206,14 +206,16 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The rows, or their columns in ``keep``, with n_words, n_removed and kept_text (the words left, joined by one space)."""
     if not 0 < mer <= window:
         raise ValueError("mer must lie between 1 and the window")
+    small_batches(df.sparkSession)
     raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     keyed = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(raw).alias("text_hash"), raw.alias("text"))
     places = checkpointed(repeated_windows(keyed, window, mer).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "windows")).alias("places")))
     places = places.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), "places")
     added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
-    kept = [c for c in (df.columns if keep is None else keep) if c not in {f.name for f in added}]
-    rows = df.select(*kept, F.col(id_col).cast("long").alias("__id"), raw.alias("__text"), F.xxhash64(raw).alias("__key"))
-    met = rows.join(places, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__hash")), "left").select(*kept, "__text", "places")
+    kept = carried(df, (f.name for f in added), keep)
+    schema = T.StructType([*df.select(*kept).schema.fields, *added])
+    rows = df.select(*numbered(kept), F.col(id_col).cast("long").alias("__id"), raw.alias("__text"), F.xxhash64(raw).alias("__key"))
+    met = rows.join(places, F.col("__id").eqNullSafe(F.col("__doc")) & (F.col("__key") == F.col("__hash")), "left").drop("__id", "__key", "__doc", "__hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,9 +228,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 n_words.append(len(words))
                 n_removed.append(int(gone.sum()))
                 texts.append(b" ".join(itertools.compress(words, (~gone).tolist()) if n_removed[-1] else words).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string())], [*batch.schema.names[:-2], *(f.name for f in added)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string())], schema.names)
 
-    return met.mapInArrow(run, T.StructType([*df.select(*kept).schema.fields, *added]))
+    return met.mapInArrow(run, schema)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ _OTHER = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-\\xa9\\xab\\xac\\xae-\\xb1\\xb4
 _WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 _PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Strings, and words of strings, in one generation of the caches at about most.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 
 
 def _byte_characters() -> dict[int, str]:
@@ -64,17 +64,20 @@ class _Known(dict):
             parts = (x[:-1], x[-1])
         else:
             parts = _WORDS.findall(x)
-        out = b""
+        out, seen = b"", True
         for w in parts:
             ids = words.get(w)
             if ids is None:
                 ids = self._older_words.get(w)
+                if ids is not None:
+                    words[w] = ids
             if ids is None:
+                seen = False
                 mapped = w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
-                ids = array("I", [t.id for t in self._tokenize(mapped)]).tobytes()
-            words[w] = ids
+                ids = words[w] = array("I", [t.id for t in self._tokenize(mapped)]).tobytes()
             out += ids
-        self[x] = out
+        if seen:  # strings of words met for the first time may never come again
+            self[x] = out
         return out
 
 

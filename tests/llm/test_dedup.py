@@ -177,7 +177,7 @@ def test_repeats(spark, docs, monkeypatch, width, mer, flush):
     monkeypatch.setattr(substrings, "BUCKET_BYTES", 2000)
     random.seed(width)
     passage = " ".join(f"p{k}" for k in range(40))
-    extra = [(100 + k, " ".join(f"e{random.randrange(50)}" for _ in range(60)) + (f" {passage} " if k % 3 == 0 else " ") + " ".join(f"e{random.randrange(3)}" for _ in range(30)), "s", "x") for k in range(40)]
+    extra = [(100 + k, " ".join(f"e{random.randrange(50)}" for _ in range(60)) + (f" {passage} " if k % 3 == 0 else " ") + " ".join(f"e{random.randrange(3)}" for _ in range(30)), "s", "x", 1, "x") for k in range(40)]
     df = docs.unionByName(spark.createDataFrame(extra, docs.schema)).repartition(3)
     rows = df.collect()
     want = sorted(brute_repeats([r["text"] for r in rows], width))

@@ -92,8 +92,8 @@ def test_held_out_accuracy(spark):
 def test_scores_of_odd_rows(spark, docs):
     labels = spark.createDataFrame([(1, 1), (1, None), (4, 0), (None, 1)], "doc_id long, quality int")
     net = quality.fit(docs, labels, steps=3)
-    rows = quality.score(docs, net, to="kept").collect()
-    assert len(rows) == docs.count() and all(0 <= r["kept"] <= 1 for r in rows)
+    rows = quality.score(docs, net).collect()
+    assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 for r in rows)
     assert quality.score(docs.limit(0), net).count() == 0
     assert quality.fit(docs, labels.limit(0)).score(b"x") == 0.5
 
