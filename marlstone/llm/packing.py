@@ -29,41 +29,40 @@ from .storage import small_batches
 
 CAPACITY, MAX_PIECE, GROUP_WINDOWS, END_ID = 2048, 256, 64, 1
 #: A group is closed at this share of its windows' capacity: differencing leaves the fullest window about so much above the mean.
-FILL = 0.99
+FILL = 0.995
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 def difference(sizes: list[int], windows: int) -> list[list[int]]:
-    """Karmarkar-Karp: the items of each window, for near-equal sums."""
-    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    heap, sums, held = [], {}, {}
-    for i in order:
-        s = np.zeros(windows, np.int64)
-        s[-1] = sizes[i]
-        sums[i], held[i] = s, [()] * (windows - 1) + [(i,)]
-        heap.append((-sizes[i], i))
+    """Karmarkar-Karp: the items of each window, for near-equal sums.
+
+    A partition is its ascending window sums. Merges are noted with the order they led to; at the end the final
+    windows are handed down through them to the items, each of which began in its partition's last window.
+    """
+    sums = np.zeros((len(sizes), windows), np.int64)
+    sums[:, -1] = sizes
+    held = dict(enumerate(sums))
+    heap = [(-size, i) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
+    merges: list[tuple[int, int, np.ndarray]] = []
     while len(heap) > 1:
-        _, a = heapq.heappop(heap)
-        _, b = heapq.heappop(heap)
-        merged = sums[a] + sums.pop(b)[::-1]
-        items = held.pop(b)
-        both = [(x, y) if x and y else x or y for x, y in zip(held[a], items[::-1])]
-        rank = np.argsort(merged, kind="stable")
-        sums[a], held[a] = merged[rank], [both[k] for k in rank.tolist()]
-        heapq.heappush(heap, (-int(sums[a][-1] - sums[a][0]), a))
-    return [_flat(x) for x in held[heap[0][1]]] if heap else [[] for _ in range(windows)]
-
-
-def _flat(tree) -> list[int]:
-    """Leaves of the nested pairs in which merged windows hold their items."""
-    out, stack = [], [tree]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, tuple):
-            stack += x
-        else:
-            out.append(x)
+        a, b = heapq.heappop(heap)[1], heapq.heappop(heap)[1]
+        merged = held.pop(a) + held.pop(b)[::-1]
+        rank = merged.argsort()
+        merged = merged[rank]
+        node = len(sizes) + len(merges)
+        merges.append((a, b, rank))
+        held[node] = merged
+        heapq.heappush(heap, (int(merged[0] - merged[-1]), node))
+    out: list[list[int]] = [[] for _ in range(windows)]
+    places = {heap[0][1]: np.arange(windows)} if heap else {}
+    for node in range(len(sizes) + len(merges) - 1, len(sizes) - 1, -1):
+        a, b, rank = merges[node - len(sizes)]
+        at = np.empty(windows, np.int64)
+        at[rank] = places.pop(node)
+        places[a], places[b] = at, at[::-1]
+    for i, at in places.items():
+        out[at[-1]].append(i)
     return out
 
 
@@ -116,8 +115,7 @@ def pack_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                     whole = total - total % capacity
                     for start in range(0, whole, capacity):
                         out.window([(doc, start, coded[4 * start : 4 * (start + capacity)], total)])
-                    parts = -(-(total - whole) // max_piece)
-                    cuts = [whole + (total - whole) * k // max(parts, 1) for k in range(parts + 1)]
+                    cuts = [*range(whole, total, max_piece), total]  # the odd ends are what differencing evens out with
                     rest += [(doc, a, coded[4 * a : 4 * b], total) for a, b in zip(cuts, cuts[1:])]
                     waiting += total - whole
                     if waiting >= goal:
