@@ -6,6 +6,10 @@ minimiser's bucket; equal windows have equal minimisers, so they meet there. A b
 strings to 128 bits, sorts them and finds those that occur more than once. The places of these come back to
 their documents, where every word that such a window covers is removed.
 
+A first pass over the texts counts minimisers. Windows of one that is very common (``HOT`` super-k-mers or more, the
+``MOST_HOT`` commonest at most) go each by the hash of its own words instead, so that what surrounds a passage of a
+third of all documents spreads over all buckets.
+
 A task merges equal strings before they travel: their windows are then known to repeat, one copy of the string
 goes on, and the other places take any bucket. A passage that a third of all documents share so reaches its
 bucket once per task, not once per document. Strings and places of a bucket are packed and compressed.
@@ -34,6 +38,8 @@ WINDOW, MER = 35, 4
 #: Bytes of packed strings for a bucket and before a task sends them on; packed strings take about so many times the text.
 BUCKET_BYTES, FLUSH_BYTES, EXPANSION = 24 << 20, 48 << 20, 3.2
 MOST_BUCKETS, MOST_PARTITIONS = 1 << 20, 20_000
+#: Super-k-mers that make a minimiser too common for one bucket, minimisers in that list, and a task's count that is told.
+HOT, MOST_HOT, TOLD = 1 << 16, 100_000, 32
 
 _PLACE = np.dtype([("doc", "<i8"), ("none", "u1"), ("text", "<i8"), ("start", "<i8"), ("windows", "<i8"), ("known", "u1")])
 
@@ -155,9 +161,45 @@ def _count(packed: list[bytes], window: int) -> Iterator[np.ndarray]:
     yield out
 
 
+def _survey(df: DataFrame, window: int, mer: int) -> tuple[int, np.ndarray]:
+    """Bytes of all texts, and the minimisers that are too common for one bucket."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size, total = {}, 0, 0
+        for batch in rows:
+            for texts in runs(batch.column(0).to_pylist()):
+                words = Words(texts)
+                values, counts = np.unique(super_kmers(words, words.hashes(), window, mer)[3], return_counts=True)
+                size, total = size + sum(map(len, texts)), total + int(counts.sum())
+                often = counts > 1  # what no run has twice is not common
+                for v, n in zip(values[often].view(np.int64).tolist(), counts[often].tolist()):
+                    found[v] = found.get(v, 0) + n
+            if len(found) > 1 << 18:
+                found = {v: n for v, n in found.items() if n >= TOLD}
+        told = [(v, n) for v, n in found.items() if n >= TOLD]
+        yield pa.RecordBatch.from_arrays([pa.array([None] + [v for v, _ in told], pa.int64()), pa.array([total] + [n for _, n in told], pa.int64()), pa.array([size] + [0] * len(told), pa.int64())], ["value", "n", "bytes"])
+
+    counted = checkpointed(df.select("text").mapInArrow(run, "value long, n long, bytes long").groupBy("value").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")))
+    whole = counted.filter("value IS NULL").first()
+    least = max(HOT, (whole["n"] if whole else 0) // MOST_HOT + 1)
+    hot = [r["value"] for r in counted.filter("value IS NOT NULL").filter(F.col("n") >= least).collect()]
+    return (whole["bytes"] if whole else 0), np.array(sorted(hot), np.int64).view(np.uint64)
+
+
+def _apart(owner: np.ndarray, at: np.ndarray, count: np.ndarray, value: np.ndarray, hashes: np.ndarray, hot: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Super-k-mers, those of hot minimisers cut into windows that go by their own hash."""
+    far = np.isin(value, hot)
+    if not far.any():
+        return owner, at, count, value
+    each = np.repeat(np.flatnonzero(far), count[far])
+    begin = at[each] + np.arange(len(each)) - np.repeat(np.cumsum(count[far]) - count[far], count[far])
+    parts = ((owner[~far], owner[each]), (at[~far], begin), (count[~far], np.ones(len(each), np.int64)), (value[~far], windows(hashes, window, 23)[begin]))
+    return tuple(np.concatenate(p) for p in parts)
+
+
 def repeated_windows(df: DataFrame, window: int = WINDOW, mer: int = MER) -> DataFrame:
     """Of rows (doc_id, text_hash, text as binary): where windows start that also start elsewhere, as (doc_id, text_hash, start, windows)."""
-    size = df.select(F.sum(F.length("text"))).first()[0] or 0
+    size, hot = _survey(df, window, mer)
     buckets = max(1, min(MOST_BUCKETS, int(size * EXPANSION / BUCKET_BYTES) + 1))
     partitions = min(buckets, MOST_PARTITIONS)
 
@@ -169,7 +211,10 @@ def repeated_windows(df: DataFrame, window: int = WINDOW, mer: int = MER) -> Dat
                 words = Words(texts := [b" ".join(t.split()) for t in texts])
                 first = words.first.tolist()
                 data, starts, ends = words.data.tobytes(), words.starts, words.ends
-                owner, at, count, value = super_kmers(words, words.hashes(), window, mer)
+                of_words = words.hashes()
+                owner, at, count, value = super_kmers(words, of_words, window, mer)
+                if len(hot):
+                    owner, at, count, value = _apart(owner, at, count, value, of_words, hot, window)
                 begin, stop = starts[at].tolist(), ends[at + count + window - 2].tolist()
                 for k, a, n, b, x, y in zip(owner.tolist(), at.tolist(), count.tolist(), (value % np.uint64(buckets)).tolist(), begin, stop):
                     doc = docs[k0 + k]

@@ -171,8 +171,10 @@ def brute_repeats(rows, width):
     return [" ".join(x for j, x in enumerate(words(t)) if j not in gone[k]) for k, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("width, mer, flush", [(35, 4, 48 << 20), (6, 2, 300), (3, 3, 1), (1, 1, 48 << 20)])
-def test_repeats(spark, docs, monkeypatch, width, mer, flush):
+@pytest.mark.parametrize("width, mer, flush, hot", [(35, 4, 48 << 20, 1 << 16), (35, 4, 48 << 20, 10), (6, 2, 300, 2), (3, 3, 1, 1 << 16), (1, 1, 48 << 20, 5)])
+def test_repeats(spark, docs, monkeypatch, width, mer, flush, hot):
+    monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "TOLD", 2)
     monkeypatch.setattr(substrings, "FLUSH_BYTES", flush)
     monkeypatch.setattr(substrings, "BUCKET_BYTES", 2000)
     random.seed(width)
