@@ -59,14 +59,17 @@ class Table:
         return name
 
     def publish(self, version: str) -> None:
-        """Makes a version the current one, in one rename."""
+        """Makes a version the current one, by one rename over the old pointer."""
         temp, final = self._at(f"{self.path}/.{version}"), self._at(f"{self.path}/CURRENT")
         out = self._fs.create(temp, True)
         out.write(version.encode())
         out.close()
-        if self._fs.exists(final):
-            self._fs.delete(final, False)
-        self._fs.rename(temp, final)
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        mode = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = gateway.new_array(mode, 1)
+        options[0] = mode.OVERWRITE
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        files.rename(self._fs.makeQualified(temp), self._fs.makeQualified(final), options)
 
     def overwrite(self, df: DataFrame, check=None, partition_by: list[str] | None = None) -> "Table":
         """Build, check, publish. ``check`` gets the staged rows and raises to keep the old version."""

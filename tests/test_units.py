@@ -74,3 +74,22 @@ def test_point_on_edge_is_outside(spark):
     ring = geometry.from_wkt(F.lit("POLYGON((0 0, 4 0, 4 4, 0 4, 0 0))"))
     row = spark.range(1).select(geometry.contains(ring, geometry.point(4, 2)), geometry.contains(ring, geometry.point(1, 1))).first()
     assert tuple(row) == (False, True)
+
+
+def test_running_sum_equals_brute_force(spark):
+    from marlstone.operators.windows import running_sum
+
+    rows = [(k, (k * 37) % 11) for k in range(300)]
+    df = spark.createDataFrame(rows, "k int, v int").repartition(5)
+    got = {r["k"]: (r["running"], r["total"]) for r in running_sum(df, [F.desc("v"), F.asc("k")], "v").collect()}
+    total, so_far = sum(v for _, v in rows), 0
+    for k, v in sorted(rows, key=lambda r: (-r[1], r[0])):
+        so_far += v
+        assert got[k] == (so_far, total)
+
+
+def test_publish_replaces_in_one_rename(spark):
+    t = Table(spark, scratch(spark, "p")).overwrite(spark.range(2)).overwrite(spark.range(4))
+    assert t.read().count() == 4 and t.versions() == 2
+    t.vacuum()
+    assert t.versions() == 1 and t.read().count() == 4
