@@ -32,6 +32,8 @@ from . import wordtok
 from .storage import fresh_dir, small_batches
 
 END_ID = 2
+#: Words in a generation of the encoder's cache: this operator holds little else.
+CACHE_WORDS = 400_000
 #: Fixed by the checksum's definition: the reflected Castagnoli polynomial and the mask's constant.
 _POLYNOMIAL, _MASK = 0x82F63B78, 0xA282EAD8
 _LANE = 256
@@ -80,9 +82,9 @@ def crc32c(blobs: list[bytes]) -> np.ndarray:
     grid = np.zeros(int(first[-1]) * _LANE, np.uint8)
     for b, n, f, stop in zip(blobs, sizes.tolist(), first[:-1].tolist(), first[1:].tolist()):
         grid[stop * _LANE - n : stop * _LANE] = np.frombuffer(b, np.uint8)  # zeros in front leave the state at zero
-    grid = np.ascontiguousarray(grid.reshape(-1, _LANE).T)
     crc = np.zeros(int(first[-1]), np.uint32)
-    for row in grid:
+    # columns that are empty in all lanes, as with short blobs, leave the state at zero
+    for row in np.ascontiguousarray(grid.reshape(-1, _LANE).T[max(0, _LANE - int(sizes.max(initial=0))) :]):
         crc = _step(crc, row)
     # fold the lanes of each blob pairwise from its end; distances double each time
     owner, left = np.repeat(np.arange(len(blobs)), lanes), lanes.copy()
@@ -157,7 +159,7 @@ def write_records(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
     bounds = _bounds(df, id_col, shards)
 
     def encode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = wordtok.load(tokenizer)
+        tok = wordtok.load(tokenizer, CACHE_WORDS)
         narrow = "<u2" if max(tok.ids, end_id + 1) <= 1 << 16 else "<u4"
         for batch in rows:
             ids, at = batch.column(0).to_pylist(), 0

@@ -84,10 +84,11 @@ class _Known(dict):
 _loaded: dict[str, "WordTokenizer"] = {}
 
 
-def load(path: str) -> "WordTokenizer":
-    """The tokenizer of a file; a Python worker loads it once."""
+def load(path: str, cache_words: int = CACHE_WORDS) -> "WordTokenizer":
+    """The tokenizer of a file; a Python worker loads it once, with the largest cache that was asked for."""
     if path not in _loaded:
-        _loaded[path] = WordTokenizer(path)
+        _loaded[path] = WordTokenizer(path, cache_words)
+    _loaded[path]._most = max(_loaded[path]._most, cache_words)
     return _loaded[path]
 
 
