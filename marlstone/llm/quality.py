@@ -30,7 +30,7 @@ from .storage import carried, numbered, small_batches
 
 BLOCK, TAPS, FILTERS, LAGS, HIDDEN = 64, 3, 12, 32, 16
 SEGMENT = 1 << 18
-SAMPLE, SAMPLE_BYTES, STEPS, BATCH, THRESHOLD = 3000, 8192, 900, 32, 0.3
+SAMPLE, SAMPLE_BYTES, STEPS, BATCH, THRESHOLD = 3000, 8192, 500, 32, 0.3
 
 
 def _lag_sums(data: np.ndarray, ahead: int) -> np.ndarray:
