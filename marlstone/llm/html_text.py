@@ -2,9 +2,10 @@
 
 Markup is stripped into lines, one for each block element with text of its own. Elements that never hold the article
 (navigation, headers, footers, sidebars, forms, scripts, notices, adverts, comments: by tag, role or class) give
-no lines. What is left is weighed: a line counts its characters outside links, and nothing if the page has an
-article element with text and the line lies outside. Sums over ``WINDOW`` consecutive lines surge where the main
-text begins and dive to nothing where it ends; the lines between are the text, joined in page order.
+no lines. What is left is weighed: a line counts its characters outside links. Sums over ``WINDOW`` consecutive lines
+surge where the main text begins and dive to nothing where it ends; the lines between are the text, joined in page
+order. Article elements are a check on the weights alone: where they hold most of a page's text outside links, lines
+outside them count nothing and lines of links inside them count one; otherwise they are elements like others.
 
 Defined results: a null or empty page gives an empty text; white space inside a block, references and line breaks
 turn into one space; malformed markup (unclosed elements, stray ends, quotes) is read as browsers mostly do, and an
@@ -143,12 +144,13 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
 def main_text(page: str | None) -> list[str]:
     """The main text's blocks, in page order."""
     found = lines(page or "")
-    article = any(inside for _, _, inside in found)
+    plain_inside = sum(plain for _, plain, inside in found if inside)
+    article = 2 * plain_inside > sum(plain for _, plain, _ in found)
     # inside an article every line counts, links or not
     weights = [(max(1, plain) if inside else 0) if article else plain for _, plain, inside in found]
     sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
-    surge = SURGE if not article and max(sums, default=0) >= SURGE else 1  # a page of few words is all text
-    out, i = [], 0
+    surge = SURGE if max(sums, default=0) >= SURGE else 1  # a page of few words is all text
+    out, i, after = [], 0, 0
     while i < len(sums):
         if sums[i] < surge:
             i += 1
@@ -158,11 +160,10 @@ def main_text(page: str | None) -> list[str]:
         end = i
         while end < len(sums) and sums[end]:
             end += 1
-        if not article:  # short lines just before the surge belong to it
-            while i > 0 and weights[i - 1] and len(out) < i:
-                i -= 1
-        out += [t for (t, _, inside), w in zip(found[i:end], weights[i:end]) if w and (inside or not article)]
-        i = end
+        while i > after and weights[i - 1]:  # short lines just before the surge belong to it
+            i -= 1
+        out += [t for (t, _, _), w in zip(found[i:end], weights[i:end]) if w]
+        i = after = end
     return out
 
 

@@ -30,6 +30,22 @@ def test_without_article_element():
     assert main_text(page) == ["Big title", ("word " * 40).strip(), "short end."]
 
 
+def test_article_beside_the_text():
+    body = [f"Paragraph {k} of the text proper, " + "which goes on for a good while and says something " * 3 for k in range(4)]
+    card = "<article class='card'><p>A teaser of a few words</p></article>"
+    gap = "".join(f"<div><a href='/{k}'>link {k}</a></div>" for k in range(4))
+    text = "".join(f"<div>{b}</div>" for b in body)
+    want = [" ".join(b.split()) for b in body]
+    assert main_text(card + gap + text) == main_text(text + gap + card) == want
+    assert [b for b in main_text(card + text) if b in want] == want
+
+
+def test_windows_decide_inside_and_outside_articles():
+    long, gap = "word " * 40, "<div>stray words</div>" + "".join(f"<div><a href='/{k}'>link {k}</a></div>" for k in range(4))
+    page = f"<article><p>{long}</p></article>{gap}<article><p>card</p></article>"
+    assert main_text(page) == [long.strip()]
+
+
 def test_edges():
     assert main_text(None) == main_text("") == []
     assert main_text("<p>unclosed <b attr='x") == ["unclosed"]
