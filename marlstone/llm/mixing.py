@@ -3,9 +3,10 @@
 Rows of a source form blocks. A slot of the mix takes one block. With weights w over a period D (their sum), block j
 of a source is released at slot floor(j D / w) and due by slot ceil((j + 1) D / w); among the released blocks
 the one that is due earliest goes first (ties: the source that sorts first). So after every slot each source
-deviates from its share by less than one block. The schedule of one period depends on the weights alone. It is
-made on the driver, from at most ``MAX_SOURCES`` weights of a resolution of ``RESOLUTION``, and every row looks up
-its slot; rows are never walked through in order.
+deviates from its share by less than one block. The weights are taken as they are given, as exact fractions. The
+schedule depends on the weights and the numbers of blocks alone. It is made on the driver for the slots that are used,
+from at most ``MAX_SOURCES`` weights, in a few bytes for each slot, and every row looks up its slot; rows are never
+walked through in order.
 
 A source that runs out leaves, and the others go on by their weights (a new phase), so every row is used
 exactly once and none is dropped or repeated. The order is the mix: ``mix`` adds block, slot and position, and
@@ -16,14 +17,16 @@ about ``MAX_BUCKETS`` in all, whose counts give each bucket's first row; so a so
 numbered by many tasks.
 
 Defined results: rows without a source form a source of their own; null ids and texts are values like others;
-equal rows are interchangeable; a weight of zero or a missing one counts as the smallest; an empty table gives
-an empty result; columns named like an added one are replaced.
+equal rows are interchangeable; a weight of zero or a missing one counts as a share of one in ``RESOLUTION``, or as
+the smallest weight if that is less; an empty table gives an empty result; columns named like an added one are replaced.
 """
 
 from __future__ import annotations
 
 import heapq
-from math import gcd
+from array import array
+from fractions import Fraction
+from math import gcd, lcm
 
 import numpy as np
 import pandas as pd
@@ -39,68 +42,65 @@ BUCKET_ROWS, MAX_BUCKETS = 1000, 100_000
 ADDED = ("mix_block", "mix_slot", "mix_position")
 
 
-def period(weights: list[int]) -> list[int]:
-    """The source of each slot of one period: earliest deadline first among the released blocks."""
+def phase(weights: list[int], left: list[int]) -> array:
+    """The source of each slot, until a source has used up its blocks or a period is over: earliest deadline first among the released blocks."""
     total = sum(weights)
-    waiting = [(0, i) for i in range(len(weights))]  # (release, source); every first block is released at once
-    heapq.heapify(waiting)
-    done, ready, out = [0] * len(weights), [], []
-    for slot in range(total):
+    ready = sorted((-(-total // w), i) for i, w in enumerate(weights))  # (deadline, source); every first block is released at once
+    done, waiting, out, slot = [0] * len(weights), [], array("i"), 0
+    while slot < total:
         while waiting and waiting[0][0] <= slot:
             _, i = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(done[i] + 1) * total // weights[i]), i))
         _, i = heapq.heappop(ready)
         out.append(i)
+        slot += 1
         done[i] += 1
+        if done[i] == left[i]:
+            break
         if done[i] < weights[i]:
             heapq.heappush(waiting, (done[i] * total // weights[i], i))
     return out
 
 
 class Schedule:
-    """Slots of all blocks of sources with given integer weights and numbers of blocks."""
+    """Slots of all blocks of sources with given whole weights, of any size, and numbers of blocks."""
 
     def __init__(self, weights: list[int], blocks: list[int]):
-        left, taken, start = list(blocks), [0] * len(blocks), 0
-        #: For each source: (first block, first slot, period, blocks in a period, slots of these) of each phase.
-        self.phases: list[list[tuple[int, int, int, int, np.ndarray]]] = [[] for _ in blocks]
+        left, start = np.array(blocks, np.int64), 0
         #: For each source the slot of its last block.
         self.last = [-1] * len(blocks)
-        live = [i for i, n in enumerate(left) if n]
-        while live:
+        taken = [np.zeros(0, np.int32)]  # the source of each slot
+        live = np.flatnonzero(left)
+        while len(live):
             shared = gcd(*(weights[i] for i in live))
             w = [weights[i] // shared for i in live]
-            table = np.array(period(w))
-            slots = [np.flatnonzero(table == k) for k in range(len(live))]
-            ends = [len(table) * ((left[i] - 1) // n) + int(s[(left[i] - 1) % n]) for i, n, s in zip(live, w, slots)]
-            length = min(ends) + 1
-            for i, n, s in zip(live, w, slots):
-                self.phases[i].append((taken[i], start, len(table), n, s))
-                used = length // len(table) * n + int(np.searchsorted(s, length % len(table)))
-                taken[i] += used
-                left[i] -= used
-                if not left[i]:
-                    self.last[i] = start + length - 1
+            table = np.frombuffer(phase(w, left[live].tolist()), np.int32)
+            length = len(table)
+            if length == sum(w):  # a whole period: repeated until a source runs out
+                slots = np.split(np.argsort(table, kind="stable"), np.cumsum(w)[:-1])
+                length = 1 + min(length * ((n - 1) // k) + int(s[(n - 1) % k]) for n, k, s in zip(left[live].tolist(), w, slots))
+            taken.append(np.resize(live.astype(np.int32)[table], length))
+            left -= np.bincount(taken[-1], minlength=len(left))
             start += length
-            live = [i for i in live if left[i]]
+            for i in live[left[live] == 0].tolist():
+                self.last[i] = start - 1
+            live = live[left[live] > 0]
         self.slots = start
+        self._first = np.concatenate([[0], np.cumsum(blocks)]).astype(np.int64)
+        #: The slots of all blocks, by source and block.
+        self._slots = np.argsort(np.concatenate(taken), kind="stable").astype(np.int32 if start < 2**31 else np.int64)
 
-    def slot(self, source: int, block: np.ndarray) -> np.ndarray:
-        """The slots of a source's blocks."""
-        phases = self.phases[source]
-        at = np.searchsorted([p[0] for p in phases], block, "right") - 1
-        out = np.empty(len(block), np.int64)
-        for k in np.unique(at):
-            first, start, length, n, slots = phases[k]
-            b = block[at == k] - first
-            out[at == k] = start + b // n * length + slots[b % n]
-        return out
+    def slot(self, source: int | np.ndarray, block: np.ndarray) -> np.ndarray:
+        """The slots of a source's blocks, or of blocks of several sources."""
+        return self._slots[self._first[source] + block].astype(np.int64)
 
 
 def whole_weights(weights: dict[str, float], resolution: int = RESOLUTION) -> dict[str, int]:
-    """Weights as whole numbers of about that sum, one at least."""
-    total = sum(w for w in weights.values() if w > 0) or 1.0
-    return {s: max(1, round(resolution * max(w, 0) / total)) for s, w in weights.items()}
+    """Whole numbers in exactly the weights' ratios."""
+    given = {s: Fraction(w) for s, w in weights.items() if w > 0}
+    least = min(*given.values(), sum(given.values()) / resolution) if given else Fraction(1)
+    shared = lcm(*(w.denominator for w in given.values()), least.denominator)
+    return {s: int(given.get(s, least) * shared) for s in weights}
 
 
 def mix(df: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS, seed: int = 0, alpha: float = ALPHA) -> DataFrame:
@@ -141,11 +141,7 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, id_col: str = "d
 
     @F.pandas_udf(T.LongType())
     def slot_of(k: pd.Series, block: pd.Series) -> pd.Series:
-        out = np.empty(len(k), np.int64)
-        k, block = k.to_numpy(), block.to_numpy()
-        for source in np.unique(k):
-            out[k == source] = plan.slot(int(source), block[k == source])
-        return pd.Series(out)
+        return pd.Series(plan.slot(k.to_numpy(), block.to_numpy()))
 
     @F.pandas_udf(T.LongType())
     def first_of(slot: pd.Series) -> pd.Series:

@@ -38,6 +38,23 @@ def test_schedule_equals_simulation():
         assert [s for s, _ in placed] == list(range(sum(blocks)))
 
 
+def test_deviation_from_unrounded_weights():
+    for hot, few, n in ((3_000_000, 9000, 700), (3_000_000, 300_000, 19)):
+        given = {str(k).zfill(5): (few if k else hot) ** 0.5 for k in range(n + 1)}
+        whole, slots = mixing.whole_weights(given), 20_000
+        plan = mixing.Schedule([whole[s] for s in sorted(given)], [slots] + [30 if n > 100 else slots] * n)
+        share = Fraction(hot**0.5) / sum(map(Fraction, given.values()))
+        at = plan.slot(0, np.arange(400))
+        end = min(plan.last)
+        assert all(abs((s + 1) * share - (j + 1)) < 1 and abs(s * share - j) < 1 for j, s in enumerate(at.tolist()) if s <= end)
+
+
+def test_zero_weights_are_small():
+    assert mixing.whole_weights({"a": 0.0, "b": 0.0}) == {"a": 1, "b": 1}
+    whole = mixing.whole_weights({"a": 3, "b": 1, "c": 0})
+    assert whole["a"] == 3 * whole["b"] == 750 * whole["c"]
+
+
 def test_every_row_once_without_gaps(spark, docs):
     rows = mixing.mixed_in_order(docs, block_rows=2).collect()
     assert [r["mix_position"] for r in rows] == list(range(docs.count()))
