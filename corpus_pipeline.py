@@ -2,13 +2,20 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet, and read again as the next one's
 docs. All but the last keep the columns of documents. The mixing stage drops nothing: its decision is the order,
-which its files hold, and the packing stage fills its sequences in the order of the files it reads.
+which its files hold: by their numbers, and by the rows in each. A scan deals files out in another order, so the packing
+stage finds each row's position from its file and row number and goes by it: task p packs the p-th range of positions,
+in order, and sequence ids ascend with the tasks. Inside a task the groups of windows follow the mix; a group's pieces
+are dealt out among its windows.
 """
 
 from __future__ import annotations
 
+import itertools
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from marlstone.llm import exact_dedup, mixing, near_dedup, packing, quality
 from marlstone.llm.storage import carried, fresh_dir
@@ -37,11 +44,28 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return mixing.mixed_in_order(docs).select(*carried(docs, ()))
 
 
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """Documents read from Parquet files, in the order in which the files were written; others as they come."""
+    spark, kept = docs.sparkSession, carried(docs, ("mix_position",))
+    try:
+        rows = docs.select(*kept, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:  # no files, no order
+        return docs
+    # a file's number is that of the task that wrote it, however many digits it has; a task's further files go by name
+    number = lambda path: (int(m[1]) if (m := re.search(r"part-(\d+)[^/]*$", path)) else 0, path)
+    sizes = sorted(rows.groupBy("__file").count().collect(), key=lambda r: number(r["__file"]))  # one row for each file
+    before = [0, *itertools.accumulate(r["count"] for r in sizes)]
+    firsts = spark.createDataFrame([(r["__file"], n) for r, n in zip(sizes, before)], "__file string, __before long")
+    placed = rows.join(F.broadcast(firsts), "__file").select(*kept, (F.col("__before") + F.col("__row")).alias("mix_position"))
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return mixing.in_order(placed, before[-1], files).select(*kept)
+
+
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their ids and their places in sequences."""
+    """Pieces of documents with their ids and their places in sequences, in the order of the mix."""
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
+    return packing.pack_documents(in_file_order(docs), public_tokenizers.path(TOKENIZER))
 
 
 STAGES = [

@@ -4,7 +4,9 @@ import random
 from fractions import Fraction
 
 import numpy as np
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from marlstone.llm import mixing
 
 
@@ -71,3 +73,30 @@ def test_prefixes_follow_weights(spark):
 
 def test_empty(empty):
     assert mixing.mixed_in_order(empty).count() == 0
+
+
+def test_order_reaches_the_sequences(spark, tmp_path):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "repeat(concat('word ', id, ' '), IF(id % 7 = 0, 420, 20)) AS text", "CASE WHEN id % 7 = 0 THEN 'long' ELSE concat('s', id % 3) END AS source")
+    # files of very different lengths, the largest one last
+    mixing.in_order(docs.withColumn("mix_position", 4000 - 1 - F.col("doc_id")), 4000, 4).drop("mix_position").write.parquet(str(tmp_path / "mixed"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        pieces = corpus_pipeline.packed_sequences(spark, spark.read.parquet(str(tmp_path / "mixed")), "").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    tasks = {}
+    for r in pieces:
+        tasks.setdefault(r["sequence_id"] >> 32, set()).add(3999 - r["doc_id"])
+    ranges = [(min(v), max(v)) for _, v in sorted(tasks.items())]
+    assert len(ranges) == 4 and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+    assert sorted(set().union(*tasks.values())) == list(range(4000))
+
+
+def test_file_order(spark, tmp_path):
+    for name, ids in (("part-00002-a", range(5)), ("part-100000-a", range(5, 3000)), ("part-99999-a", range(3000, 3010))):
+        spark.createDataFrame([(i,) for i in ids], "doc_id long").coalesce(1).write.parquet(str(tmp_path / name))
+        next((tmp_path / name).glob("part-*.parquet")).rename(tmp_path / f"{name}.parquet")
+    read = spark.read.parquet(*(str(tmp_path / f"{n}.parquet") for n in ("part-100000-a", "part-99999-a", "part-00002-a")))
+    assert [r["doc_id"] for r in corpus_pipeline.in_file_order(read).collect()] == [*range(5), *range(3000, 3010), *range(5, 3000)]
+    assert corpus_pipeline.in_file_order(spark.range(3).withColumnRenamed("id", "doc_id")).count() == 3
