@@ -9,8 +9,8 @@ How many entries are enough, as a share of the index, is fitted on the sample to
 lower. (Vectors without any structure need a large share; nothing in the walk bounds it.)
 
 Every row is indexed. Pairs are packed into shards of about ``SHARD_ROWS`` entries, a large pair is cut into several,
-and queries stream past their shards' entries, so memory is bounded by a shard. Equal vectors are merged where they
-are read: of a distinct vector no more than the ``k`` + 1 smallest ids can be among anyone's nearest.
+and queries stream past their shards' entries, so memory is bounded by a shard. The cut before the exact distances
+holds ``k`` distinct ids, however many entries these have. Equal vectors are merged where they are read: of a distinct vector no more than the ``k`` + 1 smallest ids can be among anyone's nearest.
 
 Defined results: vectors that are null or zero, hold null or non-finite components or have another length than
 most of the sample take no part, nor do null ids; a repeated id counts as one row; ties go to the smaller id; fewer
@@ -50,18 +50,23 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -
 class MultiIndex:
     """Centroids of both halves, and the share of all entries that a query looks at."""
 
-    def __init__(self, sample: np.ndarray, centroids: int, k: int = K, target: float = TARGET_RECALL, seed: int = 5):
+    def __init__(self, sample: np.ndarray, centroids: int, k: int = K, target: float = TARGET_RECALL, seed: int = 5, ids: np.ndarray | None = None):
         rng = np.random.default_rng(seed)
         self.dim, self.cut = sample.shape[1], sample.shape[1] // 2
         self.left, self.right = (_kmeans(h, centroids, rng) for h in (sample[:, : self.cut], sample[:, self.cut :]))
         queries = rng.choice(len(sample), min(200, len(sample)), replace=False)
         cells = self.cells(sample)
         counts = np.bincount(cells, minlength=self.size)
-        needed = []
+        needed, repeated = [], ids is not None and len(np.unique(ids)) < len(ids)
         for q in queries.tolist():
             d = ((sample - sample[q]) ** 2).sum(1)
-            d[q] = np.inf
-            near = np.argpartition(d, min(k, len(d) - 1))[:k]
+            if repeated:  # of each other id the nearest row
+                d[ids == ids[q]] = np.inf
+                by_d = np.argsort(d, kind="stable")
+                near = by_d[np.sort(np.unique(ids[by_d], return_index=True)[1])[:k]]
+            else:
+                d[q] = np.inf
+                near = np.argpartition(d, min(k, len(d) - 1))[:k]
             sums = self._sums(sample[q])
             order = np.argsort(sums, kind="stable")
             reach = np.empty(self.size, np.int64)
@@ -118,13 +123,13 @@ def nearest(df: DataFrame, every: int, id_col: str = "vec_id", vector_col: str =
     schema = "query_id long, rank int, vec_id long, score double"
     usable = _usable(df, id_col, vector_col)
     rows = usable.count()
-    held = [r["v"] for r in usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()]
+    held = [(r["vec_id"], r["v"]) for r in usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()]
     if not held:
         return spark.createDataFrame([], schema)
-    sizes = np.bincount([len(v) for v in held])
+    sizes = np.bincount([len(v) for _, v in held])
     dim = int(sizes.argmax())
     centroids = int(min(MAX_CENTROIDS, max(4, 2 ** round(np.log2(max(1.0, rows**0.5 / 8))))))
-    index = MultiIndex(np.array([v for v in held if len(v) == dim]), centroids, k, target)
+    index = MultiIndex(np.array([v for _, v in held if len(v) == dim]), centroids, k, target, ids=np.array([i for i, v in held if len(v) == dim]))
     usable = usable.filter(F.size("v") == dim)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,12 +206,20 @@ def nearest(df: DataFrame, every: int, id_col: str = "vec_id", vector_col: str =
                     q = np.frombuffer(raw, np.float64)
                     near = np.flatnonzero(np.isin(cell, cells))
                     rough = size[near] - 2 * (x[near] @ q) + q @ q
-                    if len(near) > k + 1:  # the query's own vector may be one of them; ties at the edge stay in
-                        edge = np.partition(rough, k)[k]
-                        near = near[rough <= edge + 1e-9 * (1 + abs(edge) + q @ q)]
-                    exact = np.sqrt(((x[near] - q) ** 2).sum(1)).tolist()
-                    found = sorted({(d, i) for d, n in zip(exact, near.tolist()) for i in ids[n] if i != query})[:k]
-                    out += [(query, i, d) for d, i in found]
+                    wanted = k + 1  # the query's own vector may be one of them
+                    while True:
+                        kept = near
+                        if len(near) > wanted:  # ties at the edge stay in
+                            edge = np.partition(rough, wanted - 1)[wanted - 1]
+                            kept = near[rough <= edge + 1e-9 * (1 + abs(edge) + q @ q)]
+                        if len(kept) == len(near) or len({i for n in kept.tolist() for i in ids[n]} - {query}) >= k:
+                            break
+                        wanted *= 2  # entries of repeated ids fill the cut
+                    exact = np.sqrt(((x[kept] - q) ** 2).sum(1)).tolist()
+                    least: dict[int, float] = {}
+                    for d, i in sorted((d, i) for d, n in zip(exact, kept.tolist()) for i in ids[n] if i != query):
+                        least.setdefault(i, d)
+                    out += [(query, i, d) for i, d in list(least.items())[:k]]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 

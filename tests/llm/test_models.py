@@ -47,6 +47,24 @@ def test_ties_go_to_small_ids(spark):
     assert all(sorted(r["vec_id"] for r in found if r["query_id"] == q) == [i for i in range(12) if i != q][:10] for q in (0, 100, 200))
 
 
+def test_repeated_ids_count_once(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(400)]
+    spread = [(i, [c + 1e-4 * t for c in v]) for t in range(13) for i, v in rows]  # 13 vectors of each id, no two of them equal
+    once = neighbours.nearest(frame(spark, rows), 20, target=1.0).collect()
+    for many in (frame(spark, rows * 12).repartition(12), frame(spark, spread)):
+        found = neighbours.nearest(many, 20, target=1.0).collect()
+        by_query = {}
+        for r in found:
+            by_query.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert len(by_query) == 20 and all(len(set(v)) == 10 for v in by_query.values())
+    want = {}
+    for r in once:
+        want.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = sum(len(want[q] & set(v)) for q, v in by_query.items())
+    assert hits >= 0.9 * 200
+
+
 def test_unusable_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [1.0]), (None, [1.0, 1.0]), (7, [2.0, 0.0]), (8, [0.0, 3.0]), (100, [0.0, 0.0])]
     found = sorted(tuple(r) for r in neighbours.nearest(frame(spark, rows), 100).collect())
