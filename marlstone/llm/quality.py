@@ -6,8 +6,8 @@ words that repeat). Their responses are averaged over chunks of 128 bytes that o
 whole text; a second layer of learned filters reads each chunk; each filter's largest response over all chunks
 goes into one probability. Texts are taken in segments, so memory does not grow with a text's length.
 
-Labels are learned from a bounded sample (``SAMPLE`` labelled rows in the order of a hash, at most ``SAMPLE_BYTES``
-bytes of each); every text is scored whole.
+Labels are learned from a bounded sample of labelled rows (at most ``SAMPLE`` in the order of a hash, of ``SAMPLE_BYTES``
+bytes together), each with its whole text; every text is scored whole.
 
 Defined results: a null text is scored as an empty one, which is one chunk of zeros; a null id is never held
 out; labels that are null are not learned from, several labels of an id count as their mean; without labels the
@@ -30,7 +30,9 @@ from .storage import carried, numbered, small_batches
 
 BLOCK, TAPS, FILTERS, LAGS, HIDDEN = 64, 3, 12, 32, 16
 SEGMENT = 1 << 18
-SAMPLE, SAMPLE_BYTES, STEPS, BATCH, THRESHOLD = 3000, 8192, 500, 32, 0.3
+SAMPLE, SAMPLE_BYTES, STEPS, BATCH, THRESHOLD = 3000, 32 << 20, 900, 32, 0.3
+#: What stands for no byte, before and after a text.
+NONE = 256
 
 
 def _lag_sums(data: np.ndarray, ahead: int) -> np.ndarray:
@@ -54,6 +56,10 @@ def _paired(sums: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return (sums[:-1] + sums[1:]) / np.maximum(sizes[:-1] + sizes[1:], 1)[:, None]
 
 
+def _block_sums(z: np.ndarray) -> np.ndarray:
+    return (np.ones((1, BLOCK), np.float32) @ z)[:, 0]
+
+
 def _top_two(lags: np.ndarray) -> np.ndarray:
     return -np.partition(-lags, 1, axis=1)[:, :2]
 
@@ -67,7 +73,7 @@ class Network:
     hidden: np.ndarray
     hidden_bias: np.ndarray
     out: np.ndarray
-    out_bias: float = 0.0
+    out_bias: np.ndarray = field(default_factory=lambda: np.zeros(1, np.float32))
     trained: bool = False
     _moments: dict = field(default_factory=dict, repr=False)
 
@@ -82,10 +88,11 @@ class Network:
     def responses(self, data: np.ndarray, ahead: int) -> np.ndarray:
         """First-layer responses at every byte of data[ahead:]; bytes before the text count as none."""
         n = len(data) - ahead
-        z = np.tile(self.bias, (n, 1))
-        for k in range(TAPS):
-            skip = min(max(0, k - ahead), n)
-            z[skip:] += self.taps[k][data[ahead + skip - k : max(len(data) - k, 0)]] if skip < n else 0
+        z = np.take(self.taps[0] + self.bias, data[ahead:], axis=0)
+        for k in range(1, TAPS):
+            skip = max(0, k - ahead)
+            if skip < n:
+                z[skip:] += np.take(self.taps[k], data[ahead + skip - k : len(data) - k], axis=0)
         return np.maximum(z, 0, out=z)
 
     def chunks(self, raw: bytes) -> Iterator[np.ndarray]:
@@ -102,7 +109,7 @@ class Network:
             blocks = -(-n // BLOCK)
             z = np.zeros((blocks * BLOCK, FILTERS), np.float32)
             z[:n] = self.responses(part, ahead)
-            sums = np.concatenate([z.reshape(blocks, BLOCK, FILTERS).sum(1), _lag_sums(part, ahead)], axis=1)
+            sums = np.concatenate([_block_sums(z.reshape(blocks, BLOCK, FILTERS)), _lag_sums(part, ahead)], axis=1)
             sizes = np.full(blocks, BLOCK, np.float32)
             sizes[-1] = n - BLOCK * (blocks - 1)
             if last is not None:  # the chunk across two segments
@@ -119,7 +126,7 @@ class Network:
 
     def score(self, raw: bytes) -> float:
         """The probability of a good text."""
-        return float(1 / (1 + np.exp(-float(self.pooled(raw) @ self.out + self.out_bias)))) if self.trained else 0.5
+        return float(1 / (1 + np.exp(-float(self.pooled(raw) @ self.out + self.out_bias[0])))) if self.trained else 0.5
 
     def _descend(self, name: str, value: np.ndarray, gradient: np.ndarray, rate: float, step: int) -> None:
         m, v = self._moments.setdefault(name, (np.zeros_like(value), np.zeros_like(value)))
@@ -129,45 +136,83 @@ class Network:
 
     def train(self, texts: list[bytes], good: np.ndarray, steps: int = STEPS, seed: int = 7, batch: int = BATCH, rate: float = 0.02) -> "Network":
         """Adam on the log loss, for about so many steps of a batch. Only the chunks that won a maximum pass a gradient on to the first layer."""
-        rng, step, bias = np.random.default_rng(seed), 0, np.zeros(1, np.float32)
-        data = [np.frombuffer(t, np.uint8) for t in texts]
+        rng, step = np.random.default_rng(seed), 0
+        held, good = [Sample(t) for t in texts], np.asarray(good, np.float32)
         epochs = max(1, min(60, -(-steps * batch // len(texts))))
         for epoch in range(epochs):
+            now = rate * (1 - epoch / epochs)
             for rows in np.array_split(rng.permutation(len(texts)), max(1, len(texts) // batch)):
-                g = {k: np.zeros_like(getattr(self, k)) for k in ("taps", "bias", "hidden", "hidden_bias", "out")}
-                g_bias = np.zeros(1, np.float32)
-                for i in rows.tolist():
-                    x = next(self.chunks(texts[i]))  # a sample's text is one segment
-                    h = x @ self.hidden + self.hidden_bias
-                    won = h.argmax(0)
-                    top = np.maximum(h[won, np.arange(HIDDEN)], 0)
-                    error = (1 / (1 + np.exp(-float(top @ self.out + bias[0]))) - good[i]) / len(rows)
-                    g["out"] += error * top
-                    g_bias += error
-                    back = np.where(top > 0, error * self.out, 0).astype(np.float32)
-                    g["hidden_bias"] += back
-                    g["hidden"] += x[won].T * back
-                    for chunk in np.unique(won).tolist():
-                        down = self.hidden[:FILTERS] @ np.where(won == chunk, back, 0)
-                        a, b = chunk * BLOCK, min(len(data[i]), (chunk + 2) * BLOCK)
-                        ahead = min(a, TAPS)
-                        part = data[i][a - ahead : b]
-                        if b <= a or not down.any():
-                            continue
-                        z = (self.responses(part, ahead) > 0) * (down / (b - a))
-                        g["bias"] += z.sum(0)
-                        for k in range(TAPS):
-                            skip = max(0, k - ahead)
-                            if skip < len(z):
-                                np.add.at(g["taps"][k], part[ahead + skip - k : len(part) - k], z[skip:])
                 step += 1
-                now = rate * (1 - epoch / epochs)
-                for k, v in g.items():
-                    self._descend(k, getattr(self, k), v + 1e-5 * getattr(self, k), now, step)
-                self._descend("out_bias", bias, g_bias, now, step)
-        self.out_bias, self.trained, self._moments = float(bias[0]), True, {}
+                for name, gradient in self.gradients([held[i] for i in rows.tolist()], good[rows])[1].items():
+                    value = getattr(self, name)
+                    self._descend(name, value, gradient if name == "out_bias" else gradient + 1e-5 * value, now, step)
+        self.trained, self._moments = True, {}
         return self
 
+    def gradients(self, batch: list["Sample"], good: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """The mean log loss of a batch of whole texts, and its gradient for each weight."""
+        symbols = np.concatenate([s.symbols for s in batch])
+        begin = np.cumsum([0, *(len(s.symbols) for s in batch)])[:-1]  # where each text starts
+        seen = [symbols]
+        for k in range(1, TAPS):
+            before = np.full_like(symbols, NONE)
+            before[k:] = symbols[:-k]
+            for j in range(k):
+                before[np.minimum(begin + j, len(symbols) - 1)] = NONE  # nothing stands before a text
+            seen.append(before)
+        tables = np.concatenate([self.taps, np.zeros((TAPS, 1, FILTERS), np.float32)], axis=1)
+        z = np.take(tables[0] + self.bias, symbols, axis=0)
+        for k in range(1, TAPS):
+            z += np.take(tables[k], seen[k], axis=0)
+        np.maximum(z, 0, out=z)
+        z[symbols == NONE] = 0
+        z = z.reshape(-1, BLOCK, FILTERS)
+        sums = _block_sums(z)
+        chunks = np.cumsum([0, *(len(s.sizes) for s in batch)])
+        first = np.concatenate([b // BLOCK + np.arange(len(s.sizes)) for b, s in zip(begin.tolist(), batch)])
+        lone = np.repeat([len(s.symbols) == BLOCK for s in batch], np.diff(chunks))
+        second = np.where(lone, first, first + 1)
+        sizes = np.concatenate([s.sizes for s in batch])[:, None]
+        x = np.concatenate([(sums[first] + np.where(lone[:, None], 0, sums[second])) / sizes, np.concatenate([s.lags for s in batch])], axis=1)
+        h = x @ self.hidden + self.hidden_bias
+        won = np.array([a + h[a:b].argmax(0) for a, b in zip(chunks[:-1].tolist(), chunks[1:].tolist())])
+        top = np.maximum(h[won, np.arange(HIDDEN)], 0)
+        raw = top @ self.out + self.out_bias[0]
+        error = ((1 / (1 + np.exp(-raw)) - good) / len(batch)).astype(np.float32)
+        back = np.where(top > 0, error[:, None] * self.out, 0).astype(np.float32)
+        g = {"out": error @ top, "out_bias": error.sum(keepdims=True), "hidden_bias": back.sum(0), "hidden": np.einsum("bjf,bj->fj", x[won], back)}
+        # what the first layer gets: by winning chunk, then by block, then by byte
+        down = np.zeros((len(x), FILTERS), np.float32)
+        np.add.at(down, won.ravel(), (self.hidden[:FILTERS].T * back[:, :, None]).reshape(-1, FILTERS))
+        down /= sizes
+        by_block = np.zeros((len(sums), FILTERS), np.float32)
+        np.add.at(by_block, first, down)
+        np.add.at(by_block, second[~lone], down[~lone])
+        used = np.flatnonzero(by_block.any(1))
+        dz = ((z[used] > 0) * by_block[used][:, None]).reshape(-1, FILTERS)
+        g["bias"] = dz.sum(0)
+        g["taps"] = np.empty_like(self.taps)
+        for k in range(TAPS):
+            at = seen[k].reshape(-1, BLOCK)[used].ravel().astype(np.int64)[:, None] * FILTERS + np.arange(FILTERS)
+            g["taps"][k] = np.bincount(at.ravel(), dz.ravel(), (NONE + 1) * FILTERS).reshape(-1, FILTERS)[:NONE]
+        loss = np.logaddexp(0, np.where(good > 0.5, -raw, raw)).mean()
+        return float(loss), g
+
+
+class Sample:
+    """A whole text as the training sees it: bytes filled up to blocks, its chunks' sizes and their strongest lags, which do not change."""
+
+    def __init__(self, raw: bytes):
+        data = np.frombuffer(raw, np.uint8)
+        blocks = max(1, -(-len(data) // BLOCK))
+        self.symbols = np.full(blocks * BLOCK, NONE, np.uint16)
+        self.symbols[: len(data)] = data
+        sizes = np.full(blocks, BLOCK, np.float32)
+        sizes[-1] = len(data) - BLOCK * (blocks - 1)
+        self.sizes = np.maximum(sizes, 1) if blocks == 1 else sizes[:-1] + sizes[1:]
+        sums = _lag_sums(data, 0) if len(data) else np.zeros((1, LAGS), np.float32)
+        self.lags = _top_two(_paired(sums, sizes)).astype(np.float32)
+
 
 def held_out(id_col: str = "doc_id"):
     """Rows that are never learned from: crc32 of the id as text is divisible by 5."""
@@ -175,15 +220,26 @@ def held_out(id_col: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, steps: int = STEPS) -> Network:
-    """A network for the label. Broadcast and collected are at most ``sample`` rows, of ``sample_bytes`` bytes each."""
+    """A network for the label, learned from whole texts: of the first ``sample`` labelled rows in the order of a hash
+    those that fit into ``sample_bytes`` bytes together (a text that is too long for what is left is passed over)."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("__id")).agg(F.avg(label_col).alias("__good"))
     chosen = docs.sparkSession.createDataFrame(known.orderBy(F.xxhash64("__id"), "__id").limit(sample).collect(), known.schema)
-    raw = F.substring(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 1, sample_bytes)
-    rows = docs.select(F.col(id_col).alias("__id"), raw.alias("__raw")).join(F.broadcast(chosen), "__id").orderBy(F.xxhash64("__id"), "__id", "__raw").limit(sample).collect()
-    if not rows:
+    raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    texts = docs.select(F.col(id_col).alias("__id"), raw.alias("__raw"))
+    sizes = texts.join(F.broadcast(chosen), "__id").select("__id", F.xxhash64("__raw").alias("__hash"), F.octet_length("__raw").alias("__size"))
+    taken, left = set(), sample_bytes
+    for r in sizes.distinct().orderBy(F.xxhash64("__id"), "__id", "__hash").limit(sample).collect():
+        if r["__size"] <= left:
+            taken.add((r["__id"], r["__hash"]))
+            left -= r["__size"]
+    if not taken:
         return Network.fresh()
-    return Network.fresh().train([bytes(r["__raw"]) for r in rows], np.array([r["__good"] >= 0.5 for r in rows], np.float32), steps)
+    wanted = docs.sparkSession.createDataFrame(sorted(taken), sizes.select("__id", "__hash").schema)
+    found = texts.join(F.broadcast(chosen.join(wanted, "__id")), (texts["__id"] == wanted["__id"]) & (F.xxhash64("__raw") == F.col("__hash")))
+    rows = {(r[0], r[1]): (bytes(r[2]), r[3]) for r in found.select(texts["__id"], "__hash", "__raw", "__good").dropDuplicates(["__id", "__hash"]).collect()}
+    ordered = [rows[k] for k in sorted(rows)]
+    return Network.fresh().train([t for t, _ in ordered], np.array([g >= 0.5 for _, g in ordered], np.float32), steps)
 
 
 def score(docs: DataFrame, network: Network, text_col: str = "text", to: str = "score", keep: list[str] | None = None) -> DataFrame:

@@ -91,6 +91,74 @@ def test_chunks_do_not_depend_on_segments(monkeypatch):
     assert abs(net.score(raw) - whole) < 1e-5
 
 
+def naive_probability(net, raw):
+    """The network byte by byte, as its docstring says."""
+    relu = lambda v: max(0.0, v)
+    first = [[relu(float(net.bias[f]) + sum(float(net.taps[k][raw[p - k]][f]) for k in range(quality.TAPS) if p >= k)) for f in range(quality.FILTERS)] for p in range(len(raw))]
+    same = [[p >= lag and raw[p] == raw[p - lag] for lag in range(1, quality.LAGS + 1)] for p in range(len(raw))]
+    blocks = max(1, -(-len(raw) // quality.BLOCK))
+    best = [0.0] * quality.HIDDEN
+    for c in range(max(1, blocks - 1)):
+        at = range(c * quality.BLOCK, min(len(raw), (c + 2) * quality.BLOCK))
+        means = [sum(first[p][f] for p in at) / max(1, len(at)) for f in range(quality.FILTERS)]
+        lags = sorted((sum(same[p][k] for p in at) / max(1, len(at)) for k in range(quality.LAGS)), reverse=True)[:2]
+        for j in range(quality.HIDDEN):
+            best[j] = max(best[j], float(net.hidden_bias[j]) + sum(x * float(net.hidden[i][j]) for i, x in enumerate(means + lags)))
+    return 1 / (1 + np.exp(-(float(net.out_bias[0]) + sum(b * float(w) for b, w in zip(best, net.out)))))
+
+
+def odd_texts():
+    rng = np.random.default_rng(4)
+    return [b"", b"a", b"abc" * 50, bytes(rng.integers(0, 256, 64, dtype=np.uint8)), b"x" * 128, bytes(rng.integers(60, 90, 700, dtype=np.uint8)), "dé日本 ".encode() * 40]
+
+
+def test_score_equals_naive_forward_pass():
+    rng, net = np.random.default_rng(6), quality.Network.fresh()
+    net.trained, net.bias, net.hidden_bias = True, rng.normal(size=quality.FILTERS).astype(np.float32), rng.normal(size=quality.HIDDEN).astype(np.float32)
+    net.out_bias[0] = 0.3
+    texts = odd_texts()
+    want = [naive_probability(net, t) for t in texts]
+    assert np.allclose([net.score(t) for t in texts], want, atol=1e-4)
+    good = np.array([0, 1] * 4, np.float32)[: len(texts)]
+    loss, _ = net.gradients([quality.Sample(t) for t in texts], good)
+    assert abs(loss + np.mean([np.log(p if y else 1 - p) for p, y in zip(want, good)])) < 1e-4
+
+
+def test_gradients_are_slopes_of_the_loss():
+    net = quality.Network.fresh()
+    net.hidden_bias = np.random.default_rng(9).normal(0, 0.2, quality.HIDDEN)  # no text stands at a kink
+    for name in ("taps", "bias", "hidden", "hidden_bias", "out", "out_bias"):
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    batch, good = [quality.Sample(t) for t in odd_texts()], np.array([0, 1, 1, 0, 1, 0, 1], np.float32)
+    slopes = net.gradients(batch, good)[1]
+    rng = np.random.default_rng(2)
+    for name, slope in slopes.items():
+        value = getattr(net, name)
+        for at in sorted(zip(*(a.tolist() for a in np.unravel_index(rng.choice(value.size, min(6, value.size), replace=False), value.shape)))) + [tuple(np.unravel_index(np.abs(slope).argmax(), value.shape))]:
+            old, losses = value[at], []
+            for d in (1e-4, -1e-4):
+                value[at] = old + d
+                losses.append(net.gradients(batch, good)[0])
+            value[at] = old
+            assert abs((losses[0] - losses[1]) / 2e-4 - slope[at]) < 2e-3, (name, at)
+
+
+def test_learns_from_the_end_of_long_texts(spark):
+    rng = np.random.default_rng(8)
+    plain = lambda: " ".join("".join(map(chr, rng.integers(97, 123, 5))) for _ in range(2500))
+    rows = [(i, plain() + (" ####" * 300 if i % 2 else "")) for i in range(120)]  # bad only beyond 15,000 bytes
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows], "doc_id long, quality int")
+    net = quality.fit(docs, labels, steps=100)
+    assert np.mean([(net.score(t.encode()) >= 0.5) == (i % 2 == 0) for i, t in rows]) > 0.95
+
+
+def test_sample_of_bounded_bytes(spark):
+    docs = spark.createDataFrame([(i, "w " * (100 if i else 100_000)) for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    assert quality.fit(docs, labels, sample_bytes=5000, steps=1).trained and not quality.fit(docs, labels, sample_bytes=10, steps=1).trained
+
+
 def test_whole_text_counts():
     net = quality.Network.fresh()
     net.trained = True
