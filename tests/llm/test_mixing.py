@@ -4,28 +4,51 @@ import random
 from fractions import Fraction
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from marlstone.llm import mixing
 
 
+def ideal_services(weights, blocks):
+    """What the ideal mix has served of each source after every slot, as exact fractions."""
+    done, out = [Fraction(0)] * len(blocks), [[Fraction(0)] * len(blocks)]
+    for _ in range(sum(blocks)):
+        left = Fraction(1)  # of this slot
+        while left:
+            live = [i for i in range(len(blocks)) if done[i] < blocks[i]]
+            live = [i for i in live if weights[i]] or live
+            share = {i: Fraction(weights[i] or 1, sum(weights[j] or 1 for j in live)) for i in live}
+            step = min([left, *((blocks[i] - done[i]) / share[i] for i in live)])
+            for i in live:
+                done[i] += step * share[i]
+            left -= step
+        out.append(list(done))
+    return out
+
+
+def windows_of(ideal, i, blocks):
+    """(release, deadline) of each block of source i, slot by slot."""
+    out = []
+    for j in range(blocks[i]):
+        release = max(t for t, served in enumerate(ideal) if served[i] <= j)
+        out.append((release, min(t for t, served in enumerate(ideal) if served[i] >= j + 1)))
+    return out
+
+
 def simulate(weights, blocks):
-    """Earliest deadline first, slot by slot; checks the deviation as it goes."""
-    left, out = list(blocks), []
-    while any(left):
-        live = [i for i, n in enumerate(left) if n]
-        total, done, t = sum(weights[i] for i in live), dict.fromkeys(live, 0), 0
-        while True:
-            due = [(-(-(done[i] + 1) * total // weights[i]), i) for i in live if left[i] and done[i] * total // weights[i] <= t]
-            _, i = min(due)
-            out.append((i, blocks[i] - left[i]))
-            left[i] -= 1
-            done[i] += 1
-            t += 1
-            assert all(abs(Fraction(t * weights[k], total) - done[k]) < 1 for k in live)
-            if not left[i]:
-                break
+    """Earliest deadline first, slot by slot; checks releases, deadlines and the deviation as it goes."""
+    ideal, tiers = ideal_services(weights, blocks), ([i for i, w in enumerate(weights) if w], [i for i, w in enumerate(weights) if not w])
+    due = [windows_of(ideal, i, blocks) for i in range(len(blocks))]
+    done, out = [0] * len(blocks), []
+    for t in range(sum(blocks)):
+        tier = [i for i in tiers[0] if done[i] < blocks[i]] or [i for i in tiers[1] if done[i] < blocks[i]]
+        _, i = min((due[i][done[i]][1], i) for i in tier if due[i][done[i]][0] <= t)
+        out.append((i, done[i]))
+        done[i] += 1
+        assert due[i][done[i] - 1][0] <= t < due[i][done[i] - 1][1]
+        assert all(abs(ideal[t + 1][k] - done[k]) < 1 for k in range(len(blocks)))
     return out
 
 
@@ -33,28 +56,69 @@ def test_schedule_equals_simulation():
     random.seed(3)
     for _ in range(80):
         n = random.randint(1, 5)
-        weights, blocks = [random.randint(1, 9) for _ in range(n)], [random.randint(0, 40) for _ in range(n)]
+        weights, blocks = [random.randint(0, 9) for _ in range(n)], [random.randint(0, 30) for _ in range(n)]
         plan = mixing.Schedule(weights, blocks)
         placed = sorted((int(s), (i, k)) for i in range(n) for k, s in enumerate(plan.slot(i, np.arange(blocks[i]))))
         assert [p for _, p in placed] == simulate(weights, blocks)
         assert [s for s, _ in placed] == list(range(sum(blocks)))
 
 
-def test_deviation_from_unrounded_weights():
-    for hot, few, n in ((3_000_000, 9000, 700), (3_000_000, 300_000, 19)):
-        given = {str(k).zfill(5): (few if k else hot) ** 0.5 for k in range(n + 1)}
+def test_deviation_from_the_given_weights():
+    """Many sources, and irrational weights: every source stays within a block of its exact share until one runs out."""
+    for hot, few, n in ((3_000_000, 9000, 700), (3_000_000, 300_000, 19), (40_000, 3, 5000)):
+        given = {str(k).zfill(5): (few + k if k else hot) ** 0.5 for k in range(n + 1)}
         whole, slots = mixing.whole_weights(given), 20_000
-        plan = mixing.Schedule([whole[s] for s in sorted(given)], [slots] + [30 if n > 100 else slots] * n)
-        share = Fraction(hot**0.5) / sum(map(Fraction, given.values()))
-        at = plan.slot(0, np.arange(400))
+        plan = mixing.Schedule([whole[s] for s in sorted(given)], [slots // (1 if n < 100 else 50)] + [slots if n < 100 else 30] * n)
         end = min(plan.last)
-        assert all(abs((s + 1) * share - (j + 1)) < 1 and abs(s * share - j) < 1 for j, s in enumerate(at.tolist()) if s <= end)
-
-
-def test_zero_weights_are_small():
-    assert mixing.whole_weights({"a": 0.0, "b": 0.0}) == {"a": 1, "b": 1}
-    whole = mixing.whole_weights({"a": 3, "b": 1, "c": 0})
-    assert whole["a"] == 3 * whole["b"] == 750 * whole["c"]
+        for i, s in enumerate(sorted(given)):
+            share = Fraction(given[s]) / sum(map(Fraction, given.values()))
+            at = plan.slot(i, np.arange(30))
+            assert all(abs((s + 1) * share - (j + 1)) < 1 and abs(s * share - j) < 1 for j, s in enumerate(at.tolist()) if s <= end)
+
+
+def test_weights_are_exact():
+    whole = mixing.whole_weights({"a": 3, "b": 1, "c": 0, "d": 0.1})
+    assert whole["a"] == 3 * whole["b"] and whole["c"] == 0 and Fraction(whole["d"], whole["b"]) == Fraction(0.1)
+    with pytest.raises(ValueError):
+        mixing.whole_weights({"a": -1})
+
+
+def test_table_equals_simulation(spark):
+    """The positions of a whole table against slots that are walked through one by one."""
+    sizes = {"a": 130, "b": 77, "c": 40, "": 9, "zero": 20}
+    rows = spark.createDataFrame([(i, s or None) for s, n in sizes.items() for i in range(n)], "doc_id long, source string")
+    for weights in (None, {"a": 5, "b": 0.7, "c": 1 / 3, "\0": 1}):
+        names = sorted(s or "\0" for s in sizes)
+        count = {s or "\0": n for s, n in sizes.items()}
+        whole = mixing.whole_weights({s: weights.get(s, 0) if weights else count[s] ** 0.5 for s in names})
+        want, taken = [], dict.fromkeys(names, 0)
+        for i, _ in simulate([whole[s] for s in names], [-(-count[s] // 4) for s in names]):
+            n = min(4, count[names[i]] - taken[names[i]])
+            taken[names[i]] += n
+            want += [names[i]] * n
+        found = mixing.mixed_in_order(rows, weights=weights, block_rows=4).collect()
+        assert [r["source"] or "\0" for r in found] == want and [r["mix_position"] for r in found] == list(range(len(want)))
+
+
+def test_more_sources_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 3)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 7)
+    rows = spark.range(400).selectExpr("id AS doc_id", "concat('s', IF(id % 3 = 0, 0, id % 50)) AS source")
+    found = mixing.mixed_in_order(rows, block_rows=2).collect()
+    assert [r["mix_position"] for r in found] == list(range(400)) and len({r["doc_id"] for r in found}) == 400
+
+
+def test_blocks_grow_beyond_the_slots(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS", 10)
+    rows = spark.range(1000).selectExpr("id AS doc_id", "CAST(id % 2 AS string) AS source")
+    found = mixing.mixed_in_order(rows).collect()
+    assert {r["mix_block"] for r in found} == set(range(5)) and [r["mix_position"] for r in found] == list(range(1000))
+
+
+def test_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "a", "x", 1, 2, 3, 4, "y", 5)], "doc_id long, source string, __source string, __k int, k int, bucket int, hash int, __c0 string, Mix_Slot int")
+    found = mixing.mix(rows).collect()[0].asDict()
+    assert found == {"doc_id": 1, "source": "a", "__source": "x", "__k": 1, "k": 2, "bucket": 3, "hash": 4, "__c0": "y", "mix_block": 0, "mix_slot": 0, "mix_position": 0}
 
 
 def test_every_row_once_without_gaps(spark, docs):
