@@ -15,10 +15,15 @@ floor(1 - log_b(minimum)), within two bytes. Equal registers are about as likely
    of different components are compared on full sets. A link is kept where it joins components, so a block of
    s members returns fewer than s links. Buckets of any size are dealt out in blocks.
 
+Classes are named by 64 bits of their set's key, not by ids, so rows that share an id and differ in their text are
+documents of their own. Shingles are compared by 64-bit hashes of their words throughout, on the full sets.
+
 Defined results: a null or empty text, or one without words, has an empty set, links with nothing and stays; rows of
-a null id take no part in links, get a null component and stay; repeated rows share a component, and those
-with its smallest id all count as kept in the report (``drop_near`` keeps one of them); an empty table gives an
-empty result; other columns are ignored by the report and carried along by ``drop_near``.
+a null id take no part in links, get a null component and stay; repeated rows share a component, and in the report all
+with its smallest id count as kept. ``drop_near`` keeps exactly one row of each component, that of its smallest id
+(of several with that id one of the smallest text hash); an empty table gives an empty result; other columns,
+whatever their names, are ignored by the report and carried along by ``drop_near``. Texts are cut into words in segments,
+so a long one takes 8 bytes for each of its words and a few for each byte of a segment.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .storage import checkpointed, small_batches
+from .storage import carried, checkpointed, numbered, small_batches
 from .textkit import Words, mixed, noise, runs, windows
 
 WIDTH, REGISTERS, ROWS, BASE, RATE, TOP = 5, 144, 4, 1.001, 20.0, 65534
@@ -109,12 +114,12 @@ def _least_likely(percent: int) -> float:
 
 
 def sketch(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per document: doc_id, n_shingles, set_key (16 bytes that tell sets apart), registers."""
+    """One row per document: doc_id, text_hash, n_shingles, set_key (16 bytes that tell sets apart), registers."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            ids, at = batch.column(0), 0
-            for texts in runs(batch.column(1).to_pylist()):
+            ids, hashes, at = batch.column(0), batch.column(1), 0
+            for texts in runs(batch.column(2).to_pylist()):
                 shingles, first = shingle_sets(texts)
                 regs = iter(registers(shingles, first))
                 sizes, keys, held = [], [], []
@@ -123,10 +128,15 @@ def sketch(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     sizes.append(len(distinct))
                     keys.append(np.array([np.bitwise_xor.reduce(mixed(distinct)), mixed(distinct ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)], np.uint64).tobytes() if b > a else None)
                     held.append(next(regs).tobytes() if b > a else None)
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(texts)), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(held, pa.binary())], ["doc_id", "n_shingles", "set_key", "registers"])
+                yield pa.RecordBatch.from_arrays([ids.slice(at, len(texts)), hashes.slice(at, len(texts)), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(held, pa.binary())], ["doc_id", "text_hash", "n_shingles", "set_key", "registers"])
                 at += len(texts)
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, registers binary")
+    return _texts(df, id_col, text_col).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_key binary, registers binary")
+
+
+def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    raw = F.col(text_col).cast("binary")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(raw).alias("text_hash"), raw.alias("text"))
 
 
 def _screened(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -145,14 +155,24 @@ def _screened(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long")
 
 
-def _needed(texts: DataFrame, ids: DataFrame, most: int) -> DataFrame:
-    """Rows of ``texts`` that may have one of the ids, told by a filter of bounded size before anything shuffles."""
+def _flagged(rows: DataFrame, key: str, keys: DataFrame, most: int) -> DataFrame:
+    """The rows with ``maybe``: false means that a row's key isn't among the keys (one column). The filter that tells
+    it has a bounded size and is broadcast, so nothing shuffles; a fuller one lets more rows pass."""
     bits = 1 << max(10, min(MAX_BITS.bit_length() - 1, (most * 32).bit_length()))
-    h = F.xxhash64(F.col("id"), F.lit(5))
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(h, 40), F.lit(64)).cast("int"))
-    word = F.pmod(h, F.lit(bits // 64))
-    bloom = ids.groupBy(word.alias("word")).agg(F.bit_or(mask).alias("bits"))
-    return texts.join(F.broadcast(bloom), word == F.col("word")).filter(F.col("bits").bitwiseAND(mask) != 0).select("id", "text")
+
+    def place(c) -> tuple:
+        h = F.xxhash64(c, F.lit(5))
+        return F.pmod(h, F.lit(bits // 64)), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftrightunsigned(h, 40), F.lit(64)).cast("int"))
+
+    word, mask = place(F.col(keys.columns[0]))
+    bloom = keys.groupBy(word.alias("word")).agg(F.bit_or(mask).alias("bits"))
+    word, mask = place(F.col(key))
+    return rows.join(F.broadcast(bloom), word == F.col("word"), "left").withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(mask) != 0, F.lit(False))).drop("word", "bits")
+
+
+def _needed(texts: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """(id, text) of those rows that may have one of the ids; of repeated rows one."""
+    return _flagged(texts, "id", ids, most).filter("maybe").groupBy("id").agg(F.first("text").alias("text"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -274,19 +294,20 @@ def _open_links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame
     return brought.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+def _grouped(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """One row per row: doc_id, text_hash, n_shingles, component_id."""
     small_batches(df.sparkSession)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    rows = checkpointed(sketch(docs, "id", "text"))
+    rows = checkpointed(sketch(df, id_col, text_col))
     linked = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = checkpointed(linked.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")))
+    # a class is named by the smallest of its rows, whose text stands for all
+    least = F.min(F.struct("doc_id", "text_hash")).alias("least")
+    classes = linked.groupBy("set_key").agg(least, F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
+    classes = checkpointed(classes.select("set_key", F.xxhash64("least.doc_id", "least.text_hash").alias("rep"), F.col("least.doc_id").alias("doc_id"), "n", "registers"))
+    texts = _texts(df, id_col, text_col).filter("doc_id IS NOT NULL").select(F.xxhash64("doc_id", "text_hash").alias("id"), "text")
     size = 2 * ROWS
     bands = classes.select("rep", F.explode(F.array(*[F.xxhash64(F.substring("registers", 1 + size * k, size), F.lit(k)) for k in range(REGISTERS // ROWS)])).alias("bucket"))
     buckets = checkpointed(bands.groupBy("bucket").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("members")).filter("members > 1"))
     stars = bands.join(buckets, "bucket").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    # one text for each class; a repeated id keeps one of its texts
-    texts = docs.filter("id IS NOT NULL")
     edges = checkpointed(_verified(checkpointed(_screened(stars, classes, percent)), texts, percent))
     roots = checkpointed(components(edges))
     members = bands.join(buckets.filter("members > 2"), "bucket").filter("rep <> a").join(roots, F.col("rep") == F.col("node"), "left")
@@ -296,16 +317,37 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     more = checkpointed(_open_links(checkpointed(_open_members(left, percent)), texts, percent))
     if not more.isEmpty():
         roots = checkpointed(components(edges.unionByName(more)))
-    named = checkpointed(classes.join(roots, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("root", "rep").alias("component")))
-    out = linked.select("doc_id", "n_shingles", "set_key").join(named, "set_key").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
-    rest = rows.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.unionByName(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rooted = checkpointed(classes.join(roots, F.col("rep") == F.col("node"), "left").select("set_key", "doc_id", "root"))
+    joined = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component"))
+    named = checkpointed(rooted.join(joined, "root", "left").select("set_key", F.coalesce("component", "doc_id").alias("component_id")))
+    out = linked.join(named, "set_key").select("doc_id", "text_hash", "n_shingles", "component_id")
+    return out.unionByName(rows.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    return _grouped(df, id_col, text_col, percent).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows that stay, with the input's columns: one document of each component, and all of a null id."""
-    gone = near_groups(df, id_col, text_col, percent).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """The rows that stay, with the input's columns: one row of each component, and all without words or of a null id.
+
+    A filter of bounded size tells which rows may have to go; only these are joined, the others pass straight through.
+    """
+    grouped = checkpointed(_grouped(df, id_col, text_col, percent).filter("doc_id IS NOT NULL AND n_shingles > 0"))
+    key = F.xxhash64("doc_id", "text_hash")
+    stays = grouped.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("least")).select(F.xxhash64("least.doc_id", "least.text_hash").alias("stays"))
+    rows = grouped.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("rows"))
+    # rows that go, and those that stay but are there several times
+    told = checkpointed(rows.join(stays, F.col("key") == F.col("stays"), "left").filter("stays IS NULL OR rows > 1").select("key", F.col("stays").isNull().alias("goes")))
+    kept = carried(df, ())
+    named = df.select(F.struct(*numbered(kept)).alias("row"), F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("binary"))).alias("key"), F.col(id_col).isNotNull().alias("has"))
+    named = _flagged(named, "key", told.select("key"), told.count())
+    straight = named.filter(~(F.col("maybe") & F.col("has"))).select("row.*")
+    asked = named.filter(F.col("maybe") & F.col("has")).join(told.withColumnRenamed("key", "told"), F.col("key") == F.col("told"), "left")
+    once = asked.filter("goes IS NULL").select("row.*")
+    one = asked.filter("NOT goes").groupBy("key").agg(F.first("row").alias("row")).select("row.*")
+    return straight.unionByName(once).unionByName(one).toDF(*df.columns)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

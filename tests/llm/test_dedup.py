@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from marlstone.llm import exact_dedup, near_dedup, substrings
+from marlstone.llm import exact_dedup, near_dedup, substrings, textkit
 from marlstone.llm.graph import components
 
 from ..oracle import compare, connect
@@ -60,31 +60,30 @@ def shingles(t):
 
 
 def brute_near(rows):
-    """id -> smallest id that can be reached over links."""
-    sets = [(i, shingles(t)) for i, t in rows if i is not None]
-    up = {i: i for i, _ in sets}
+    """For each row the smallest id that can be reached over links between rows, None for rows without an id."""
+    sets = [shingles(t) if i is not None else set() for i, t in rows]
+    up = list(range(len(rows)))
 
     def root(x):
         while up[x] != x:
             x = up[x]
         return x
 
-    for k, (i, a) in enumerate(sets):
-        for j, b in sets[:k]:
+    for k, a in enumerate(sets):
+        for j, b in enumerate(sets[:k]):
             if a and b and 100 * len(a & b) >= 75 * len(a | b):
-                x, y = root(i), root(j)
-                up[max(x, y)] = min(x, y)
-    return {i: root(i) for i in up}
+                up[root(k)] = root(j)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[root(k)] = min(least.get(root(k), i), i)
+    return [None if i is None else least[root(k)] for k, (i, _) in enumerate(rows)]
 
 
 def check_near(df):
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
-    want, sizes = brute_near(rows), {i: len(shingles(t)) for i, t in rows}
-    for r in near_dedup.near_groups(df).collect():
-        i = r["doc_id"]
-        assert r["component_id"] == (want[i] if i is not None else None), r
-        assert i is None or r["n_shingles"] == sizes[i]
-        assert r["kept"] == (i == r["component_id"])
+    want = sorted(((i, len(shingles(t)), c, i == c) for (i, t), c in zip(rows, brute_near(rows))), key=str)
+    assert sorted((tuple(r) for r in near_dedup.near_groups(df).collect()), key=str) == want
 
 
 def test_near_groups(docs):
@@ -118,12 +117,41 @@ def test_blocks_of_a_bucket(spark, monkeypatch):
     check_near(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def check_drop(df):
+    rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+    kept = near_dedup.drop_near(df)
+    assert kept.columns == df.columns
+    want = [i for i, t in rows if i is None or not shingles(t)] + list({c for (i, t), c in zip(rows, brute_near(rows)) if i is not None and shingles(t)})
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
 def test_drop_near(docs):
-    kept = near_dedup.drop_near(docs)
-    assert kept.columns == docs.columns
-    ids = [r["doc_id"] for r in kept.collect() if r["doc_id"] is not None]
-    want = brute_near([(r["doc_id"], r["text"]) for r in docs.collect()])
-    assert sorted(set(ids)) == sorted({i for i, c in want.items() if i == c})
+    check_drop(docs)
+
+
+def test_ids_that_repeat(spark):
+    """Rows of one id with equal, near and different texts; the least id of a component several times."""
+    base, other = " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(40))
+    rows = [(1, base), (1, base), (2, base), (1, base + " more"), (1, other), (3, other), (3, other.upper()), (0, None), (0, ""), (4, "a b"), (4, "A  B"), (None, base), (None, base)]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, __gone int, key int, row int")
+    check_near(df)
+    check_drop(df)
+
+
+def test_long_texts_in_segments(monkeypatch):
+    random.seed(12)
+    texts = [" ".join("x" * random.choice([1, 2, 5, 90]) + random.choice(["a", "B", "é"]) for _ in range(random.randint(0, 60))).encode() for _ in range(30)] + [b"", b" ", b"Long" * 50, b"\t\n  a"]
+    for lower in (False, True):
+        whole = textkit.Words(texts, lower)
+        want = whole.hashes(), whole.starts, whole.ends, whole.first, textkit.windows(whole.hashes(), 3)
+        for segment in (1, 7, 64):
+            monkeypatch.setattr(textkit, "SEGMENT", segment)
+            cut = textkit.Words(texts, lower)
+            assert all((a == b).all() for a, b in zip(want, (cut.hashes(), cut.starts, cut.ends, cut.first, textkit.windows(cut.hashes(), 3))))
+            assert (cut.hashes()[cut.first[5] : cut.first[6]] == textkit.Words([texts[5]], lower).hashes()).all()
+            monkeypatch.undo()
+    found = re.findall(rb"[^\x20\x09-\x0D]+", texts[3])
+    assert [whole.data[a:b].tobytes() for a, b in zip(whole.starts[whole.first[3] : whole.first[4]], whole.ends[whole.first[3] :])] == found
 
 
 def test_likelihood_is_near_the_truth():
