@@ -2,13 +2,14 @@
 
 A window is ``WINDOW`` consecutive words of one document. Its minimiser is the smallest hash among its runs of ``MER``
 words. Consecutive windows with the same minimiser form a super-k-mer, which travels as one packed string to its
-minimiser's bucket; equal windows have equal minimisers, so they meet there. A bucket hashes the windows of its
-strings to 128 bits, sorts them and finds those that occur more than once. The places of these come back to
-their documents, where every word that such a window covers is removed.
+minimiser's bucket; equal windows have equal minimisers, so they meet there. A bucket sorts the windows of its
+strings by hashes and compares neighbours of equal hash byte by byte, runs of them at once; that tells exactly which
+occur more than once. Their places come back to their documents, where every word that such a window covers is removed.
 
-A first pass over the texts counts minimisers. Windows of one that is very common (``HOT`` super-k-mers or more, the
-``MOST_HOT`` commonest at most) go each by the hash of its own words instead, so that what surrounds a passage of a
-third of all documents spreads over all buckets.
+A first pass over the texts counts minimisers: a task holds at most ``HELD`` counts, the smallest of which are taken
+off all when there are more (so a count is short by a ``HELD``-th of the task's super-k-mers at most). Windows of a
+minimiser that is very common (``HOT`` super-k-mers or more, and more than a ``MOST_HOT``-th of all) go each by the hash of
+its own words instead, so that what surrounds a passage of a third of all documents spreads over all buckets.
 
 A task merges equal strings before they travel: their windows are then known to repeat, one copy of the string
 goes on, and the other places take any bucket. A passage that a third of all documents share so reaches its
@@ -16,12 +17,13 @@ bucket once per task, not once per document. Strings and places of a bucket are
 
 Defined results: null or empty texts have no words; texts shorter than a window lose nothing; rows are told apart by
 id and text, so repeated rows all lose what they share; null ids are ids like others; an empty table gives
-an empty result; other columns are carried along, and those named like an added column are replaced.
+an empty result; other columns are carried along, and those named like an added column are replaced. Words are never
+held one by one, so a very long text takes a few times its bytes.
 """
 
 from __future__ import annotations
 
-import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +40,8 @@ WINDOW, MER = 35, 4
 #: Bytes of packed strings for a bucket and before a task sends them on; packed strings take about so many times the text.
 BUCKET_BYTES, FLUSH_BYTES, EXPANSION = 24 << 20, 48 << 20, 3.2
 MOST_BUCKETS, MOST_PARTITIONS = 1 << 20, 20_000
-#: Super-k-mers that make a minimiser too common for one bucket, minimisers in that list, and a task's count that is told.
-HOT, MOST_HOT, TOLD = 1 << 16, 100_000, 32
+#: Super-k-mers that make a minimiser too common for one bucket, minimisers in that list, and what a task holds and tells.
+HOT, MOST_HOT, HELD, TOLD = 1 << 16, 100_000, 1 << 18, 2
 
 _PLACE = np.dtype([("doc", "<i8"), ("none", "u1"), ("text", "<i8"), ("start", "<i8"), ("windows", "<i8"), ("known", "u1")])
 
@@ -65,6 +67,14 @@ def super_kmers(words: Words, hashes: np.ndarray, window: int, mer: int) -> tupl
     return owner[begin], at[begin], np.diff(np.append(begin, total)), value[begin]
 
 
+_RUN = re.compile(rb"[\x20\x09-\x0D]+")
+
+
+def plain(text: bytes) -> bytes:
+    """The text's words, joined by one space."""
+    return b" ".join(text.split()) if len(text) < 1 << 20 else _RUN.sub(b" ", text).strip(b" ")
+
+
 class _Outbox:
     """Packed strings and places on their way to the buckets."""
 
@@ -110,26 +120,43 @@ class _Outbox:
         return pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in rows], pa.int32()), "packed": pa.array([x for _, x in rows], pa.binary())})
 
 
+def _equal_runs(p: np.ndarray, q: np.ndarray, begin: np.ndarray, stop: np.ndarray, data: bytes) -> bool:
+    """Whether the windows p are those at q, byte by byte; neighbours that go on together are compared as one."""
+    if not len(p):
+        return True
+    order = np.argsort(p)
+    p, q = p[order], q[order]
+    on = (p[1:] == p[:-1] + 1) & (q[1:] == q[:-1] + 1) & (begin[p[1:]] < stop[p[:-1]]) & (begin[q[1:]] < stop[q[:-1]])  # overlap: the same string
+    first, last = np.flatnonzero(np.append(True, ~on)), np.flatnonzero(np.append(~on, True))
+    view = memoryview(data)
+    spans = zip(begin[p[first]].tolist(), stop[p[last]].tolist(), begin[q[first]].tolist(), stop[q[last]].tolist())
+    return all(view[a:b] == view[c:d] for a, b, c, d in spans)
+
+
 def _repeated(strings: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
     """Whether each window of the strings occurs elsewhere among them, and how many windows each string has."""
-    prints, seconds, sizes = [], [], []
+    prints, sizes, begins, stops, size = [], [], [], [], 0
     for run in runs(strings):
         words = Words(run)
-        h = words.hashes()
         counts = np.maximum(np.diff(words.first) - window + 1, 0)
         at = np.repeat(words.first[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-        prints.append(windows(h, window, 21)[at] if len(at) else np.zeros(0, np.uint64))
-        seconds.append(windows(h, window, 22)[at] if len(at) else np.zeros(0, np.uint64))
+        prints.append(windows(words.hashes(), window, 21)[at] if len(at) else np.zeros(0, np.uint64))
+        begins.append(words.starts[at].astype(np.int64) + size)
+        stops.append(words.ends[at + window - 1].astype(np.int64) + size)
+        size += len(words.data)
         sizes.append(counts)
-    first, second = np.concatenate(prints), np.concatenate(seconds)
+    first, begin, stop = np.concatenate(prints), np.concatenate(begins), np.concatenate(stops)
     order = np.argsort(first, kind="stable")
     same = first[order][1:] == first[order][:-1]
-    if (same & (second[order][1:] != second[order][:-1])).any():
-        order = np.lexsort((second, first))
-        same = (first[order][1:] == first[order][:-1]) & (second[order][1:] == second[order][:-1])
     out = np.zeros(len(first), bool)
     out[order[1:][same]] = True
     out[order[:-1][same]] = True
+    data = b"".join(strings)
+    if not _equal_runs(order[1:][same], order[:-1][same], begin, stop, data):  # different windows of one hash: told apart by their bytes
+        again: dict[bytes, list[int]] = {}
+        for k in np.flatnonzero(out).tolist():
+            again.setdefault(data[begin[k] : stop[k]], []).append(k)
+        out[[k[0] for k in again.values() if len(k) == 1]] = False
     return out, np.concatenate(sizes)
 
 
@@ -165,19 +192,31 @@ def _survey(df: DataFrame, window: int, mer: int) -> tuple[int, np.ndarray]:
     """Bytes of all texts, and the minimisers that are too common for one bucket."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, size, total = {}, 0, 0
+        values, counts, size, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, 0
+        fresh: list[np.ndarray] = []
+
+        def merge() -> None:
+            nonlocal values, counts
+            new, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *fresh]), return_counts=True)
+            fresh.clear()
+            both, at = np.unique(np.concatenate([values, new]), return_inverse=True)
+            values, counts = both, np.bincount(at, np.concatenate([counts, n])).astype(np.int64)
+            if len(values) > HELD:
+                counts -= np.partition(counts, -HELD - 1)[-HELD - 1]
+                values, counts = values[counts > 0], counts[counts > 0]
+
         for batch in rows:
             for texts in runs(batch.column(0).to_pylist()):
                 words = Words(texts)
-                values, counts = np.unique(super_kmers(words, words.hashes(), window, mer)[3], return_counts=True)
-                size, total = size + sum(map(len, texts)), total + int(counts.sum())
-                often = counts > 1  # what no run has twice is not common
-                for v, n in zip(values[often].view(np.int64).tolist(), counts[often].tolist()):
-                    found[v] = found.get(v, 0) + n
-            if len(found) > 1 << 18:
-                found = {v: n for v, n in found.items() if n >= TOLD}
-        told = [(v, n) for v, n in found.items() if n >= TOLD]
-        yield pa.RecordBatch.from_arrays([pa.array([None] + [v for v, _ in told], pa.int64()), pa.array([total] + [n for _, n in told], pa.int64()), pa.array([size] + [0] * len(told), pa.int64())], ["value", "n", "bytes"])
+                fresh.append(super_kmers(words, words.hashes(), window, mer)[3])
+                size, total = size + sum(map(len, texts)), total + len(fresh[-1])
+                if sum(map(len, fresh)) > HELD:
+                    merge()
+        merge()
+        often = counts >= TOLD
+        told = values[often].view(np.int64)
+        zeros = np.zeros(len(told), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([None] + told.tolist(), pa.int64()), pa.array(np.append(total, counts[often])), pa.array(np.append(size, zeros))], ["value", "n", "bytes"])
 
     counted = checkpointed(df.select("text").mapInArrow(run, "value long, n long, bytes long").groupBy("value").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")))
     whole = counted.filter("value IS NULL").first()
@@ -208,7 +247,7 @@ def repeated_windows(df: DataFrame, window: int = WINDOW, mer: int = MER) -> Dat
         for batch in rows:
             docs, hashes, k0 = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
             for texts in runs(batch.column(2).to_pylist()):
-                words = Words(texts := [b" ".join(t.split()) for t in texts])
+                words = Words(texts := list(map(plain, texts)))
                 first = words.first.tolist()
                 data, starts, ends = words.data.tobytes(), words.starts, words.ends
                 of_words = words.hashes()
@@ -266,13 +305,20 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             n_words, n_removed, texts = [], [], []
             for text, found in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
-                words = text.split()
-                gone = np.zeros(len(words), bool)
-                for p in found or ():
-                    gone[p["start"] : p["start"] + p["windows"] + window - 1] = True
-                n_words.append(len(words))
-                n_removed.append(int(gone.sum()))
-                texts.append(b" ".join(itertools.compress(words, (~gone).tolist()) if n_removed[-1] else words).decode("utf-8", "replace"))
+                text = plain(text)
+                n_words.append(text.count(b" ") + 1 if text else 0)
+                n_removed.append(0)
+                if found:
+                    change = np.zeros(n_words[-1] + 1, np.int64)
+                    np.add.at(change, [p["start"] for p in found], 1)
+                    np.add.at(change, [p["start"] + p["windows"] + window - 1 for p in found], -1)
+                    stays = np.cumsum(change[:-1]) == 0
+                    n_removed[-1] = n_words[-1] - int(np.count_nonzero(stays))
+                    spaces = np.flatnonzero(np.frombuffer(text, np.uint8) == 0x20)
+                    edges = np.diff(np.concatenate([[False], stays, [False]]).astype(np.int8))
+                    begin, stop = np.append(-1, spaces)[np.flatnonzero(edges == 1)] + 1, np.append(spaces, len(text))[np.flatnonzero(edges == -1) - 1]
+                    text = b" ".join([text[a:b] for a, b in zip(begin.tolist(), stop.tolist())])
+                texts.append(text.decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string())], schema.names)
 
     return met.mapInArrow(run, schema)

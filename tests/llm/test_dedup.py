@@ -216,6 +216,29 @@ def test_repeats(spark, docs, monkeypatch, width, mer, flush, hot):
     assert all(r["n_words"] - r["n_removed"] == len(words(r["kept_text"])) for r in found)
 
 
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    """With hashes that nearly all collide, the bytes decide."""
+    random.seed(5)
+    monkeypatch.setattr(substrings, "windows", lambda h, width, seed=3: textkit.windows(h, width, seed) % np.uint64(3))
+    for _ in range(30):
+        strings = [" ".join(random.choice("ab") for _ in range(random.randint(0, 9))).encode() for _ in range(12)]
+        again, sizes = substrings._repeated(strings, 4)
+        every = [tuple(w[i : i + 4]) for w in (s.split() for s in strings) for i in range(len(w) - 3)]
+        assert again.tolist() == [every.count(w) > 1 for w in every] and sizes.tolist() == [max(0, len(s.split()) - 3) for s in strings]
+
+
+def test_common_minimisers_are_found(spark, monkeypatch):
+    """One that occurs once in each run of texts, among many others, with room for few counts."""
+    monkeypatch.setattr(substrings, "HELD", 60)
+    monkeypatch.setattr(substrings, "HOT", 100)
+    monkeypatch.setattr(substrings, "runs", lambda texts: ([t] for t in texts))
+    random.seed(7)
+    shared = "one passage that is the same in all of them"
+    rows = [(k, " ".join(f"u{random.random()}" for _ in range(12)) + f" {shared} " + " ".join(f"u{random.random()}" for _ in range(12))) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, said string").selectExpr("CAST(said AS BINARY) AS text").repartition(2)
+    assert 0 < len(substrings._survey(df, 6, 2)[1]) < 12
+
+
 @pytest.mark.parametrize("name", ["op5_substring_dedup", "op8_near_dedup", "op10_exact_dedup"])
 def test_equals_oracle(spark, name):
     from marlstone.llm import registry
