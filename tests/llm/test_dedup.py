@@ -21,6 +21,19 @@ def words(t):
     return re.findall(r"[^\x20\x09-\x0D]+", t or "")
 
 
+def test_filter_knows_every_repeated_hash(spark):
+    """No copy is missed, and of many unique rows nearly all pass straight through."""
+    rows = spark.range(20_000).selectExpr("sha2(CAST(IF(id < 2000, id % 900, id) AS string), 256) AS sha", "id < 2000 AND id % 900 + 900 < 2000 AS copied")
+    found = exact_dedup.probe(rows, "sha", exact_dedup.repeated_filter(rows, "sha")).groupBy("copied", "maybe_copy").count().collect()
+    count = {(r["copied"], r["maybe_copy"]): r["count"] for r in found}
+    assert (True, False) not in count and count.get((False, True), 0) < 0.06 * 20_000 and sum(count.values()) == 20_000
+
+
+def test_first_pass_sends_no_rows(docs):
+    plan = exact_dedup.copy_groups(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 @pytest.mark.parametrize("max_bits", [exact_dedup.MAX_BITS, 1 << 10])
 def test_copy_groups(docs, max_bits):
     rows = docs.collect()
@@ -37,7 +50,7 @@ def test_copy_groups(docs, max_bits):
 
 def test_saturated_filter_stays_exact(spark):
     rows = spark.range(3000).selectExpr("id AS doc_id", "CAST(id % 1000 AS string) AS text")
-    found = exact_dedup.copy_groups(rows, bits_per_row=1, max_bits=1 << 10)
+    found = exact_dedup.copy_groups(rows, slots_per_row=1, max_bits=1 << 15, max_slots=1 << 9)
     assert found.filter("kept").count() == 1000 and found.filter("group_size <> 3 OR keep_id <> doc_id % 1000").count() == 0
 
 
