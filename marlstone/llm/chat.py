@@ -3,20 +3,28 @@
 A conversation is rendered as one text, ``<|turn|>role<|says|>text<|over|>`` for every turn. Inside roles and texts
 each ``<`` that backslashes may separate from a following ``|`` gets one backslash more, so no text can hold a
 control string of the template or of the tokenizer, and the escape can be undone. The whole text is encoded once,
-with offsets; the control strings are tokens of their own, so no token crosses into a text. The spans of the turns
-to be learned and the tokens' spans are both sorted, and a binary search gives each span its run of tokens.
+with the offset at which each token starts; the control strings are tokens of their own, so no token crosses into a text.
+The spans of the turns to be learned and the tokens' offsets are both sorted, and a binary search gives each span its run
+of tokens.
+
+The ids are the library's. Texts of plain Latin characters are cut into words here by the tokenizer's own pattern, and each
+distinct word is encoded by the library's model once; any other text goes to the library whole. A byte-level token stands
+for fixed bytes, so the sums of their lengths are the offsets.
 
 Defined results: turns are ordered by number, then role and text, null numbers first; null roles and texts count as
-empty; a row without a conversation id is a conversation of its own; an empty text has no tokens to learn; an empty
-table gives an empty result; other columns are ignored.
+empty; a row without a conversation id is a conversation of its own; rows that a table holds under the query's own
+conversation -7 become turns of it; an empty text has no tokens to learn; an empty table gives an empty result; other
+columns are ignored. A conversation is one sequence and one row, so memory grows with the longest one: some 40 bytes for
+each of its characters.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
-from bisect import bisect_left
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .wordtok import BYTE_CHARACTERS, OTHER
+
 TURN, SAYS, OVER = "<|turn|>", "<|says|>", "<|over|>"
 _CONTROL, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 FORMATTED = "conv_id long, formatted string, ids array<int>, starts array<int>, loss array<boolean>"
@@ -58,11 +68,10 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def _byte_of() -> dict[str, int]:
-    """The byte that each character of a byte-level vocabulary stands for."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = sorted(set(range(256)) - set(own))
-    return {chr(b): b for b in own} | {chr(0x100 + k): b for k, b in enumerate(others)}
+#: The pre-tokenizer's pattern, for plain Latin characters. Fixed by the byte-level tokenizer.
+_WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
+#: Words in one generation of the cache.
+CACHE_WORDS = 250_000
 
 
 class Codec:
@@ -74,12 +83,62 @@ class Codec:
 
         self.library = Tokenizer.from_file(path)
         self.library.add_special_tokens([TURN, SAYS, OVER])
-        special, byte_of = set(self.library.get_added_tokens_decoder()), _byte_of()
-        self.raw = {i: word.encode() if i in special else bytes(byte_of[c] for c in word) for word, i in self.library.get_vocab(with_added_tokens=True).items()}
+        with open(path, encoding="utf-8") as f:
+            steps = json.load(f)
+        split = steps.get("pre_tokenizer") or {}
+        self._by_word = steps.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+        special = {word: i for i, word in self._added().items()}
+        self._special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")")
+        self._ids = {word: array("i", [i]).tobytes() for word, i in special.items()}
+        byte_of = {c: b for b, c in BYTE_CHARACTERS.items()}
+        raw = [b""] * (max(self.library.get_vocab(with_added_tokens=True).values()) + 1)
+        for word, i in self.library.get_vocab(with_added_tokens=True).items():
+            raw[i] = word.encode() if word in special else bytes(byte_of[c] if c in byte_of else ord(c) for c in word)
+        self._bytes, self.sizes = np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw], np.int64)
+        self._first = np.cumsum(self.sizes) - self.sizes
+        #: Characters that begin in each token, and whether it begins inside one.
+        self._leads = np.array([sum(b & 0xC0 != 0x80 for b in r) for r in raw], np.int64)
+        self._inside = np.array([r[:1] >= b"\x80" and r[0] & 0xC0 == 0x80 if r else False for r in raw], np.int64)
+        self._words: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+
+    def _added(self) -> dict[int, str]:
+        return {i: token.content for i, token in self.library.get_added_tokens_decoder().items()}
+
+    def _word(self, word: str) -> bytes:
+        ids = self._older.get(word)
+        if ids is None:
+            ids = array("i", [t.id for t in self.library.model.tokenize(word.encode().decode("latin-1").translate(BYTE_CHARACTERS))]).tobytes()
+        self._words[word] = ids
+        return ids
+
+    def encode(self, text: str) -> np.ndarray:
+        """The text's ids, special tokens not added."""
+        if not self._by_word or OTHER.search(text):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
+        if len(self._words) > CACHE_WORDS:
+            self._older, self._words = self._words, {}
+        words, out = self._words, []
+        for k, part in enumerate(self._special.split(text)):
+            if k % 2:
+                out.append(self._ids[part])
+            elif part:
+                out += [words.get(w) or self._word(w) for w in _WORDS.findall(part)]
+        return np.frombuffer(b"".join(out), np.int32)
+
+    def starts(self, ids: np.ndarray) -> np.ndarray:
+        """The character at which each token starts, or inside which it does."""
+        leads = self._leads[ids]
+        return np.cumsum(leads) - leads - self._inside[ids]
+
+    def raw(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes that were encoded."""
+        sizes = self.sizes[ids]
+        return self._bytes[np.repeat(self._first[ids] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
 
     def decode(self, ids) -> str:
         """The very text that was encoded."""
-        return b"".join(map(self.raw.__getitem__, ids)).decode()
+        return self.raw(np.asarray(ids, np.int64)).tobytes().decode()
 
 
 _codecs: dict[str, Codec] = {}
@@ -103,21 +162,23 @@ def format_chat(df: DataFrame, tokenizer: str, learned: tuple[str, ...] = ("assi
     roles = frozenset(learned)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = codec(tokenizer).library
+        tok = codec(tokenizer)
         for batch in rows:
             for a in range(0, batch.num_rows, 200):
                 part = batch.slice(a, 200)
                 rendered = [render([(t["role"], t["text"]) for t in turns], roles) for turns in part.column(1).to_pylist()]
                 ids, starts, loss = [], [], []
-                for (_, spans), e in zip(rendered, library.encode_batch([t for t, _ in rendered], add_special_tokens=False)):
-                    begin, mask = [o[0] for o in e.offsets], [False] * len(e.ids)
-                    for first, end in spans:
-                        i, j = bisect_left(begin, first), bisect_left(begin, end)
-                        mask[i:j] = [True] * (j - i)
-                    ids.append(e.ids)
-                    starts.append(begin)
-                    loss.append(mask)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([t for t, _ in rendered], pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.array(starts, pa.list_(pa.int32())), pa.array(loss, pa.list_(pa.bool_()))], ["conv_id", "formatted", "ids", "starts", "loss"])
+                for text, spans in rendered:
+                    ids.append(tok.encode(text))
+                    starts.append(tok.starts(ids[-1]))
+                    edges = np.zeros(len(ids[-1]) + 1, np.int8)
+                    at = np.searchsorted(starts[-1], np.array(spans, np.int64).reshape(-1, 2))
+                    np.add.at(edges, at[:, 0], 1)
+                    np.add.at(edges, at[:, 1], -1)
+                    loss.append(np.cumsum(edges[:-1]) > 0)
+                ends = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x), kind)) for x, kind in ((ids, pa.int32()), (starts, pa.int32()), (loss, pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([t for t, _ in rendered], pa.string()), *lists], ["conv_id", "formatted", "ids", "starts", "loss"])
 
     return conversations(df).mapInArrow(run, FORMATTED)
 
@@ -126,14 +187,17 @@ def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
     """Digests of what the token ids and the mask say: turns and learned text."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = codec(tokenizer).decode
+        tok = codec(tokenizer)
         for batch in rows:
             out = []
-            for conv, ids, loss in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                text, ids, mask = decode(ids), np.array(ids), np.array(loss, bool)
+            for k, conv in enumerate(batch.column(0).to_pylist()):
+                ids, mask = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in (1, 2))
+                raw = tok.raw(ids).tobytes()
+                ends = np.append(0, np.cumsum(tok.sizes[ids]))
+                text = raw.decode()
                 turns = parse(text)
-                edges = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
-                learned = "".join(unescape(decode(ids[a:b].tolist())) for a, b in zip(edges[::2], edges[1::2]))
+                edges = ends[np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))].tolist()
+                learned = "".join(unescape(raw[a:b].decode()) for a, b in zip(edges[::2], edges[1::2]))
                 every = "".join(f"{role}\n{said}\n" for role, said in turns)
                 out.append((conv, len(turns), hashlib.sha256(every.encode()).hexdigest(), len(learned), hashlib.sha256(learned.encode()).hexdigest(), len(text)))
             if out:

@@ -1,19 +1,20 @@
 """Approximate nearest neighbours by an inverted multi-index.
 
-Vectors are cut into two halves. Each half has its own k-means centroids, fitted on a bounded sample, and a vector's
-entry is kept under its pair of centroids. A query walks the pairs by the sum of its distances to the two centroids,
+Vectors are turned so that no two coordinates vary together (by a rotation fitted on a bounded sample, which changes no
+distance) and cut into two halves of about equal spread. Each half has its own k-means centroids, fitted on the
+sample, and a vector's entry is kept under its pair of centroids. A query walks the pairs by the sum of its distances to the two centroids,
 from the nearest on, with a heap, until the pairs hold enough entries; those are reranked by the exact distance.
 
 How many entries are enough, as a share of the index, is fitted on the sample too: the share that reaches
 ``TARGET_RECALL`` there. Neighbours in the whole table are nearer than those in a sample, so its recall is no
 lower. (Vectors without any structure need a large share; nothing in the walk bounds it.)
 
-Every row is indexed. Pairs are packed into shards of about ``SHARD_ROWS`` entries, a large pair is cut into several,
-and queries stream past their shards' entries, so memory is bounded by a shard. The cut before the exact distances
+Every row is indexed. Pairs are packed into shards of about ``SHARD_BYTES``, a large pair is cut into several,
+and queries stream past their shards' entries in blocks, so memory is bounded by a shard and a block. The cut before the exact distances
 holds ``k`` distinct ids, however many entries these have. Equal vectors are merged where they are read: of a distinct vector no more than the ``k`` + 1 smallest ids can be among anyone's nearest.
 
 Defined results: vectors that are null or zero, hold null or non-finite components or have another length than
-most of the sample take no part, nor do null ids; a repeated id counts as one row; ties go to the smaller id; fewer
+most rows (of equally many the longer) take no part, nor do null ids; a repeated id counts as one row; ties go to the smaller id; fewer
 candidates than ``k`` give fewer rows; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -30,7 +31,9 @@ from pyspark.sql.window import Window
 
 from .storage import checkpointed
 
-K, SAMPLE, TARGET_RECALL, MAX_CENTROIDS, SHARD_ROWS = 10, 20_000, 0.96, 256, 8192
+K, SAMPLE, SAMPLE_BYTES, TARGET_RECALL, MAX_CENTROIDS = 10, 20_000, 32 << 20, 0.94, 256
+#: Bytes of a shard's vectors, and distances that are held at once.
+SHARD_BYTES, BLOCK = 8 << 20, 1 << 22
 
 
 def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -53,7 +56,11 @@ class MultiIndex:
     def __init__(self, sample: np.ndarray, centroids: int, k: int = K, target: float = TARGET_RECALL, seed: int = 5, ids: np.ndarray | None = None):
         rng = np.random.default_rng(seed)
         self.dim, self.cut = sample.shape[1], sample.shape[1] // 2
-        self.left, self.right = (_kmeans(h, centroids, rng) for h in (sample[:, : self.cut], sample[:, self.cut :]))
+        axes = np.linalg.eigh(np.cov(sample, rowvar=False).reshape(self.dim, self.dim))[1] if len(sample) > 1 else np.eye(self.dim)
+        #: Axes by falling variance go to the halves in turn.
+        self.axes = np.concatenate([axes[:, ::-1][:, 1::2], axes[:, ::-1][:, ::2]], axis=1)
+        turned = sample @ self.axes
+        self.left, self.right = (_kmeans(h, centroids, rng) for h in (turned[:, : self.cut], turned[:, self.cut :]))
         queries = rng.choice(len(sample), min(200, len(sample)), replace=False)
         cells = self.cells(sample)
         counts = np.bincount(cells, minlength=self.size)
@@ -80,13 +87,16 @@ class MultiIndex:
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         """The pair of each vector."""
+        x = x @ self.axes
         return _squares(x[:, : self.cut], self.left).argmin(1) * len(self.right) + _squares(x[:, self.cut :], self.right).argmin(1)
 
     def _sums(self, q: np.ndarray) -> np.ndarray:
+        q = q @ self.axes
         return (_squares(q[None, : self.cut], self.left)[0][:, None] + _squares(q[None, self.cut :], self.right)[0]).ravel()
 
     def walk(self, q: np.ndarray, counts: np.ndarray, enough: int) -> list[int]:
         """Pairs by summed distance, until they hold more than ``enough`` entries."""
+        q = q @ self.axes
         a, b = _squares(q[None, : self.cut], self.left)[0], _squares(q[None, self.cut :], self.right)[0]
         by_a, by_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
         a, b, by_a, by_b = a[by_a].tolist(), b[by_b].tolist(), by_a.tolist(), by_b.tolist()
@@ -122,15 +132,15 @@ def nearest(df: DataFrame, every: int, id_col: str = "vec_id", vector_col: str =
     spark = df.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     usable = _usable(df, id_col, vector_col)
-    rows = usable.count()
-    held = [(r["vec_id"], r["v"]) for r in usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()]
-    if not held:
+    most = usable.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
+    if not most:
         return spark.createDataFrame([], schema)
-    sizes = np.bincount([len(v) for _, v in held])
-    dim = int(sizes.argmax())
-    centroids = int(min(MAX_CENTROIDS, max(4, 2 ** round(np.log2(max(1.0, rows**0.5 / 8))))))
-    index = MultiIndex(np.array([v for _, v in held if len(v) == dim]), centroids, k, target, ids=np.array([i for i, v in held if len(v) == dim]))
+    dim, rows = most["dim"], most["count"]
     usable = usable.filter(F.size("v") == dim)
+    held = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, min(sample, SAMPLE_BYTES // (8 * dim)))).toArrow().combine_chunks()
+    centroids = int(min(MAX_CENTROIDS, max(4, 2 ** round(np.log2(max(1.0, rows**0.5 / 8))))))
+    index = MultiIndex(_matrix(held.column("v").combine_chunks(), dim), centroids, k, target, ids=held.column("vec_id").to_numpy())
+    del held
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,14 +160,15 @@ def nearest(df: DataFrame, every: int, id_col: str = "vec_id", vector_col: str =
         counts[r["cell"]] = r["count"]
     total = int(counts.sum())
     # consecutive pairs share a shard; a pair of more than a shard's rows has several of its own
-    parts = np.maximum(1, -(-counts // SHARD_ROWS))
+    shard_rows = max(256, SHARD_BYTES // (8 * dim))
+    parts = np.maximum(1, -(-counts // shard_rows))
     first, shard, room = np.zeros(index.size, np.int64), -1, 0
     for c in np.flatnonzero(counts).tolist():
         if parts[c] > 1:
             first[c], shard, room = shard + 1, shard + int(parts[c]), 0
         else:
             if counts[c] > room:
-                shard, room = shard + 1, SHARD_ROWS
+                shard, room = shard + 1, shard_rows
             first[c], room = shard, room - int(counts[c])
     shards = shard + 1
 
@@ -181,8 +192,36 @@ def nearest(df: DataFrame, every: int, id_col: str = "vec_id", vector_col: str =
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["shard", "role", "cell", "ids", "v", "cells"])
 
+    def scored(part: pa.RecordBatch, x: np.ndarray, size: np.ndarray, present: np.ndarray, cell: np.ndarray, ids: list[list[int]]) -> list[tuple[int, int, float]]:
+        """A block of queries against the entries of their pairs in a shard."""
+        out: list[tuple[int, int, float]] = []
+        q = np.frombuffer(b"".join(part.column(4).to_pylist()), np.float64).reshape(-1, dim)
+        rough = size - 2 * (q @ x.T) + (q * q).sum(1)[:, None]
+        for row, vector, (query,), cells in zip(rough, q, part.column(3).to_pylist(), part.column(5)):
+            cells = cells.values.to_numpy()
+            at = np.minimum(np.searchsorted(present, cells), len(present) - 1)
+            opened = np.zeros(len(present), bool)
+            opened[at[present[at] == cells]] = True
+            near = np.flatnonzero(opened[cell])
+            some = row[near]
+            wanted = k + 1  # the query's own vector may be one of them
+            while True:
+                kept = near
+                if len(near) > wanted:  # ties at the edge stay in
+                    edge = np.partition(some, wanted - 1)[wanted - 1]
+                    kept = near[some <= edge + 1e-9 * (1 + abs(edge) + vector @ vector)]
+                if len(kept) == len(near) or len({i for n in kept.tolist() for i in ids[n]} - {query}) >= k:
+                    break
+                wanted *= 2  # entries of repeated ids fill the cut
+            exact = np.sqrt(((x[kept] - vector) ** 2).sum(1)).tolist()
+            least: dict[int, float] = {}
+            for d, i in sorted((d, i) for d, n in zip(exact, kept.tolist()) for i in ids[n] if i != query):
+                least.setdefault(i, d)
+            out += [(query, i, d) for i, d in list(least.items())[:k]]
+        return out
+
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, fresh, x, cell, ids = None, [], None, None, []
+        now, fresh, x, size, present, cell, ids = None, [], None, None, None, None, []
         for batch in batches:
             shard_of, role = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             out: list[tuple[int, int, float]] = []
@@ -191,35 +230,21 @@ def nearest(df: DataFrame, every: int, id_col: str = "vec_id", vector_col: str =
                 if a == b:
                     continue
                 part = batch.slice(a, b - a)
-                if now != (shard_of[a], role[a]) and role[a] == 0:
-                    fresh, x = [], None
-                now = shard_of[a], role[a]
+                if now != shard_of[a]:
+                    now, fresh, x = shard_of[a], [], None
                 if role[a] == 0:
                     fresh.append(part)
                     continue
+                if not fresh:  # a part of a large pair that no id fell into
+                    continue
                 if x is None:
                     x = np.frombuffer(b"".join(v for p in fresh for v in p.column(4).to_pylist()), np.float64).reshape(-1, dim)
-                    cell = np.concatenate([p.column(2).to_numpy() for p in fresh])
+                    present, cell = np.unique(np.concatenate([p.column(2).to_numpy() for p in fresh]), return_inverse=True)
                     ids = [i for p in fresh for i in p.column(3).to_pylist()]
                     size = (x * x).sum(1)
-                for (query,), raw, cells in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), part.column(5).to_pylist()):
-                    q = np.frombuffer(raw, np.float64)
-                    near = np.flatnonzero(np.isin(cell, cells))
-                    rough = size[near] - 2 * (x[near] @ q) + q @ q
-                    wanted = k + 1  # the query's own vector may be one of them
-                    while True:
-                        kept = near
-                        if len(near) > wanted:  # ties at the edge stay in
-                            edge = np.partition(rough, wanted - 1)[wanted - 1]
-                            kept = near[rough <= edge + 1e-9 * (1 + abs(edge) + q @ q)]
-                        if len(kept) == len(near) or len({i for n in kept.tolist() for i in ids[n]} - {query}) >= k:
-                            break
-                        wanted *= 2  # entries of repeated ids fill the cut
-                    exact = np.sqrt(((x[kept] - q) ** 2).sum(1)).tolist()
-                    least: dict[int, float] = {}
-                    for d, i in sorted((d, i) for d, n in zip(exact, kept.tolist()) for i in ids[n] if i != query):
-                        least.setdefault(i, d)
-                    out += [(query, i, d) for i, d in list(least.items())[:k]]
+                step = max(1, BLOCK // len(x))
+                for c in range(0, part.num_rows, step):
+                    out += scored(part.slice(c, step), x, size, present, cell, ids)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 

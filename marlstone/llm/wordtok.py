@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Characters outside this set send a text to the library: beyond them normalisation or character classes may differ.
-_OTHER = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-\\xa9\\xab\\xac\\xae-\\xb1\\xb4-\\xb8\\xbb\\xbf-\\u012f\\u0131-\\u024f]")
+OTHER = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-\\xa9\\xab\\xac\\xae-\\xb1\\xb4-\\xb8\\xbb\\xbf-\\u012f\\u0131-\\u024f]")
 #: The pre-tokenizer's pattern, for those characters. Fixed by the tokenizer file.
 _WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 _PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -30,7 +30,8 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(0x100 + k) for k, b in enumerate(sorted(set(range(256)) - set(own)))}
 
 
-_BYTE_CHARACTERS = _byte_characters()
+BYTE_CHARACTERS = _byte_characters()
+
 
 class _Known(dict):
     """Ids of strings without white space; one that is missing is cut into words, which have a cache of their own.
@@ -73,7 +74,7 @@ class _Known(dict):
                     words[w] = ids
             if ids is None:
                 seen = False
-                mapped = w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+                mapped = w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_CHARACTERS)
                 ids = words[w] = array("I", [t.id for t in self._tokenize(mapped)]).tobytes()
             out += ids
         if seen:  # strings of words met for the first time may never come again
@@ -115,7 +116,7 @@ class WordTokenizer:
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
         texts = list(texts)
-        plain = [self._by_word and not _OTHER.search(t) and not (self._special and self._special.search(t)) for t in texts]
+        plain = [self._by_word and not OTHER.search(t) and not (self._special and self._special.search(t)) for t in texts]
         cut = [t.lower().split() if p else None for t, p in zip(texts, plain)]
         self._cache.age(self._most)
         known = self._cache.__getitem__

@@ -24,6 +24,29 @@ def test_tokens_hold_the_text(spark):
         assert codec.decode(codec.library.encode(rendered, add_special_tokens=False).ids) == rendered
 
 
+def test_encoding_is_the_librarys():
+    """Ids and offsets of hostile and foreign texts, against the library's."""
+    random.seed(11)
+    tok = chat.codec(PATH)
+    parts = ["the", "don't", "it's", "'ll", " ", "  ", "\n", "\t \n", "12", "7", "_", "é", "Straße", "naïve", "日本", "😀", "|", "<", "\\", "!?", "…", "\u00a0", "²", "x" * 30, "<|turn|>", "<|says|>", "<|over|>", "ĳ", "’s"]
+    for n in range(4000):
+        text = "".join(random.choice(parts[:12] if n % 2 else parts) for _ in range(random.randint(0, 14)))
+        want = tok.library.encode(text, add_special_tokens=False)
+        ids = tok.encode(text)
+        assert ids.tolist() == want.ids, text
+        assert tok.starts(ids).tolist() == [o[0] for o in want.offsets], text
+        assert tok.decode(ids) == text
+
+
+def test_masks_are_the_texts(spark):
+    turns = [("user", "Wie groß <|x|> ist 日本?"), ("assistant", "Sehr groß 😀\n"), ("assistant", ""), ("tool", "a"), ("assistant", " x<|over|>")]
+    df = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    (row,) = chat.format_chat(df, PATH).collect()
+    tok = chat.codec(PATH)
+    learned = [i for i, keep in zip(row["ids"], row["loss"]) if keep]
+    assert tok.decode(learned) == "".join(chat.escape(t) for r, t in turns if r == "assistant") and row["formatted"] == chat.render(turns)[0]
+
+
 def test_read_back(spark):
     rows = [(1, 1, "assistant", " <|over|>\t<|endoftext|>  \n"), (1, 0, None, None), (1, 2, "assistant", "<\\|x"), (None, 0, "user", "a"), (None, 0, "user", "a"), (2, None, "assistant", "日本é"), (2, 5, "assistant", ""), (-7, 0, "user", "</s>[INST] ok [/INST]")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, loss string")

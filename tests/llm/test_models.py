@@ -41,6 +41,22 @@ def test_recall_and_order(spark, vectors):
     assert total == 10 * sum(i % 50 == 0 for i, _ in vectors) and hits / total >= 0.9
 
 
+@pytest.mark.parametrize("folder", ["0.001", "0.01"])
+def test_recall_on_the_given_vectors(spark, folder):
+    path = FOLDER.replace("0.001", folder)
+    found = neighbours.op7_nearest(spark, path).collect()
+    rows = [(r[0], np.array(r[1], float)) for r in spark.read.parquet(f"{path}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    hits = 0
+    queries = [q for q in ids.tolist() if q % 100 == 0]
+    for q in queries:
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        want = {i for _, i in sorted(zip(d.tolist(), ids.tolist()))[:10]}
+        hits += len(want & {r["vec_id"] for r in found if r["query_id"] == q})
+    assert len(found) == 10 * len(queries) and hits >= 0.9 * len(found)
+
+
 def test_ties_go_to_small_ids(spark):
     rows = [(i, [1.0, 2.0]) for i in range(300)] + [(1000 + i, [float(i), 5.0]) for i in range(50)]
     found = neighbours.nearest(frame(spark, rows), 100).filter("query_id < 300").collect()
