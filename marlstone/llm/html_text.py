@@ -1,15 +1,21 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block element with text of its own. Elements that never hold the article
-(navigation, headers, footers, sidebars, forms, scripts, notices, adverts, comments: by tag, role or class) give
-no lines. What is left is weighed: a line counts its characters outside links. Sums over ``WINDOW`` consecutive lines
-surge where the main text begins and dive to nothing where it ends; the lines between are the text, joined in page
-order. Article elements are a check on the weights alone: where they hold most of a page's text outside links, lines
-outside them count nothing and lines of links inside them count one; otherwise they are elements like others.
+Markup is stripped into lines, one for each block element with text of its own. Lines are weighed by their characters
+outside links. Sums over ``WINDOW`` consecutive lines surge where the main text begins and dive to nothing where it ends;
+the lines between are the text, joined in page order.
+
+What the windows cannot see is told beforehand. Elements that never hold the article give no lines: navigation, headers,
+footers, sidebars, menus, notices, forms and their controls, scripts and styles, by their tag or role; adverts, notices,
+reader comments and the like also by a class or id that consists of such words alone (``ad``, ``cookie-banner``), while one
+that merely contains such a word (``related-work``, ``social-history``) decides nothing, and ids of headings and
+paragraphs, which are made from their text, are not looked at. Article elements are a check on the weights: where they
+hold most of a page's text outside links, lines outside them count nothing and lines of links inside them count one;
+otherwise they are elements like others. Nothing else is left out: hidden text, formulas, drawings' texts and fallback
+contents of embedded objects are text like other.
 
 Defined results: a null or empty page gives an empty text; white space inside a block, references and line breaks
 turn into one space; malformed markup (unclosed elements, stray ends, quotes) is read as browsers mostly do, and an
-unclosed comment or script runs to the end of the page; equal pages give equal texts; an empty table gives an empty
+unclosed comment or script runs to the end of the page; a very long page takes a few times its size; equal pages give equal texts; an empty table gives an empty
 result; other columns are carried along and those named like an added column are replaced.
 """
 
@@ -28,7 +34,7 @@ from .storage import carried, numbered, small_batches
 
 WINDOW, SURGE = 3, 86
 
-_SKIP = frozenset("nav header footer aside form button menu dialog fieldset label input datalist".split())
+_SKIP = frozenset("nav header footer aside form button menu dialog fieldset label input datalist select".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -41,11 +47,17 @@ _NAMES = frozenset(
     "breadcrumb breadcrumbs header masthead footer comment comments disqus reply replies cookie cookies consent gdpr notice notices popup modal overlay "
     "newsletter subscribe subscription signup login share sharing social related recommended widget toolbar pagination pager search form alert".split()
 )
-_NOT = frozenset(("has", "with", "no", "without"))
+#: Words that may stand beside them and say nothing about the content.
+_BESIDE = frozenset(
+    "area bar block blocks body bottom box center col column container content group holder inner item items left list main module outer page panel post posts right row "
+    "section side site slot story stories text thread top unit user users widgets wrap wrapper zone google article articles global primary secondary".split()
+)
+#: Elements whose ids are made from their text.
+_NAMED_BY_TEXT = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre figure table dl dt".split())
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|svg|math|iframe|object|canvas|audio|video|select)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-zA-Z](?P<loose>[^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
@@ -61,18 +73,16 @@ def _outside(tag: str, attrs: str, in_article: bool) -> bool:
         return False
     if tag in _SKIP and not (tag == "header" and in_article):
         return True
-    if "=" not in attrs and "hidden" not in attrs:
+    if "=" not in attrs:
         return False
     for m in _ATTRIBUTE.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in _ROLES:
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+        if name == "role" and value.lower() in _ROLES:
             return True
-        if name in ("class", "id"):
+        if name == "class" or name == "id" and tag not in _NAMED_BY_TEXT:
             for word in value.split():
                 parts = {p.lower() for p in _PARTS.findall(word)}
-                if parts & _NAMES and not parts & _NOT and not (in_article and parts & {"header"}):
+                if parts & _NAMES and parts <= _NAMES | _BESIDE and not (in_article and parts & {"header"}):
                     return True
     return False
 
@@ -104,7 +114,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if m.start() > at and not skipping:
             held.append((page[at : m.start()], links > 0))
         at = m.end()
-        if m["raw"] and m["raw"].lower() in ("iframe", "object", "canvas", "audio", "video", "textarea", "select"):
+        if m["raw"] and m["raw"].lower() in ("iframe", "textarea"):
             held.append((" ", False))
         if not m["tag"]:
             continue

@@ -2,8 +2,13 @@
 
 import html
 import random
+from html.parser import HTMLParser
 
-from marlstone.llm.html_text import extract, main_text
+import pytest
+
+from marlstone.llm.html_text import extract, main_text, op2_html_text
+
+from ..oracle import FOLDER
 
 PAGE = """<!DOCTYPE html><html><head><title>x</title><style>p{}</style></head><body class="has-sidebar"><header><h1>Site</h1></header>
 <nav><ul><li><a href="/a">menu</a><li><a>b</a></ul></nav><div class="cookie-notice">We use cookies on this page, which is a long line of text that is no article</div>
@@ -16,6 +21,50 @@ def test_article_alone():
     assert main_text(PAGE) == ["Title & more", "First para link with newline and break é—", "Last one"]
 
 
+class Plain(HTMLParser):
+    """The blocks inside a page's article, for pages made of few elements."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = False, [""]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        self.blocks.append("") if tag in ("article", "h1", "p") else self.handle_data(" ") if tag == "br" else None
+
+    def handle_endtag(self, tag):
+        self.inside &= tag != "article"
+        if tag in ("article", "h1", "p"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+@pytest.mark.parametrize("folder", ["0.001", "0.01"])
+def test_whole_table_equals_plain_parser(spark, folder):
+    """Every page of the table, parsed apart; and found by windows alone, with the article element renamed."""
+    path = FOLDER.replace("0.001", folder)
+    pages = {r["page_id"]: r["html"] or "" for r in spark.read.parquet(f"{path}/pages.parquet").collect()}
+    found = op2_html_text(spark, path).collect()
+    assert len(found) == len(pages)
+    for r in found:
+        page = pages[r["page_id"]]
+        want = [" ".join(b.split()) for b in Plain(page).blocks if b.split()]
+        assert r["text"] == "\n\n".join(want) and r["n_chars"] == len(r["text"])
+        assert main_text(page.replace("<article", "<div").replace("</article", "</div")) == want
+
+
+def test_nothing_else_is_dropped():
+    page = """<article><p>before</p><p hidden>kept</p><p style="display:none">this too</p><math><mi>x</mi> = <mn>1</mn></math><svg><text>drawn</text></svg>
+<h2 id="related-work">Related work</h2><section class="social-history"><p>Society</p></section><p id="form-and-function">Form</p><p class="search-algorithms">Search</p>
+<object>fallback</object><select><option>one</option></select><textarea>typed</textarea><div class="cookie-banner">no</div><div id="comments">no</div><div class="ad-slot"><p>no</p></div></article>"""
+    assert main_text(page) == ["before", "kept", "this too", "x = 1drawn", "Related work", "Society", "Form", "Search", "fallback"]
+
+
 def test_planted_articles():
     random.seed(1)
     for _ in range(200):
