@@ -3,7 +3,8 @@
 A record is: its length (8 bytes, little-endian), the masked CRC-32C of those 8 bytes, the data, and the masked
 CRC-32C of the data. The data are a 1-byte flag (1: the document has an id), the id (8 bytes) and the token ids
 (2 bytes each if the vocabulary allows, else 4). Beside ``shard-N.rec`` stands ``shard-N.idx``: the offset of
-every record as 8 bytes, so that a reader can fetch records in any order without scanning the file.
+every record as 8 bytes, so that a reader can fetch records in any order without scanning the file: ``read_shuffled``
+deals the index entries out by a seeded hash and fetches each record by its offset.
 
 Shards hold ascending ranges of document ids. Their bounds come from the ids alone, in one cheap pass; texts are
 read once, encoded where they are, and only packed ids shuffle. An id that fills several ranges by itself is
@@ -254,6 +255,55 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return files.repartitionById(max(1, len(shards)), F.pmod(F.col("shard"), F.lit(max(1, len(shards))))).mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
+def read_shuffled(spark: SparkSession, path: str, seed: int = 0, partitions: int | None = None) -> DataFrame:
+    """The documents (doc_id, n_tokens, ids) in an order that the seed fixes, over all shards alike.
+
+    Only index entries shuffle. A partition is a range of their hashes, in order; its records are fetched by offset,
+    those of a batch file by file in ascending order.
+    """
+    store, root = fs.FileSystem.from_uri(path)
+    with store.open_input_stream(f"{root}/manifest.json") as f:
+        held = json.loads(f.read())
+    width, shards = held["width"], held["shards"]
+    count = max(1, partitions or len(shards))
+
+    def entries(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(path)
+        for batch in rows:
+            for shard, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with store.open_input_stream(f"{root}/shard-{shard:08d}.idx") as f:
+                    first = np.frombuffer(f.read(), "<u8").astype(np.int64)
+                ends = np.append(first[1:], size)
+                for a in range(0, len(first), 100_000):
+                    part = first[a : a + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), shard, np.int32)), pa.array(part), pa.array(ends[a : a + 100_000] - part)], ["shard", "offset", "size"])
+
+    def fetch(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(path)
+        for batch in rows:
+            for a in range(0, batch.num_rows, 256):
+                shard, offset, size = (batch.column(k)[a : a + 256].to_numpy() for k in range(3))
+                found: list[bytes] = [b""] * len(shard)
+                for one in np.unique(shard).tolist():
+                    with store.open_input_file(f"{root}/shard-{one:08d}.rec") as f:
+                        for k in sorted(np.flatnonzero(shard == one).tolist(), key=lambda k: offset[k]):
+                            found[k] = f.read_at(int(size[k]), int(offset[k]))
+                payloads, end = unframe(whole := b"".join(found))
+                if len(payloads) != len(found) or end != len(whole):
+                    raise ValueError("an index entry does not fit its file")
+                docs = [struct.unpack_from("<Bq", p) for p in payloads]
+                ids = [np.frombuffer(p, f"<u{width}", offset=9).astype("<u4") for p in payloads]
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([d if has else None for has, d in docs], pa.int64()), "n_tokens": pa.array(list(map(len, ids)), pa.int64()), "ids": pa.array([x.tobytes() for x in ids], pa.binary())})
+
+    files = spark.createDataFrame([(s["shard"], s["bytes"]) for s in shards], "shard int, bytes long").repartitionById(max(1, len(shards)), F.pmod(F.col("shard"), F.lit(max(1, len(shards)))))
+    key = F.xxhash64("shard", "offset", F.lit(seed))
+    dealt = files.mapInArrow(entries, "shard int, offset long, size long").withColumn("key", key)
+    at = F.floor(F.shiftrightunsigned("key", 33) * count / F.lit(2.0**31)).cast("int")
+    # the upper bits give the partition, and the order within it follows all of them
+    dealt = dealt.repartitionById(count, F.least(at, F.lit(count - 1))).sortWithinPartitions(F.shiftrightunsigned("key", 33), "key", "shard", "offset")
+    return dealt.select("shard", "offset", "size").mapInArrow(fetch, "doc_id long, n_tokens long, ids binary")
+
+
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's record, as read back from the files."""
     import public_tokenizers

@@ -198,18 +198,3 @@ def test_scores_of_odd_rows(spark, docs):
     assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 for r in rows)
     assert quality.score(docs.limit(0), net).count() == 0
     assert quality.fit(docs, labels.limit(0)).score(b"x") == 0.5
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
-    held = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, held, FOLDER)
-        assert after.columns == docs.columns
-        rows, before = after.collect(), held.count()
-        assert 0 < len(rows) <= before
-        held = spark.createDataFrame(rows, docs.schema)
-    pieces = corpus_pipeline.run(spark, FOLDER)
-    assert {r[0] for r in pieces.select("doc_id").distinct().collect()} == {r["doc_id"] for r in held.collect()}

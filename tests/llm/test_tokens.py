@@ -77,6 +77,18 @@ def test_index_points_at_records(spark, docs):
             assert records.unframe(data[at : at + 16 + int.from_bytes(data[at : at + 8], "little")])[0]
 
 
+def test_shuffled_reads_follow_the_index(spark, docs, empty):
+    path = fresh_dir(spark, "records")
+    records.write_records(docs.unionByName(docs).repartition(3), path, PATH, shards=4)
+    row = lambda r: (r["doc_id"], r["n_tokens"], bytes(r["ids"]))
+    plain = [row(r) for r in records.read_records(spark, path).orderBy("start").collect()]
+    orders = [[row(r) for r in records.read_shuffled(spark, path, seed, 3).collect()] for seed in (1, 1, 2)]
+    assert all(sorted(o, key=str) == sorted(plain, key=str) for o in orders)
+    assert orders[0] == orders[1] and orders[0] != orders[2] and plain not in orders
+    records.write_records(empty, path + "-none", PATH)
+    assert records.read_shuffled(spark, path + "-none").count() == 0
+
+
 def test_one_id_with_many_rows_is_spread(spark):
     rows = spark.createDataFrame([(7, f"hot {k}") for k in range(300)] + [(8, "x")], "doc_id long, text string")
     manifest = records.write_records(rows, fresh_dir(spark, "hot"), PATH, shards=6)
