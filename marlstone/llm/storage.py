@@ -24,6 +24,14 @@ def numbered(columns: list[str]) -> list[Column]:
     return [F.col(c).alias(f"__c{k}") for k, c in enumerate(columns)]
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``. Only where it is unset, as in local tests, a temporary folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
