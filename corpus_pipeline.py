@@ -18,15 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from marlstone.llm import exact_dedup, mixing, near_dedup, packing, quality
-from marlstone.llm.storage import carried, fresh_dir
+from marlstone.llm.storage import carried, fresh_dir, unused
 
 TOKENIZER = "word_bpe_49k.json"
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    network = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, network, to="__score").filter(F.col("__score") >= quality.THRESHOLD).select(*carried(docs, ()))
+    network, score = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), unused(docs, "quality_score")
+    return quality.score(docs, network, to=score).filter(F.col(score) >= quality.THRESHOLD).select(*carried(docs, ()))
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,16 +47,17 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def in_file_order(docs: DataFrame) -> DataFrame:
     """Documents read from Parquet files, in the order in which the files were written; others as they come."""
     spark, kept = docs.sparkSession, carried(docs, ("mix_position",))
+    file, row, before_file = (unused(docs, n) for n in ("mix_file", "mix_row", "mix_before"))
     try:
-        rows = docs.select(*kept, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+        rows = docs.select(*kept, F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
     except AnalysisException:  # no files, no order
         return docs
     # a file's number is that of the task that wrote it, however many digits it has; a task's further files go by name
     number = lambda path: (int(m[1]) if (m := re.search(r"part-(\d+)[^/]*$", path)) else 0, path)
-    sizes = sorted(rows.groupBy("__file").count().collect(), key=lambda r: number(r["__file"]))  # one row for each file
+    sizes = sorted(rows.groupBy(file).count().collect(), key=lambda r: number(r[file]))  # one row for each file
     before = [0, *itertools.accumulate(r["count"] for r in sizes)]
-    firsts = spark.createDataFrame([(r["__file"], n) for r, n in zip(sizes, before)], "__file string, __before long")
-    placed = rows.join(F.broadcast(firsts), "__file").select(*kept, (F.col("__before") + F.col("__row")).alias("mix_position"))
+    firsts = spark.createDataFrame([(r[file], n) for r, n in zip(sizes, before)], f"{file} string, {before_file} long")
+    placed = rows.join(F.broadcast(firsts), file).select(*kept, (F.col(before_file) + F.col(row)).alias("mix_position"))
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return mixing.in_order(placed, before[-1], files).select(*kept)
 
