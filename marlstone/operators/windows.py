@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..catalog import Query, same
+from ..catalog import Query, bare, same
 
 
 def latest_per_key(df: DataFrame, keys: list[str], *order: F.Column) -> DataFrame:
@@ -39,6 +39,39 @@ def running_sum(df: DataFrame, order: list[F.Column], value: str, to: str = "run
     return ranged.join(F.broadcast(starts), "__range").withColumn(to, within + F.col("__start")).drop("__range", "__start")
 
 
+def _next_after(within: Window, kind: str):
+    return {"row_number": F.row_number, "rank": F.rank, "dense_rank": F.dense_rank}[kind]().over(within)
+
+
+def ranked(df: DataFrame, order: list[F.Column], kind: str = "row_number", to: str = "rn", partition_by: list[str] | None = None, tiles: int | None = None) -> DataFrame:
+    """ROW_NUMBER, RANK, DENSE_RANK or (with ``tiles``) NTILE over the whole table or over few large partitions, with as
+    many tasks as there are ranges rather than one for each partition.
+
+    Rows are dealt out by ranges of partition and order and written once, so that equal rows of the order share a range;
+    counts of the ranges give each its start. For ROW_NUMBER and NTILE the order should break all ties.
+    """
+    from ..plans.tables import scratch
+
+    parts, path = partition_by or [], scratch(df.sparkSession, "ranges")
+    df.repartitionByRange(*(F.col(p) for p in parts), *order).withColumn("__range", F.spark_partition_id()).write.parquet(path)
+    ranged = df.sparkSession.read.parquet(path)
+    own = Window.partitionBy(*parts, "__range").orderBy(*order)
+    local = ranged.withColumn("__at", _next_after(own, kind))
+    # what each range adds: its rows, or its different values
+    sizes = local.groupBy(*parts, "__range").agg((F.max("__at") if kind == "dense_rank" else F.count(F.lit(1))).alias("__n"))
+    before = Window.partitionBy(*parts).orderBy("__range")
+    whole = Window.partitionBy(*parts)
+    starts = sizes.select(*(F.col(p).alias(f"__p{k}") for k, p in enumerate(parts)), F.col("__range").alias("__r"), (F.sum("__n").over(before) - F.col("__n")).alias("__start"), F.sum("__n").over(whole).alias("__all"))
+    met = F.col("__range") == F.col("__r")
+    for k, p in enumerate(parts):
+        met = met & F.col(p).eqNullSafe(F.col(f"__p{k}"))
+    place = F.col("__at") + F.col("__start")
+    if tiles:
+        q, r = F.floor(F.col("__all") / tiles), F.col("__all") % tiles
+        place = F.when(place <= r * (q + 1), F.floor((place - 1) / (q + 1)) + 1).otherwise(r + F.floor((place - 1 - r * (q + 1)) / F.greatest(q, F.lit(1))) + 1)
+    return local.join(F.broadcast(starts), met).withColumn(to, place.cast("int")).select(*df.columns, to)
+
+
 def abc_class(value: F.Column, running: F.Column, total: F.Column) -> F.Column:
     """A for what makes the first 80 per cent, B up to 95, C for the rest."""
     return F.when(running - value < total * 0.8, "A").when(running - value < total * 0.95, "B").otherwise("C")
@@ -50,6 +83,29 @@ def _pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("c_custkey", abc_class(F.col("spent"), F.col("running"), F.col("total")).alias("class_"))
 
 
+def _customer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders in sequence with running value and tier, and quartiles of all orders of a market segment:
+    a segment holds a large share of all rows, so its quartiles go by ranges."""
+    orders, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
+    rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice", "c_mktsegment")
+    tiled = ranked(rows, [F.desc("o_totalprice"), F.asc("o_orderkey")], to="quartile", partition_by=["c_mktsegment"], tiles=4)
+    mine = Window.partitionBy("o_custkey")
+    seq, spent = mine.orderBy("o_orderdate", "o_orderkey"), F.sum(F.col("o_totalprice").cast("decimal(18,2)"))
+    return tiled.select(
+        "o_custkey", "o_orderkey", F.row_number().over(seq).alias("seq"), F.lag("o_orderdate").over(seq).cast("date").cast("string").alias("previous_"),
+        spent.over(seq.rowsBetween(Window.unboundedPreceding, 0)).cast("double").alias("ltv"), "quartile",
+        F.when(spent.over(mine) > 2000000, "gold").when(spent.over(mine) > 1000000, "silver").otherwise("basic").alias("tier"),
+    )
+
+
+def _three_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "nation"))
+    rows = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_acctbal", "n_regionkey", "c_nationkey")
+    for to, parts in (("overall", []), ("in_region", ["n_regionkey"]), ("in_nation", ["c_nationkey"])):
+        rows = ranked(rows, [F.desc("c_acctbal")], "rank", to, parts)
+    return rows.select("c_custkey", "overall", "in_region", "in_nation")
+
+
 def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     return latest_per_key(orders, ["o_custkey"], F.col("o_orderdate").desc(), F.col("o_orderkey").desc()).select("o_custkey", "o_orderkey")
@@ -99,16 +155,16 @@ QUERIES = [
           FROM events WINDOW w AS (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id)"""),
     same("w28_daily_ranks", """SELECT o_orderkey, row_number() OVER w AS seq, rank() OVER d AS r, dense_rank() OVER d AS dr, ntile(10) OVER (PARTITION BY o_orderdate ORDER BY o_totalprice DESC, o_orderkey) AS decile, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS DOUBLE) AS last3
           FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), d AS (PARTITION BY o_orderdate ORDER BY o_totalprice DESC)"""),
-    same("w29_customer_metrics", """SELECT o_custkey, o_orderkey, row_number() OVER w AS seq, CAST(CAST(lag(o_orderdate) OVER w AS DATE) AS STRING) AS previous_, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS ltv,
+    Query("w29_customer_metrics", _customer_metrics, bare("""SELECT o_custkey, o_orderkey, row_number() OVER w AS seq, CAST(CAST(lag(o_orderdate) OVER w AS DATE) AS STRING) AS previous_, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS ltv,
           ntile(4) OVER (PARTITION BY c_mktsegment ORDER BY o_totalprice DESC, o_orderkey) AS quartile, CASE WHEN sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_custkey) > 2000000 THEN 'gold' WHEN sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_custkey) > 1000000 THEN 'silver' ELSE 'basic' END AS tier
-          FROM {orders} JOIN {customer} ON o_custkey = c_custkey WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"""),
+          FROM {orders} JOIN {customer} ON o_custkey = c_custkey WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")),
     same("w30_dense_activity", "SELECT user_id, d, sum(n) OVER (PARTITION BY user_id ORDER BY d RANGE BETWEEN 6 PRECEDING AND CURRENT ROW) AS active7 FROM (SELECT user_id, datediff_days AS d, count(*) AS n FROM (SELECT user_id, CAST(extract(day FROM ts) AS INT) AS datediff_days FROM {events}) e GROUP BY 1, 2) t"),
     Query("w31_latest_per_key", _latest, "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1"),
     same("w32_trend_flag", f"SELECT store, day_, CASE WHEN revenue > avg(revenue) OVER (PARTITION BY store ORDER BY day_ ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) THEN 'above' ELSE 'not above' END AS trend FROM {_DAYS}"),
     same("w33_lag_many", "SELECT m, n, lag(n, 1) OVER (ORDER BY m) AS last_month, lag(n, 12) OVER (ORDER BY m) AS last_year FROM (SELECT CAST(extract(year FROM o_orderdate) * 100 + extract(month FROM o_orderdate) AS BIGINT) AS m, count(*) AS n FROM {orders} GROUP BY 1) t"),
     Query("w34_pareto", _pareto, """SELECT c_custkey, CASE WHEN running - spent < 0.8 * total THEN 'A' WHEN running - spent < 0.95 * total THEN 'B' ELSE 'C' END AS class_ FROM (SELECT o_custkey AS c_custkey, spent, sum(spent) OVER (ORDER BY spent DESC, o_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running, sum(spent) OVER () AS total
           FROM (SELECT o_custkey, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS spent FROM orders GROUP BY o_custkey) a) b"""),
-    same("w35_ranks_at_three_levels", """SELECT c_custkey, rank() OVER (ORDER BY c_acctbal DESC) AS overall, rank() OVER (PARTITION BY n_regionkey ORDER BY c_acctbal DESC) AS in_region, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) AS in_nation FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey"""),
+    Query("w35_ranks_at_three_levels", _three_levels, bare("""SELECT c_custkey, rank() OVER (ORDER BY c_acctbal DESC) AS overall, rank() OVER (PARTITION BY n_regionkey ORDER BY c_acctbal DESC) AS in_region, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) AS in_nation FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""")),
     same("w36_total_over", "SELECT n_name, count(*) AS n, sum(count(*)) OVER () AS total FROM {nation} JOIN {supplier} ON s_nationkey = n_nationkey GROUP BY n_name"),
     same("w37_ratio_to_least", f"SELECT store, day_, round(CAST(revenue AS DOUBLE) / CAST(min(revenue) OVER () AS DOUBLE), 4) AS ratio FROM {_DAYS}"),
     Query("w38_top_of_nested", "SELECT id, item, rn FROM (SELECT id, item, row_number() OVER (PARTITION BY id ORDER BY item DESC) AS rn FROM VALUES (1, array(3, 9, 4)), (2, array(1)) AS t(id, items) LATERAL VIEW explode(items) x AS item) WHERE rn <= 2",

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..catalog import Query
 from ..functions.hashing import row_hash
 from ..operators.predicates import split_valid
-from ..operators.windows import latest_per_key
+from ..operators.windows import latest_per_key, ranked
 from .tables import merged
 
 FOREVER = "9999-12-31"
@@ -130,12 +129,19 @@ def _silver(spark, sf_dir):
     return good.select("id", "email", F.col("age").cast("string").alias("note")).unionByName(bad.select("id", "email", F.col("reason").alias("note")))
 
 
+def with_surrogates(dim: DataFrame, new: DataFrame, key: str, surrogate: str) -> DataFrame:
+    """The dimension and rows of new keys, whose surrogates go on from the largest without gaps, in order of the key."""
+    top = dim.agg(F.coalesce(F.max(surrogate), F.lit(0))).first()[0]
+    fresh = new.join(dim.select(key), key, "left_anti")
+    numbered = ranked(fresh, [F.asc(key)], to=surrogate)
+    return dim.unionByName(numbered.withColumn(surrogate, F.col(surrogate) + F.lit(top)).select(*dim.columns))
+
+
 def _surrogate(spark, sf_dir):
-    """New surrogate keys go on from the largest, without gaps."""
-    dim = spark.createDataFrame([(1, "a"), (2, "b")], "sk int, k string")
-    new = spark.createDataFrame([("c",), ("d",)], "k string")
-    top = dim.agg(F.max("sk")).first()[0]
-    return dim.unionByName(new.select((F.row_number().over(Window.orderBy("k")) + top).alias("sk"), "k"))
+    """The first third of the customers has surrogates; a load that names all of them adds the others."""
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_mktsegment")
+    dim = ranked(customer.filter("c_custkey % 3 = 0"), [F.asc("c_custkey")], to="sk").select("sk", "c_custkey", "c_mktsegment")
+    return with_surrogates(dim, customer, "c_custkey", "sk").select("sk", "c_custkey")
 
 
 QUERIES = [
@@ -155,5 +161,5 @@ QUERIES = [
     Query("e09_scd6", _scd6, """WITH d AS (SELECT c_custkey % 10 = 0 AS moved, c_custkey % 5 <> 4 AS known FROM customer)
           SELECT NOT moved AS is_current, count(*) AS n, CAST(sum(CASE WHEN moved THEN 1 ELSE 0 END) AS BIGINT) AS moved FROM (SELECT moved, moved AS m FROM d WHERE known AND moved) GROUP BY 1
           UNION ALL SELECT true, count(*), CAST(sum(CASE WHEN moved THEN 1 ELSE 0 END) AS BIGINT) FROM d"""),
-    Query("e10_surrogate_keys", _surrogate, "SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, 'c'), (4, 'd')) AS t(sk, k)"),
+    Query("e10_surrogate_keys", _surrogate, "SELECT CAST(row_number() OVER (ORDER BY c_custkey % 3 <> 0, c_custkey) AS INT) AS sk, c_custkey FROM customer"),
 ]

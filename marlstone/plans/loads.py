@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..catalog import Query
 from ..operators.windows import latest_per_key
-from .tables import Table, merged, scratch
+from .tables import Table, scratch
 
 
 def reload_window(table: Table, source: DataFrame, column: str, low, high) -> Table:
     """Delete and insert of a half-open window: running it twice gives the same rows."""
     inside = (F.col(column) >= F.lit(low)) & (F.col(column) < F.lit(high))
-    return table.overwrite(table.read().filter(~F.coalesce(inside, F.lit(False))).unionByName(source.filter(inside)))
+    return table.replace(inside, source.filter(inside))
 
 
 def lookback(table: Table, source: DataFrame, column: str, day: str, days: int = 7) -> Table:
@@ -22,7 +22,7 @@ def lookback(table: Table, source: DataFrame, column: str, day: str, days: int =
         raise ValueError("a lookback takes 0 to 60 days")
     end = F.date_add(F.lit(day).cast("date"), 1)
     inside = (F.col(column) >= F.date_sub(end, days + 1)) & (F.col(column) < end)
-    return table.overwrite(table.read().filter(~inside).unionByName(source.filter(inside)))
+    return table.replace(inside, source.filter(inside))
 
 
 def load_after(table: Table, source: DataFrame, sequence: str) -> int:
@@ -36,7 +36,10 @@ def load_after(table: Table, source: DataFrame, sequence: str) -> int:
 
 
 def load_in_chunks(table: Table, source: DataFrame, key: str, done: set) -> list:
-    """Loads one chunk per key value that is not done yet; a failed run goes on where it stopped."""
+    """Loads one chunk per key value that is not done yet, each as files of its own; a failed run goes on where it stopped.
+
+    Keys are days or the like: the driver holds one row for each, as a control table would.
+    """
     loaded = []
     for value in sorted(r[0] for r in source.select(key).distinct().collect()):
         if value not in done:
@@ -87,9 +90,9 @@ def _delete_using(spark, sf_dir):
 
 
 def _update_from(spark, sf_dir):
-    other = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_acctbal") < 0).alias("debt"))
-    df = _orders(spark, sf_dir).join(other, "o_custkey", "left")
-    return _state(df.withColumn("o_orderstatus", F.when(F.coalesce("debt", F.lit(False)), "X").otherwise(F.col("o_orderstatus"))))
+    debtors = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_acctbal") < 0).alias("debt"))
+    t = _table(spark, _orders(spark, sf_dir)).update_from(debtors, ["o_custkey"], o_orderstatus=F.when(F.col("debt"), "X").otherwise(F.col("o_orderstatus")))
+    return _state(t.read())
 
 
 def _update_in(spark, sf_dir):
@@ -106,8 +109,9 @@ def _reload(spark, sf_dir):
 
 
 def _upsert(spark, sf_dir):
+    """The two statements of it: what the changes name goes, then they come in."""
     t, changes = _table(spark, _orders(spark, sf_dir)), _changes(spark, sf_dir)
-    return _state(t.overwrite(merged(t.read(), changes, ["o_orderkey"])).read())
+    return _state(t.delete_using(changes, ["o_orderkey"]).insert(changes).read())
 
 
 def _merge(spark, sf_dir):

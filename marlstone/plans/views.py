@@ -49,9 +49,10 @@ class IncrementalAggregate:
         return self
 
     def refresh(self, added: DataFrame) -> "IncrementalAggregate":
-        """Merges the state of the new rows in; the old rows are not read."""
-        both = self.table.read().unionByName(self._partial(added))
-        self.table.overwrite(both.groupBy(*self.keys).agg(F.sum("s").cast(both.schema["s"].dataType).alias("s"), F.sum("c").alias("c"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+        """Merges the state of the new rows in: the base is not read again, and of the view only the keys that changed."""
+        held, new = self.table.read(), self._partial(added)
+        both = held.join(new.select(*self.keys), self.keys, "left_semi").unionByName(new)
+        self.table.merge(both.groupBy(*self.keys).agg(F.sum("s").alias("s"), F.sum("c").alias("c"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), self.keys)
         return self
 
     def read(self) -> DataFrame:

@@ -10,14 +10,15 @@ from ..plans.tables import Table, scratch
 from . import streams
 
 
-def _stream(spark: SparkSession, sf_dir: str, files: int = 3) -> DataFrame:
-    """Events dealt out by time into files, which arrive in that order."""
+def _stream(spark: SparkSession, sf_dir: str, parts: int = 3) -> DataFrame:
+    """Events dealt out by time into runs of files; the files of a run arrive together, and the runs in that order."""
     events, path = spark.read.parquet(f"{sf_dir}/events.parquet"), scratch(spark, "stream")
     low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
-    for k in range(files):
-        part = F.floor((F.col("event_id") - low) * files / (high - low + 1)) == k
-        events.filter(part).coalesce(1).write.mode("append").parquet(path)
-    return streams.event_stream(spark, path, events.schema)
+    files = max(1, events.rdd.getNumPartitions())  # as many as tasks read the table
+    for k in range(parts):
+        part = F.floor((F.col("event_id") - low) * parts / (high - low + 1)) == k
+        events.filter(part).repartition(files, "event_id").write.option("maxRecordsPerFile", 1_000_000).mode("append").parquet(path)
+    return streams.event_stream(spark, path, events.schema, files)
 
 
 def _table(spark: SparkSession, name: str) -> tuple[Table, str]:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
-from ..plans.tables import Table, merged
+from ..plans.tables import Table
 
 
 def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -42,10 +42,10 @@ def run_once(stream: DataFrame, checkpoint: str, each_batch: Callable[[DataFrame
 
 
 def upserting(table: Table, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A sink that may see a batch twice: rows replace those of the same keys."""
+    """A sink that may see a batch twice: rows replace those of the same keys, in the files that hold them."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        table.overwrite(merged(table.read(), batch, keys) if table.exists() else batch)
+        table.merge(batch, keys) if table.exists() else table.overwrite(batch)
 
     return write
 

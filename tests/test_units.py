@@ -4,12 +4,14 @@ import datetime
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from marlstone.functions import dialect, geometry
-from marlstone.operators.joins import bucketed_range_join, sized_broadcast
+from marlstone.operators.joins import bucketed, bucketed_range_join, sized_broadcast
+from marlstone.operators.windows import ranked
 from marlstone.plans import control, views
 from marlstone.plans.security import Policies
-from marlstone.plans.tables import Table, scratch
+from marlstone.plans.tables import Outrun, Table, TableLocked, scratch
 
 
 def test_datediff_counts_boundaries(spark):
@@ -93,3 +95,83 @@ def test_publish_replaces_in_one_rename(spark):
     assert t.read().count() == 4 and t.versions() == 2
     t.vacuum()
     assert t.versions() == 1 and t.read().count() == 4
+
+
+def files(t):
+    return {f["file"] for f in t.manifest()["files"]}
+
+
+def ids(t):
+    return sorted(r[0] for r in t.read().select("id").collect())
+
+
+def test_writes_touch_the_files_they_change(spark):
+    t = Table(spark, scratch(spark, "w")).overwrite(spark.range(100), cluster_by=["id"])
+    first = files(t)
+    t.insert(spark.range(100, 110))
+    assert first < files(t) and ids(t) == list(range(110))
+    added = files(t) - first
+    t.delete(F.col("id") >= 100)
+    assert files(t) == first and ids(t) == list(range(100)) and added
+    t.delete(F.col("id") > 1000)
+    assert files(t) == first
+    t.merge(spark.createDataFrame([(5,), (200,)], "id long"), ["id"])
+    assert len(first - files(t)) == 1 and ids(t) == [*range(100), 200]
+    t.replace(F.col("id") == 200, spark.range(300, 302))
+    assert ids(t) == [*range(100), 300, 301]
+    before = files(t)
+    t.add_column("kind", "string", "old").insert(spark.createDataFrame([(400, "new"), (401, None)], "id long, kind string"))
+    assert before < files(t)
+    assert {(r["id"] >= 400, r["kind"]) for r in t.read().collect()} == {(False, "old"), (True, "new"), (True, None)}
+    t.update(F.col("id") == 301, kind=F.lit("changed"))
+    assert t.read().filter("kind = 'changed'").count() == 1 and t.read().filter("kind = 'old'").count() == 101
+    held = ids(t)
+    t.vacuum()
+    assert ids(t) == held and t.versions() == 1
+    assert t.compact(["id"]).truncate().read().count() == 0 and t.read().columns == ["id", "kind"]
+
+
+def test_update_from_another_table(spark):
+    t = Table(spark, scratch(spark, "u")).overwrite(spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, v string"))
+    t.update_from(spark.createDataFrame([(2, "x"), (3, "y"), (9, "z")], "id int, w string"), ["id"], v=F.concat(F.coalesce("v", F.lit("-")), F.col("w")))
+    assert sorted(tuple(r) for r in t.read().collect()) == [(1, "a"), (2, "bx"), (3, "-y")]
+
+
+def test_two_rows_of_a_key_are_refused(spark):
+    t = Table(spark, scratch(spark, "m")).overwrite(spark.range(3))
+    for twice in (spark.createDataFrame([(1,), (1,)], "id long"), spark.createDataFrame([(7,), (7,)], "id long")):
+        with pytest.raises(ValueError):
+            t.merge(twice, ["id"])
+    assert ids(t) == [0, 1, 2]
+
+
+def test_lost_updates_are_refused(spark):
+    path = scratch(spark, "l")
+    mine, other = Table(spark, path).overwrite(spark.range(1)), Table(spark, path)
+    late = other.stage(spark.range(5))
+    mine.insert(spark.range(1, 2))
+    with pytest.raises(Outrun):
+        other.publish(late)
+    with mine.locked(), pytest.raises(TableLocked):
+        other.insert(spark.range(1))
+    assert ids(mine) == [0, 1]
+
+
+@pytest.mark.parametrize("parts", [[], ["g"]])
+def test_ranks_by_ranges_equal_windows(spark, parts):
+    rows = [(k, (k * 37) % 11, k % 3 if k % 7 else None) for k in range(301)]
+    df = spark.createDataFrame(rows, "k int, v int, g int").repartition(5)
+    whole = Window.partitionBy(*parts)
+    for kind, order in (("row_number", [F.desc("v"), F.asc("k")]), ("rank", [F.desc("v")]), ("dense_rank", [F.desc("v")])):
+        want = {r["k"]: r["r"] for r in df.withColumn("r", getattr(F, kind)().over(whole.orderBy(*order))).collect()}
+        assert {r["k"]: r["rn"] for r in ranked(df, order, kind, partition_by=parts).collect()} == want
+    for tiles in (4, 500):
+        order = [F.desc("v"), F.asc("k")]
+        want = {r["k"]: r["r"] for r in df.withColumn("r", F.ntile(tiles).over(whole.orderBy(*order))).collect()}
+        assert {r["k"]: r["rn"] for r in ranked(df, order, partition_by=parts, tiles=tiles).collect()} == want
+
+
+def test_buckets_spare_the_exchange(spark):
+    rows = bucketed(spark.range(1000).selectExpr("id", "id % 50 AS k"), ["k"], 4)
+    plan = rows.join(rows.groupBy("k").count(), "k")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
