@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .storage import carried, numbered
+from .storage import carried, numbered, parts
 
 BLOCK_ROWS, SLOTS, ALPHA = 16, 1 << 20, 0.5
 BUCKET_ROWS, MAX_BUCKETS = 1000, 100_000
@@ -162,6 +162,7 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, id_col: str = "d
     if len(side) > MOST_BROADCAST:  # the others hold less than a MOST_BROADCAST-th of all rows each
         named = named.unionByName(rows.join(F.broadcast(large), "source", "left_anti").join(spark.createDataFrame(side, schema), "source"))
     rows = named.withColumn("bucket", F.pmod("hash", "buckets"))
+    tasks = parts(df)
     sizes = rows.filter("buckets > 1").groupBy("k", "bucket").count().collect()  # at most 2 * MAX_BUCKETS rows
     before: list[tuple[int, int, int]] = []
     sums = [0] * len(names)
@@ -171,7 +172,7 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, id_col: str = "d
     firsts = spark.createDataFrame(before, "k int, bucket long, before long")
     order = Window.partitionBy("k", "bucket").orderBy("hash", "id")
     index = F.coalesce("before", F.lit(0)) + F.row_number().over(order) - 1
-    placed = rows.join(F.broadcast(firsts), ["k", "bucket"], "left").withColumn("at", index).withColumn("block", F.floor(F.col("at") / block_rows))
+    placed = rows.repartition(tasks, "k", "bucket").join(F.broadcast(firsts), ["k", "bucket"], "left").withColumn("at", index).withColumn("block", F.floor(F.col("at") / block_rows))
 
     ends = sorted((last, n * block_rows - counts[s]) for last, n, s in zip(plan.last, blocks, names))
     end_slots, missing = np.array([e for e, _ in ends] or [0]), np.concatenate([[0], np.cumsum([m for _, m in ends])])
@@ -197,9 +198,8 @@ def in_order(mixed: DataFrame, rows: int, files: int) -> DataFrame:
 
 
 def mixed_in_order(df: DataFrame, **options) -> DataFrame:
-    """``mix`` laid out in about as many partitions as the session's shuffles have."""
-    files = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return in_order(mix(df, **options), df.count(), files)
+    """``mix`` laid out in about as many partitions as read the table."""
+    return in_order(mix(df, **options), df.count(), parts(df))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

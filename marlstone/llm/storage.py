@@ -32,6 +32,11 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def parts(df: DataFrame) -> int:
+    """Partitions for a shuffle of whole rows: as many as tasks read them, and no fewer than the session's shuffles have."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``. Only where it is unset, as in local tests, a temporary folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
