@@ -58,8 +58,8 @@ def in_file_order(docs: DataFrame) -> DataFrame:
     before = [0, *itertools.accumulate(r["count"] for r in sizes)]
     firsts = spark.createDataFrame([(r[file], n) for r, n in zip(sizes, before)], f"{file} string, {before_file} long")
     placed = rows.join(F.broadcast(firsts), file).select(*kept, (F.col(before_file) + F.col(row)).alias("mix_position"))
-    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return mixing.in_order(placed, before[-1], files).select(*kept)
+    tasks = max(len(sizes), int(spark.conf.get("spark.sql.shuffle.partitions")))  # the mix has a file for each task that read its input
+    return mixing.in_order(placed, before[-1], tasks).select(*kept)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
