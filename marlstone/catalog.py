@@ -35,6 +35,7 @@ MODULES = [
     "plans.control",
     "plans.security",
     "plans.retail",
+    "plans.retail_model",
     "plans.operations",
     "streaming.queries",
 ]
