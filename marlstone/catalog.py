@@ -34,6 +34,7 @@ MODULES = [
     "plans.views",
     "plans.control",
     "plans.security",
+    "plans.procedures",
     "plans.retail",
     "plans.retail_model",
     "plans.operations",

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalog import Query
+from ..catalog import Query, same
 
 
 @dataclass
@@ -37,6 +37,10 @@ class Policies:
         seen = df.filter(self.rows.get((role, table), F.lit(False)))
         return seen.select(*(self.masks[role, table, c].alias(c) if (role, table, c) in self.masks else F.col(c) for c in self.columns[role, table]))
 
+    def privileges(self) -> list[tuple[str, str, str, str]]:
+        """What is granted: role, table, column, and whether rows or the column's values are held back."""
+        return sorted((role, table, c, "mask" if (role, table, c) in self.masks else "rows" if (role, table) in self.rows else "none") for (role, table), columns in self.columns.items() for c in columns)
+
     def protects(self, table: str) -> bool:
         """Whether a materialised view over the table would leak past a policy."""
         return any(t == table for _, t in self.rows) or any(t == table for _, t, _ in self.masks)
@@ -89,7 +93,45 @@ def _masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([("Anna@x.org", "123-45-6789")], "mail string, ssn string").select(mask_email(F.col("mail")).alias("mail"), mask_digits(F.col("ssn")).alias("ssn"))
 
 
+def _privileges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grants by role and column, with the rows that each role sees."""
+    customer, p = spark.read.parquet(f"{sf_dir}/customer.parquet"), _policies()
+    return spark.createDataFrame([(*row, p.view(row[0], row[1], customer).count()) for row in p.privileges()], "role string, table_ string, column_ string, held_back string, n long")
+
+
+#: A log of transactions out of the events: a user holds or awaits a lock on a kind of event, errors are those that wait.
+_LOCKS = "SELECT event_id, user_id AS pid, CAST(extract(day FROM ts) AS INT) AS relation_, ts AS txn_start, CASE WHEN event_type IN ('purchase', 'signup') THEN 'Exclusive' ELSE 'AccessShare' END AS lock_mode, event_type <> 'error' AS granted FROM {events}"
+#: And a log of queries: the kind of event is the queue, its value the seconds, the payload's number the wait.
+_RAN = "SELECT event_id, user_id, event_type AS service_class, ts AS start_time, CAST(value AS DECIMAL(18,4)) AS elapsed, event_id % 40 AS queued, event_id % 5 = 0 AS cache_hit FROM {events}"
+
+
+def health_report(tables: dict[str, tuple[DataFrame, str]], most_nulls: float = 0.0) -> DataFrame:
+    """Each table's rows, distinct keys and null keys, and what to do about them; one pass over each."""
+    out = None
+    for name, (df, key) in tables.items():
+        one = df.agg(F.lit(name).alias("table_"), F.count("*").alias("n"), F.countDistinct(key).alias("keys"), F.sum(F.col(key).isNull().cast("long")).alias("nulls"))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("action", F.when(F.col("nulls") > F.col("n") * most_nulls, "CLEAN").when(F.col("keys") < F.col("n"), "DEDUPLICATE").otherwise("NONE"))
+
+
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    holes = read("customer").withColumn("c_custkey", F.expr("IF(c_custkey % 50 = 0, NULL, c_custkey)"))
+    return health_report({"orders": (read("orders"), "o_orderkey"), "lineitem": (read("lineitem"), "l_orderkey"), "holes": (holes, "c_custkey")})
+
+
 QUERIES = [
+    Query("b04_privileges", _privileges, "SELECT role, 'customer' AS table_, column_, held_back, CASE WHEN role = 'clerk' THEN n ELSE 0 END AS n FROM (VALUES ('clerk', 'c_custkey', 'rows'), ('clerk', 'c_name', 'mask'), ('guest', 'c_custkey', 'none')) AS t(role, column_, held_back) CROSS JOIN (SELECT count(*) AS n FROM customer WHERE c_nationkey = 3)"),
+    same("b05_waiting", f"SELECT relation_, count(CASE WHEN granted THEN 1 END) AS holders, count(CASE WHEN NOT granted THEN 1 END) AS waiting, count(CASE WHEN granted AND lock_mode = 'Exclusive' THEN 1 END) AS exclusive_ FROM ({_LOCKS}) l GROUP BY relation_"),
+    same("b05_blockers", f"""SELECT w.event_id AS waits, min(h.event_id) AS first_blocker, count(*) AS blockers FROM ({_LOCKS}) w JOIN ({_LOCKS}) h ON h.relation_ = w.relation_ AND h.granted AND NOT w.granted AND h.lock_mode = 'Exclusive' AND h.pid = w.pid AND h.txn_start < w.txn_start GROUP BY w.event_id"""),
+    same("b05_oldest_transactions", f"SELECT pid, CAST(min(txn_start) AS VARCHAR(19)) AS oldest, count(*) AS locks FROM ({_LOCKS}) l WHERE granted GROUP BY pid ORDER BY min(txn_start), pid LIMIT 5"),
+    same("b06_queues", f"SELECT service_class, count(*) AS queries, round(avg(CAST(queued AS DOUBLE)), 4) AS avg_queue, max(queued) AS max_queue FROM ({_RAN}) q GROUP BY service_class"),
+    same("b06_dearest", f"SELECT event_id, user_id, CAST(elapsed AS DOUBLE) AS elapsed FROM ({_RAN}) q WHERE NOT cache_hit ORDER BY elapsed DESC, event_id LIMIT 20"),
+    same("b06_cost_by_user", f"SELECT user_id, count(*) AS queries, CAST(sum(elapsed) AS DOUBLE) AS seconds FROM ({_RAN}) q WHERE NOT cache_hit GROUP BY user_id"),
+    same("b06_cost_by_day", f"SELECT CAST(CAST(start_time AS DATE) AS VARCHAR(10)) AS day_, CAST(sum(elapsed) AS DOUBLE) AS seconds, count(CASE WHEN cache_hit THEN 1 END) AS cached FROM ({_RAN}) q GROUP BY 1"),
+    same("b06_cost_by_hour", f"SELECT CAST(extract(hour FROM start_time) AS INT) AS hour_, count(*) AS queries, CAST(sum(elapsed) AS DOUBLE) AS seconds FROM ({_RAN}) q GROUP BY 1"),
+    Query("c19_health_report", _report, """SELECT 'orders' AS table_, count(*) AS n, count(DISTINCT o_orderkey) AS keys, CAST(0 AS BIGINT) AS nulls, 'NONE' AS action FROM orders UNION ALL SELECT 'lineitem', count(*), count(DISTINCT l_orderkey), 0, 'DEDUPLICATE' FROM lineitem
+          UNION ALL SELECT 'holes', count(*), count(DISTINCT CASE WHEN c_custkey % 50 <> 0 THEN c_custkey END), count(CASE WHEN c_custkey % 50 = 0 THEN 1 END), 'CLEAN' FROM customer"""),
     Query("y02_column_grant", lambda s, d: Policies().grant("r", "nation", ["n_name"]).attach_rows("r", "nation", F.lit(True)).view("r", "nation", s.read.parquet(f"{d}/nation.parquet")), "SELECT n_name FROM nation"),
     Query("y03_row_policy", _seen, "SELECT c_custkey, '***' || right(c_name, 3) AS c_name FROM customer WHERE c_nationkey = 3"),
     Query("y03_default_deny", _denied, "SELECT true AS refused, CAST(0 AS BIGINT) AS guest_rows, true AS protects, false AS free"),
