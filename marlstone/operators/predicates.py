@@ -40,6 +40,7 @@ _PEOPLE = """(VALUES (1, 'gold', 1200.00, 720, NULL, 'a@x.org'), (2, NULL, 0.00,
  AS t(id, tier, spend, score, second, first_mail)"""
 
 QUERIES = [
+    Query("p22_nested_filter", "SELECT event_type, count(*) AS n FROM {events} WHERE try_variant_get(try_parse_json(props), '$.k', 'int') >= 50 GROUP BY event_type", "SELECT event_type, count(*) AS n FROM events WHERE TRY_CAST(json_extract_string(props, '$.k') AS INT) >= 50 GROUP BY event_type"),
     same("p01_projection_alias", "SELECT c_custkey AS customer_id, c_name AS customer_name, c_mktsegment AS segment FROM {customer}"),
     same("p02_computed_measure", "SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS DECIMAL(12,2)) * CAST(l_extendedprice AS DECIMAL(12,2)) AS DOUBLE) AS measure FROM {lineitem}"),
     Query("p03_casts", "SELECT CAST('12.50' AS DECIMAL(8,2)) + 0 = 12.5 AS dec_ok, try_cast('x1' AS INT) AS bad_int, try_cast('2024-02-30' AS DATE) IS NULL AS bad_date, CAST(3.7 AS INT) AS cut, CAST(true AS INT) AS one",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..catalog import Query, same
+from ..operators.aggregates import LG_K
 from ..operators.windows import latest_per_key
 from ..sources import sinks
 from . import control, dimensions, views
@@ -87,6 +88,17 @@ def copy_then_merge(target: Table, staged: DataFrame, keys: list[str]) -> int:
     return n
 
 
+def build_daily_sketches(table: Table, events: DataFrame, first: str, last: str) -> int:
+    """Sketches of the users, rows and values by day and kind, for some days: theirs are replaced, so a run may be repeated."""
+    day = F.to_date("ts")
+    inside = lambda c: (c >= F.lit(first).cast("date")) & (c <= F.lit(last).cast("date"))
+    made = events.filter(inside(day)).groupBy(day.alias("day"), "event_type").agg(F.hll_sketch_agg("user_id", F.lit(LG_K)).alias("users"), F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("value"))
+    if not table.exists():
+        table.overwrite(made.limit(0))
+    table.replace(inside(F.col("day")), made)
+    return table.read().filter(inside(F.col("day"))).count()
+
+
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -288,6 +300,16 @@ def _active(spark, sf_dir):
     return days.join(events.groupBy(F.to_date("ts").alias("d")).agg(F.countDistinct("user_id").alias("users")), "d", "left").select(F.col("d").cast("string").alias("d"), F.coalesce("users", F.lit(0)).cast("long").alias("users"))
 
 
+def _sketches(spark, sf_dir):
+    """Built for all days, then again for three of them; users of the month come from the sketches alone."""
+    events, table = _t(spark, sf_dir, "events"), Table(spark, scratch(spark, "sketches"))
+    build_daily_sketches(table, events, "2024-01-01", "2024-12-31")
+    again = build_daily_sketches(table, events, "2024-01-10", "2024-01-12")
+    exact = events.groupBy("event_type").agg(F.countDistinct("user_id").alias("users"))
+    found = table.read().groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("value").cast("double").alias("value"), F.hll_sketch_estimate(F.hll_union_agg("users")).alias("guess"))
+    return found.join(exact, "event_type").select("event_type", "n", "value", "users", (F.abs(F.col("guess") / F.col("users") - 1) < 0.1).alias("close"), F.lit(again).cast("long").alias("built_again"))
+
+
 def _raise_pay(spark, sf_dir):
     """An update with its history: the old and new values add up."""
     staff = _t(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").cast("decimal(18,2)").alias("pay"))
@@ -375,6 +397,7 @@ QUERIES = [
     Query("e17_gap_filling", _active, "SELECT CAST(CAST(d AS DATE) AS STRING) AS d, count(DISTINCT user_id) AS users FROM (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS d) LEFT JOIN events ON CAST(ts AS DATE) = CAST(d AS DATE) AND event_type = 'purchase' GROUP BY 1"),
     same("e18_merchant_pivot", "SELECT user_id, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS views, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS buys FROM {events} GROUP BY user_id"),
     Query("e19_update_with_history", _raise_pay, "SELECT count(*) AS n, true AS consistent FROM supplier WHERE s_suppkey % 4 = 0"),
+    Query("e21_daily_sketches", _sketches, "SELECT event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value, count(DISTINCT user_id) AS users, true AS close, (SELECT count(DISTINCT (CAST(ts AS DATE), event_type)) FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-12') AS built_again FROM events GROUP BY 1"),
     Query("e23_events_elt", _elt, "SELECT count(*) AS n, CAST(max(CAST(json_extract_string(props, '$.k') AS INT)) AS INT) AS top FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL"),
     Query("e36_report_refresh", _reports, "SELECT * FROM (VALUES (0, 'base'), (1, 'mid'), (2, 'top')) AS t(k, name)"),
     Query("e37_batch_scoring", _score, "SELECT true AS good, count(DISTINCT o_custkey) AS n FROM orders"),

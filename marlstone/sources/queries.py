@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -137,7 +138,29 @@ def _defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg((F.count("*") - F.countDistinct("id")).alias("repeats"), F.sum((F.col("customer") == 9999).cast("long")).alias("orphans"), F.sum(F.col("name").isNull().cast("long")).alias("nameless"), F.sum((F.col("quantity") < 1).cast("long")).alias("bad"))
 
 
+def _unloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exported by status, no file above a size, the second export in place of the first."""
+    path, orders = scratch(spark, "unloaded"), spark.read.parquet(f"{sf_dir}/orders.parquet")
+    for _ in range(2):
+        sinks.unload(orders, path, partition_by=["o_orderstatus"], max_records=500)
+    files = spark.read.parquet(path).groupBy("o_orderstatus", F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"))
+    return files.groupBy("o_orderstatus").agg(F.sum("n").alias("n"), (F.max("n") <= 500).alias("within"))
+
+
+def _federated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of another database (an embedded one, in this process) read over JDBC: the query runs there, and the read
+    is split by a numeric column."""
+    url = f"jdbc:derby:memory:marlstone_{uuid.uuid4().hex};create=true"
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", "c_acctbal")
+    customer.coalesce(1).write.format("jdbc").options(url=url, dbtable="customer", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").save()
+    top = customer.agg(F.max("c_custkey")).first()[0]
+    remote = readers.federated(spark, url, 'SELECT "c_custkey", "c_nationkey" FROM customer WHERE "c_acctbal" > 0', '"c_custkey"', (0, top), 4)
+    return remote.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.max("c_custkey").alias("top"))
+
+
 QUERIES = [
+    Query("s17_unload_partitioned", _unloaded, "SELECT o_orderstatus, count(*) AS n, true AS within FROM orders GROUP BY 1"),
+    Query("s25_federated", _federated, "SELECT c_nationkey, count(*) AS n, max(c_custkey) AS top FROM customer WHERE c_acctbal > 0 GROUP BY 1"),
     Query("s01_csv_permissive", _permissive, "SELECT CAST(5 AS BIGINT) AS n, CAST(2 AS BIGINT) AS bad, 'cy' AS last_name"),
     Query("s02_external_text", _external, "SELECT * FROM (VALUES (1, 'a'), (2, 'b')) AS t(k, v)"),
     Query("s03_partitioned_table", _partitioned, "SELECT count(*) AS n, max(o_orderkey) AS top FROM orders WHERE o_orderstatus = 'F'"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import Query, same
 from ..plans.tables import Table, scratch
+from ..plans.views import IncrementalAggregate
 from . import streams
 
 
@@ -107,7 +108,60 @@ def _stream_join(spark, sf_dir):
     return table.read()
 
 
+def _arriving(spark: SparkSession, runs: list[DataFrame]) -> DataFrame:
+    """A stream of runs of files that arrive one after the other."""
+    path, files = scratch(spark, "arriving"), max(1, runs[0].rdd.getNumPartitions())
+    for run in runs:
+        run.repartition(files, "event_id").write.mode("append").parquet(path)
+    return streams.event_stream(spark, path, runs[0].schema, files)
+
+
+def _late(spark, sf_dir):
+    """Windows of a day with ten days of grace. Of the rows that arrive last, those of a day within the grace still count
+    and those of days long closed are dropped. (A batch judges lateness by the watermark that the one before began with.)"""
+    events, (table, at) = spark.read.parquet(f"{sf_dir}/events.parquet"), _table(spark, "late")
+    day = F.dayofmonth("ts")
+    late = (day < 15) | (day == 25)
+    stream = _arriving(spark, [events.filter(~late & (day < 30)), events.filter(day >= 30), events.filter(late)])
+    streams.run_once(streams.daily(stream, "10 days").select(F.col("w.start").cast("string").alias("start_"), "n"), at, streams.upserting(table, ["start_"]), "update")
+    return table.read()
+
+
+def _cadence(spark, sf_dir):
+    table, at = _table(spark, "cadence")
+    batches = streams.every(_stream(spark, sf_dir).select("event_id", "event_type"), at, lambda b, e: table.insert(b) and None, 0.2)
+    return table.read().agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"), F.lit(batches == 3).alias("each_run_its_batch"))
+
+
+def _positions(spark, sf_dir):
+    table, at = _table(spark, "positions")
+    stream = streams.positioned(_stream(spark, sf_dir)).select("event_id", "partition", "offset")
+    streams.run_once(stream, at, lambda b, e: table.insert(b) and None)
+    ends = table.read().groupBy("partition").agg((F.max("offset") + 1).alias("end"), F.count("*").alias("rows"))
+    return ends.agg(F.sum("rows").alias("n"), F.every(F.col("end") == F.col("rows")).alias("gapless"))
+
+
+def _view(spark, sf_dir):
+    """Totals by kind, kept by the stream; the last batch is given twice, as after a crash."""
+    (table, at), (noted, _) = _table(spark, "view"), _table(spark, "noted")
+    view = IncrementalAggregate(table, ["event_type"], "v")
+    write, seen = streams.maintained(view, noted), []
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        write(batch, epoch)
+        seen.append(epoch)
+        write(batch, epoch)
+
+    stream = _stream(spark, sf_dir).withColumn("v", F.col("value").cast("decimal(18,2)"))
+    streams.run_once(stream.select("event_type", "v"), at, each)
+    return view.read().select("event_type", F.col("total").cast("double").alias("total"), "n", F.lit(len(seen)).alias("batches"))
+
+
 QUERIES = [
+    Query("t03_partition_and_offset", _positions, "SELECT count(*) AS n, true AS gapless FROM events"),
+    Query("t08_late_rows", _late, "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start_, count(*) AS n FROM events WHERE extract(day FROM ts) >= 15 GROUP BY 1"),
+    Query("t11_cadence", _cadence, "SELECT count(*) AS n, count(DISTINCT event_id) AS ids, true AS each_run_its_batch FROM events"),
+    Query("v15_streaming_view", _view, "SELECT event_type, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total, count(*) AS n, 3 AS batches FROM events GROUP BY 1"),
     Query("t02_streaming_ingest", _ingest, "SELECT count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events"),
     Query("t04_position", _position, "SELECT count(*) AS n FROM events"),
     same("t05_funnel", "SELECT sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS views, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS buys FROM {events} WHERE ts >= TIMESTAMP '2024-01-15 00:00:00' AND ts < TIMESTAMP '2024-01-16 00:00:00'"),

@@ -28,6 +28,11 @@ def tumbling(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> D
     return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("v"))
 
 
+def daily(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Counts by day; rows of a day that closed before the watermark are dropped."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"))
+
+
 def sliding(events: DataFrame, width: str = "2 days", step: str = "1 day", late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.window("ts", width, step).alias("w")).agg(F.count("*").alias("n"))
 
@@ -50,6 +55,39 @@ def upserting(table: Table, keys: list[str]) -> Callable[[DataFrame, int], None]
     return write
 
 
+def every(stream: DataFrame, checkpoint: str, each_batch: Callable[[DataFrame, int], None], seconds: float = 1, mode: str = "append") -> int:
+    """Refreshes at a cadence until all that is there has been read; returns how many batches had rows."""
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").foreachBatch(each_batch).start()
+    try:
+        query.processAllAvailable()
+        return sum(p["numInputRows"] > 0 for p in query.recentProgress)
+    finally:
+        query.stop()
+
+
+def positioned(stream: DataFrame) -> DataFrame:
+    """A file stream with the place of each row, as a broker's partition and offset: its file, and its number there."""
+    return stream.withColumn("partition", F.col("_metadata.file_name")).withColumn("offset", F.col("_metadata.row_index"))
+
+
+def maintained(view, applied: Table) -> Callable[[DataFrame, int], None]:
+    """Keeps an incremental aggregate up to date from a stream. A batch that is seen twice is applied once: its number is
+    written down beside the view, and one that crashed in between is told by the version that the view then has."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        done = applied.read().agg(F.max("epoch"), F.max_by("version", "epoch")).first() if applied.exists() else (None, None)
+        if done[0] is not None and epoch < done[0]:
+            return
+        now = view.table.version() if view.table.exists() else ""
+        if done[0] == epoch and done[1] != now:
+            return  # the view has moved on since this batch was noted: it is in
+        if done[0] != epoch:
+            applied.overwrite(batch.sparkSession.createDataFrame([(epoch, now)], "epoch long, version string"))
+        view.refresh(batch) if view.table.exists() else view.create(batch)
+
+    return write
+
+
 def totals_by_user(events: DataFrame) -> DataFrame:
     """A running count for each user, in state of our own."""
     import pandas as pd
