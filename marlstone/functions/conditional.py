@@ -6,9 +6,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalog import Query, same
+from ..catalog import Query, bare, same
 
-_T = "(VALUES (1, 'gold', 120, NULL, 'p@x'), (2, 'silver', NULL, 's@x', NULL), (3, NULL, 0, NULL, NULL)) AS t(id, tier, spend, second, first_)"
+_T = "(SELECT c_custkey AS id, CASE WHEN c_acctbal > 7000 THEN 'gold' WHEN c_acctbal > 3000 THEN 'silver' WHEN c_acctbal > 0 THEN 'basic' END AS tier, CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 300 * (c_custkey % 2) END AS spend, CASE WHEN c_custkey % 3 = 0 THEN 's' || c_name END AS second, CASE WHEN c_custkey % 2 = 0 THEN 'f' || c_name END AS first_ FROM {customer}) AS t"
+_D = bare(_T)
 
 
 def discount(tier: F.Column, spend: F.Column, override: F.Column) -> F.Column:
@@ -25,10 +26,10 @@ def _discount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = [
     same("f60_coalesce", f"SELECT id, coalesce(second, first_, 'none') AS mail FROM {_T}"),
-    Query("f61_nvl", f"SELECT id, nvl(tier, 'basic') AS t FROM {_T}", f"SELECT id, ifnull(tier, 'basic') AS t FROM {_T}"),
-    Query("f62_nvl2", f"SELECT id, nvl2(second, 'has', 'none') AS s FROM {_T}", f"SELECT id, CASE WHEN second IS NOT NULL THEN 'has' ELSE 'none' END AS s FROM {_T}"),
+    Query("f61_nvl", f"SELECT id, nvl(tier, 'basic') AS t FROM {_T}", f"SELECT id, ifnull(tier, 'basic') AS t FROM {_D}"),
+    Query("f62_nvl2", f"SELECT id, nvl2(second, 'has', 'none') AS s FROM {_T}", f"SELECT id, CASE WHEN second IS NOT NULL THEN 'has' ELSE 'none' END AS s FROM {_D}"),
     same("f63_nullif", f"SELECT id, nullif(spend, 0) AS s FROM {_T}"),
-    Query("f64_decode", f"SELECT id, decode(tier, 'gold', 1, 'silver', 2, NULL, 0, 9) AS d FROM {_T}", f"SELECT id, CASE WHEN tier = 'gold' THEN 1 WHEN tier = 'silver' THEN 2 WHEN tier IS NULL THEN 0 ELSE 9 END AS d FROM {_T}"),
+    Query("f64_decode", f"SELECT id, decode(tier, 'gold', 1, 'silver', 2, NULL, 0, 9) AS d FROM {_T}", f"SELECT id, CASE WHEN tier = 'gold' THEN 1 WHEN tier = 'silver' THEN 2 WHEN tier IS NULL THEN 0 ELSE 9 END AS d FROM {_D}"),
     same("f65_greatest_least", f"SELECT id, greatest(spend, 50, id) AS g, least(spend, 50) AS l, greatest(0, least(100, coalesce(spend, 500))) AS clamped FROM {_T}"),
     Query("f66_waterfall", _discount, "SELECT c_custkey, CAST(coalesce(CASE WHEN c_custkey % 50 = 0 THEN 0.5 END, CASE WHEN c_acctbal > 9000 THEN 0.2 WHEN c_acctbal > 7000 THEN 0.1 END, CASE WHEN c_acctbal > 1000 THEN 0.05 END, 0) AS DOUBLE) AS d FROM customer"),
     same("f67_math", "SELECT o_orderkey, round(o_totalprice / 1000, 0) AS r, abs(-o_custkey) AS a, mod(o_orderkey, 7) AS m, o_orderkey % 5 AS k, power(2, o_orderkey % 10) AS p FROM {orders}"),

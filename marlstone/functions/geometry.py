@@ -133,18 +133,44 @@ _there = lambda: point(-73.9442, 40.6782)
 
 _HAVERSINE = "2 * 6371008.8 * asin(sqrt(pow(sin(radians(y2 - y1) / 2), 2) + cos(radians(y1)) * cos(radians(y2)) * pow(sin(radians(x2 - x1) / 2), 2)))"
 
+#: A place for every customer and supplier, on whole and half degrees.
+_PLACE = "CAST({key} % 360 - 180 AS DOUBLE) AS x, CAST({key} % 179 - 89 AS DOUBLE) / 2 AS y"
+
+
+def _places(spark: SparkSession, sf_dir: str, table: str = "customer", key: str = "c_custkey") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(f"{key} AS id", *_PLACE.format(key=key).split(", "))
+
+
+_CUSTOMERS = f"(SELECT c_custkey AS id, {_PLACE.format(key='c_custkey')} FROM customer)"
+_at = lambda: F.struct("x", "y")
+
+
+def _near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers within three degrees of each nation's place, by a range join on bands of one coordinate."""
+    nations = _places(spark, sf_dir, "nation", "n_nationkey").selectExpr("id AS nation_", "x AS x0", "y AS y0", "explode(sequence(CAST(floor((x - 3) / 3) AS INT), CAST(floor((x + 3) / 3) AS INT))) AS band")
+    suppliers = _places(spark, sf_dir, "supplier", "s_suppkey").withColumn("band", F.floor(F.col("x") / 3).cast("int"))
+    return suppliers.join(nations, "band").filter(distance(_at(), F.struct(F.col("x0").alias("x"), F.col("y0").alias("y"))) <= 3).select("id", "nation_")
+
+
+def _nearest_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each nation's nearest supplier: the smallest (distance, id) of a group, no sorting of pairs."""
+    nations = _places(spark, sf_dir, "nation", "n_nationkey").selectExpr("id AS nation_", "x AS x0", "y AS y0")
+    pairs = _places(spark, sf_dir, "supplier", "s_suppkey").crossJoin(F.broadcast(nations))  # 25 nations
+    return pairs.groupBy("nation_").agg(F.min(F.struct(distance(_at(), F.struct(F.col("x0").alias("x"), F.col("y0").alias("y"))).alias("d"), "id")).alias("m")).select("nation_", "m.id")
+
+
 QUERIES = [
     Query("g01_points", lambda s, d: _one(s, t=as_text(point(1, 2.5)), x=point(1, 2.5)["x"], y=_wkt("POINT(3 4)")[0]["y"]), "SELECT 'POINT(1 2.5)' AS t, CAST(1 AS DOUBLE) AS x, CAST(4 AS DOUBLE) AS y"),
     Query("g02_geojson", lambda s, d: _one(s, j=as_geojson(point(1, 2.5))), "SELECT '{\"type\":\"Point\",\"coordinates\":[1.0,2.5]}' AS j"),
     Query("g03_from_wkt", lambda s, d: _one(s, n=F.size(_wkt(_BOX)), last_x=_wkt("LINESTRING(0 0, 3 4)")[1]["x"]), "SELECT 5 AS n, CAST(3 AS DOUBLE) AS last_x"),
-    Query("g04_distance", lambda s, d: _one(s, d=distance(point(0, 0), point(3, 4))), "SELECT CAST(5 AS DOUBLE) AS d"),
-    Query("g05_distance_sphere", lambda s, d: _one(s, metres=F.round(distance_sphere(_here(), _there()), 3)), f"SELECT round({_HAVERSINE}, 3) AS metres FROM (VALUES (CAST(-73.9857 AS DOUBLE), CAST(40.7484 AS DOUBLE), CAST(-73.9442 AS DOUBLE), CAST(40.6782 AS DOUBLE))) AS t(x1, y1, x2, y2)"),
-    Query("g06_contains", lambda s, d: s.createDataFrame([(1, 5.0, 5.0), (2, 11.0, 5.0), (3, 10.0, 5.0)], "id int, x double, y double").select("id", contains(_wkt(_BOX), F.struct("x", "y")).alias("inside")), "SELECT * FROM (VALUES (1, true), (2, false), (3, false)) AS t(id, inside)"),
+    Query("g04_distance", lambda s, d: _places(s, d).select("id", F.round(distance(_at(), point(3, 4)), 6).alias("d")), f"SELECT id, round(sqrt((x - 3) * (x - 3) + (y - 4) * (y - 4)), 6) AS d FROM {_CUSTOMERS}"),
+    Query("g05_distance_sphere", lambda s, d: _places(s, d).select("id", F.round(distance_sphere(_at(), _there()), 3).alias("metres")), f"SELECT id, round({_HAVERSINE}, 3) AS metres FROM (SELECT id, x AS x1, y AS y1, CAST(-73.9442 AS DOUBLE) AS x2, CAST(40.6782 AS DOUBLE) AS y2 FROM {_CUSTOMERS})"),
+    Query("g06_contains", lambda s, d: _places(s, d).select("id", contains(_wkt(_BOX), _at()).alias("inside")), f"SELECT id, x > 0 AND x < 10 AND y > 0 AND y < 10 AS inside FROM {_CUSTOMERS}"),
     Query("g07_buffer_envelope", lambda s, d: _one(s, close=F.abs(area(buffer(point(0, 0), 1.0)) - 3.14159) < 0.02, x1=envelope(_wkt("LINESTRING(1 2, 7 3, 4 9)"))["x1"], y1=envelope(_wkt("LINESTRING(1 2, 7 3, 4 9)"))["y1"]), "SELECT true AS close, CAST(7 AS DOUBLE) AS x1, CAST(9 AS DOUBLE) AS y1"),
     Query("g08_measures", lambda s, d: _one(s, area_=area(_wkt(_BOX)), length_=length(_wkt("LINESTRING(0 0, 3 4)")), centre=as_text(centroid(_wkt(_BOX)))), "SELECT CAST(100 AS DOUBLE) AS area_, CAST(5 AS DOUBLE) AS length_, 'POINT(5 5)' AS centre"),
     Query("g09_intersections", lambda s, d: _one(s, meet=intersects(_wkt("LINESTRING(0 0, 4 4)"), _wkt("LINESTRING(0 4, 4 0)")), apart=intersects(_wkt("LINESTRING(0 0, 1 1)"), _wkt("LINESTRING(3 0, 4 0)")), x0=box_intersection(envelope(_wkt(_BOX)), envelope(_wkt(_BOX2)))["x0"]), "SELECT true AS meet, false AS apart, CAST(5 AS DOUBLE) AS x0"),
     Query("g10_srid", lambda s, d: _one(s, srid=F.struct(point(1, 2).alias("p"), F.lit(4326).alias("srid"))["srid"]), "SELECT 4326 AS srid"),
     Query("g11_is_valid", lambda s, d: _one(s, box=is_valid(_wkt(_BOX)), bow=is_valid(_wkt(_BOW))), "SELECT true AS box, false AS bow"),
-    Query("g12_within_distance", lambda s, d: _one(s, degrees=distance(_here(), _there()) <= 1000, metres=distance_sphere(_here(), _there()) <= 1000), "SELECT true AS degrees, false AS metres"),
-    Query("g13_nearest", lambda s, d: s.createDataFrame([(1, 0.0, 0.0), (2, 3.0, 3.0), (3, 9.0, 1.0)], "id int, x double, y double").orderBy(distance(F.struct("x", "y"), point(2, 2)), "id").limit(1).select("id"), "SELECT 2 AS id"),
+    Query("g12_within_distance", _near_pairs, "SELECT s.id, n.id AS nation_ FROM (SELECT s_suppkey AS id, " + _PLACE.format(key="s_suppkey") + " FROM supplier) s JOIN (SELECT n_nationkey AS id, " + _PLACE.format(key="n_nationkey") + " FROM nation) n ON sqrt((s.x - n.x) * (s.x - n.x) + (s.y - n.y) * (s.y - n.y)) <= 3"),
+    Query("g13_nearest", _nearest_supplier, "SELECT nation_, id FROM (SELECT n.id AS nation_, s.id, row_number() OVER (PARTITION BY n.id ORDER BY sqrt((s.x - n.x) * (s.x - n.x) + (s.y - n.y) * (s.y - n.y)), s.id) AS r FROM (SELECT s_suppkey AS id, " + _PLACE.format(key="s_suppkey") + " FROM supplier) s CROSS JOIN (SELECT n_nationkey AS id, " + _PLACE.format(key="n_nationkey") + " FROM nation) n) WHERE r = 1"),
 ]

@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from ..catalog import Query
 
-_J = """VALUES (1, '{"user": {"id": 7, "tier": "gold"}, "tags": ["a", "b"], "items": [{"sku": "x", "qty": 2, "price": 19.99}, {"sku": "y", "qty": 1, "price": 5.5}], "ip": "10.0.0.1"}'),
- (2, '{"user": {"id": 8, "tier": "basic"}, "tags": ["c"], "items": [{"sku": "x", "qty": 3, "price": 19.99}], "ip": null}'), (3, '{"user": {"id": 9}, "tags": [], "items": []}')"""
-_S = f"(SELECT id, js, parse_json(js) AS v FROM {_J} AS t(id, js))"
-_D = f"(SELECT id, CAST(js AS JSON) AS js FROM ({_J}) AS t(id, js))"
+_OWN = """SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN concat('{"user": {"id": ', user_id, ', "tier": "gold"}, "tags": ["', event_type, '", "b"], "items": [{"sku": "', event_type, '", "qty": ', event_id % 7, ', "price": 19.99}, {"sku": "y", "qty": 1, "price": 5.5}], "ip": "10.0.0.1"}')
+ WHEN 1 THEN concat('{"user": {"id": ', user_id, ', "tier": "basic"}, "tags": ["', event_type, '"], "items": [{"sku": "x", "qty": ', event_id % 5, ', "price": 1.25}], "ip": null}')
+ WHEN 2 THEN concat('{"user": {"id": ', user_id, '}, "tags": [], "items": []}') ELSE concat('{"user": {"id": ', user_id, ', "tier": "', event_type, '"}, "tags": ["', event_id % 9, '"], "items": [{"sku": "z", "qty": 2, "price": ', user_id, '.5}]}') END AS js"""
+#: A document for every event, in four shapes: nested objects, lists, nulls and absent keys.
+_S, _D = "{docs}", f"(SELECT id, CAST(js AS JSON) AS js FROM ({_OWN} FROM events))"
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.selectExpr(*(part.strip() for part in (_OWN.removeprefix("SELECT ").split(", CASE", 1)[0], "CASE" + _OWN.split(", CASE", 1)[1]))).withColumn("v", F.parse_json("js"))
 
 
 def _q(name: str, spark: str, duck: str) -> Query:
-    return Query(name, spark, duck)
+    run = (lambda session, sf_dir: session.sql(spark, docs=_documents(session, sf_dir))) if "{docs}" in spark else spark
+    return Query(name, run, duck)
 
 
 QUERIES = [
@@ -37,7 +47,7 @@ QUERIES = [
     _q("x20_key_presence", f"SELECT id, variant_get(v, '$.ip', 'variant') IS NOT NULL AS has_key FROM {_S}", f"SELECT id, json_exists(js, '$.ip') AS has_key FROM {_D}"),
     _q("x21_shred_by_position", f"SELECT id, get_json_object(js, '$.items[0].sku') AS sku FROM {_S} WHERE get_json_object(js, '$.items[0]') IS NOT NULL UNION ALL SELECT id, get_json_object(js, '$.items[1].sku') FROM {_S} WHERE get_json_object(js, '$.items[1]') IS NOT NULL", f"SELECT id, x->>'$.sku' AS sku FROM (SELECT id, unnest(CAST(js->'$.items' AS JSON[])) AS x FROM {_D})"),
     _q("x22_array_functions", "SELECT array_contains(concat(array(1), array(2, 3)), 3) AS has_, size(concat(array(1), array(2, 3))) AS n", "SELECT list_contains(list_concat([1], [2, 3]), 3) AS has_, CAST(len(list_concat([1], [2, 3])) AS INT) AS n"),
-    _q("x23_can_parse", "SELECT s, try_parse_json(s) IS NOT NULL AS ok, is_valid_utf8(s) AS utf8 FROM VALUES ('{\"a\": 1}'), ('{bad'), ('[1, 2]') AS t(s)", "SELECT s, json_valid(s) AS ok, true AS utf8 FROM (VALUES ('{\"a\": 1}'), ('{bad'), ('[1, 2]')) AS t(s)"),
-    _q("x24_empty_array_outer", "SELECT id, tag FROM VALUES (1, array('a')), (2, array()) AS t(id, tags) LATERAL VIEW OUTER explode(tags) x AS tag", "SELECT * FROM (VALUES (1, 'a'), (2, NULL)) AS t(id, tag)"),
+    _q("x23_can_parse", f"SELECT id, try_parse_json(CASE WHEN id % 3 = 0 THEN left(js, length(js) - 1) ELSE js END) IS NOT NULL AS ok, is_valid_utf8(js) AS utf8 FROM {_S}", f"SELECT id, id % 3 <> 0 AS ok, true AS utf8 FROM {_D}"),
+    _q("x24_empty_array_outer", f"SELECT id, CAST(tag AS STRING) AS tag FROM {_S} LATERAL VIEW OUTER explode(CAST(variant_get(v, '$.tags', 'variant') AS ARRAY<VARIANT>)) x AS tag", f"SELECT id, x->>'$' AS tag FROM (SELECT id, unnest(CASE WHEN json_array_length(js, '$.tags') = 0 THEN [NULL] ELSE CAST(js->'$.tags' AS JSON[]) END) AS x FROM {_D})"),
     _q("x25_events_props", "SELECT event_type, sum(try_variant_get(try_parse_json(props), '$.k', 'bigint')) AS k FROM {events} GROUP BY event_type", "SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY event_type"),
 ]

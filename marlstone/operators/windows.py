@@ -116,9 +116,10 @@ def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("user_id").agg(F.max("session").alias("last_session"), F.count("*").alias("n"))
 
 
-_STORES = """(VALUES ('N', 'a', 5000.00), ('N', 'b', 5000.00), ('N', 'c', 4000.00), ('N', 'd', 3000.00), ('S', 'e', 5000.00), ('S', 'f', 4000.00), ('S', 'g', 3000.00), ('W', 'h', 1000.00)) AS t(region_, store, revenue)"""
-_DAYS = """(VALUES ('x', 1, 100.00), ('x', 2, 120.00), ('x', 3, 90.00), ('x', 5, 160.00), ('x', 6, 170.00), ('y', 1, 80.00), ('y', 2, 80.00), ('y', 4, 95.00)) AS t(store, day_, revenue)"""
-_MONTHS = "(VALUES ('2024-01', 100), ('2024-02', 150), ('2024-03', 120), ('2024-04', 0), ('2024-05', 90)) AS t(month_, revenue)"
+#: Stores by region with a rounded revenue, so that many tie; days of each kind of event; months of orders.
+_STORES = """(SELECT r_name AS region_, n_name AS store, CAST(floor(count(*) / 10) * 1000 AS DECIMAL(12,2)) AS revenue FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey GROUP BY r_name, n_name) AS t"""
+_DAYS = """(SELECT event_type AS store, CAST(extract(day FROM ts) AS INT) AS day_, CAST(sum(CAST(value AS DECIMAL(12,2))) AS DECIMAL(14,2)) AS revenue FROM {events} GROUP BY 1, 2) AS t"""
+_MONTHS = "(SELECT CAST(extract(year FROM o_orderdate) * 100 + extract(month FROM o_orderdate) AS BIGINT) AS month_, count(CASE WHEN o_orderkey % 40 = 0 THEN 1 END) AS revenue FROM {orders} GROUP BY 1) AS t"
 
 
 QUERIES = [
@@ -142,7 +143,7 @@ QUERIES = [
     same("w18_combined", f"SELECT store, day_, rank() OVER (PARTITION BY store ORDER BY revenue DESC) AS r, CAST(lag(revenue) OVER (PARTITION BY store ORDER BY day_) AS DOUBLE) AS before_, CAST(sum(revenue) OVER (PARTITION BY store ORDER BY day_) AS DOUBLE) AS running FROM {_DAYS}"),
     same("w19_top_n_with_ties", f"WITH r AS (SELECT region_, store, dense_rank() OVER (PARTITION BY region_ ORDER BY revenue DESC) AS dr FROM {_STORES}) SELECT region_, store, dr FROM r WHERE dr <= 2"),
     Query("w20_growth_percent", f"SELECT month_, (revenue - lag(revenue) OVER w) * 100 DIV nullif(lag(revenue) OVER w, 0) AS whole, round((revenue - lag(revenue) OVER w) * 100.0D / nullif(lag(revenue) OVER w, 0), 4) AS exact FROM {_MONTHS} WINDOW w AS (ORDER BY month_)",
-          f"SELECT month_, CAST(trunc((revenue - lag(revenue) OVER w) * 100 / nullif(lag(revenue) OVER w, 0)) AS BIGINT) AS whole, round(CAST((revenue - lag(revenue) OVER w) * 100 AS DOUBLE) / nullif(lag(revenue) OVER w, 0), 4) AS exact FROM {_MONTHS} WINDOW w AS (ORDER BY month_)"),
+          bare(f"SELECT month_, CAST(trunc((revenue - lag(revenue) OVER w) * 100 / nullif(lag(revenue) OVER w, 0)) AS BIGINT) AS whole, round(CAST((revenue - lag(revenue) OVER w) * 100 AS DOUBLE) / nullif(lag(revenue) OVER w, 0), 4) AS exact FROM {_MONTHS} WINDOW w AS (ORDER BY month_)")),
     same("w21_trailing_seven", "SELECT d, n, round(avg(n) OVER (ORDER BY d ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 4) AS trailing FROM (SELECT CAST(CAST(ts AS DATE) AS STRING) AS d, count(*) AS n FROM {events} GROUP BY 1) t"),
     same("w22_centred", "SELECT d, n, round(avg(n) OVER (ORDER BY d ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 4) AS centred FROM (SELECT CAST(CAST(ts AS DATE) AS STRING) AS d, count(*) AS n FROM {events} GROUP BY 1) t"),
     same("w23_rows_and_range", f"SELECT region_, store, CAST(sum(revenue) OVER (ORDER BY revenue RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS by_range, CAST(sum(revenue) OVER (ORDER BY revenue, store ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS by_rows FROM {_STORES}"),
@@ -171,5 +172,5 @@ QUERIES = [
           "SELECT id, item, rn FROM (SELECT id, item, row_number() OVER (PARTITION BY id ORDER BY item DESC) AS rn FROM (SELECT id, unnest(items) AS item FROM (VALUES (1, [3, 9, 4]), (2, [1])) AS t(id, items))) WHERE rn <= 2"),
     Query("w39_sessions", _sessions, """SELECT user_id, max(s) AS last_session, count(*) AS n FROM (SELECT user_id, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 21600000000 THEN 1 ELSE 0 END AS b FROM events)) GROUP BY user_id"""),
     Query("w40_statistics_over", f"SELECT store, day_, CAST(median(revenue) OVER (PARTITION BY store) AS DOUBLE) AS med, round(CAST(revenue AS DOUBLE) / CAST(sum(revenue) OVER (PARTITION BY store) AS DOUBLE), 6) AS ratio FROM {_DAYS}",
-          f"SELECT store, day_, CAST(median(CAST(revenue AS DOUBLE)) OVER (PARTITION BY store) AS DOUBLE) AS med, round(CAST(revenue AS DOUBLE) / CAST(sum(revenue) OVER (PARTITION BY store) AS DOUBLE), 6) AS ratio FROM {_DAYS}"),
+          bare(f"SELECT store, day_, CAST(median(CAST(revenue AS DOUBLE)) OVER (PARTITION BY store) AS DOUBLE) AS med, round(CAST(revenue AS DOUBLE) / CAST(sum(revenue) OVER (PARTITION BY store) AS DOUBLE), 6) AS ratio FROM {_DAYS}")),
 ]
