@@ -63,7 +63,8 @@ def _bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("r1", "a", 1, 5), ("r2", "a", 4, 8), ("r3", "a", 8, 9), ("r4", "b", 1, 9), ("r5", "b", 2, 3), ("r6", "b", 9, 12)], "id string, room string, s int, e int")
+    """Suppliers of a nation whose spans of account meet another's."""
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey AS id", "s_nationkey AS room", "CAST(floor(s_acctbal) AS INT) AS s", "CAST(floor(s_acctbal) AS INT) + 50 + CAST(s_suppkey % 300 AS INT) AS e")
     return overlaps(rows, "room", "s", "e").select("id")
 
 
@@ -96,8 +97,11 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/supplier.parquet").groupBy("s_nationkey").count().agg(F.coalesce(F.sum(F.expr("count * (count - 1) div 2")), F.lit(0)).alias("n"))
 
 
-_TEMPORAL = """(VALUES (1, 'A', DATE '2024-01-01', DATE '2024-06-30'), (1, 'B', DATE '2024-07-01', DATE '9999-12-31'), (2, 'C', DATE '2024-03-01', DATE '9999-12-31')) AS d(k, v, valid_from, valid_to)"""
-_FACTS = """(VALUES (10, 1, DATE '2024-02-10'), (11, 1, DATE '2024-08-01'), (12, 2, DATE '2024-01-05'), (13, 3, DATE '2024-05-05')) AS f(id, k, day_)"""
+#: Segments of customers that changed at a date of their own, some of them known from a later date on only; and orders.
+_TEMPORAL = """(SELECT c_custkey AS k, c_mktsegment AS v, DATE '1990-01-01' AS valid_from, CAST('1996-01-31' AS DATE) AS valid_to FROM {customer} WHERE c_custkey % 3 = 0
+ UNION ALL SELECT c_custkey, 'moved', CASE WHEN c_custkey % 3 = 0 THEN DATE '1996-02-01' ELSE DATE '1998-05-01' END, DATE '9999-12-31' FROM {customer} WHERE c_custkey % 5 > 0) AS d"""
+_FACTS = "(SELECT o_orderkey AS id, o_custkey AS k, CAST(o_orderdate AS DATE) AS day_ FROM {orders}) AS f"
+
 
 QUERIES = [
     same("j01_inner_join", "SELECT o_orderstatus, count(*) AS n FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey GROUP BY o_orderstatus"),
@@ -119,10 +123,10 @@ QUERIES = [
     same("j15_or_join", "SELECT count(*) AS n FROM {nation} a JOIN {nation} b ON a.n_nationkey = b.n_regionkey OR a.n_regionkey = b.n_nationkey"),
     same("j16_or_as_union", """SELECT count(*) AS n FROM (SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM {nation} a JOIN {nation} b ON a.n_nationkey = b.n_regionkey
           UNION SELECT a.n_nationkey, b.n_nationkey FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_nationkey) t"""),
-    Query("j17_interval_overlap", _intervals, """WITH t(id, room, s, e) AS (VALUES ('r1', 'a', 1, 5), ('r2', 'a', 4, 8), ('r3', 'a', 8, 9), ('r4', 'b', 1, 9), ('r5', 'b', 2, 3), ('r6', 'b', 9, 12))
+    Query("j17_interval_overlap", _intervals, """WITH t AS (SELECT s_suppkey AS id, s_nationkey AS room, floor(s_acctbal) AS s, floor(s_acctbal) + 50 + s_suppkey % 300 AS e FROM supplier)
           SELECT DISTINCT x.id FROM t x JOIN t y ON x.room = y.room AND x.id <> y.id AND x.s < y.e AND x.e > y.s"""),
     same("j18_point_in_time", f"SELECT id, coalesce(v, 'unknown') AS v FROM {_FACTS} LEFT JOIN {_TEMPORAL} ON f.k = d.k AND f.day_ BETWEEN d.valid_from AND d.valid_to"),
-    same("j19_point_lookup", f"SELECT k, v FROM {_TEMPORAL} WHERE DATE '2024-05-01' BETWEEN valid_from AND valid_to"),
+    same("j19_point_lookup", f"SELECT k, v FROM {_TEMPORAL} WHERE DATE '1997-05-01' BETWEEN valid_from AND valid_to"),
     same("j20_date_band", "SELECT o_orderkey, count(*) AS n FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey AND l_shipdate >= o_orderdate AND l_shipdate < o_orderdate + INTERVAL '30' DAY GROUP BY o_orderkey"),
     same("j21_left_join_predicate", "SELECT n_name, count(c_custkey) AS rich FROM {nation} LEFT JOIN {customer} ON c_nationkey = n_nationkey AND c_acctbal > 5000 GROUP BY n_name"),
     same("j22a_fan_out", "SELECT CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS inflated FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey"),
@@ -138,10 +142,10 @@ QUERIES = [
           """WITH spine AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS d), u AS (SELECT DISTINCT user_id FROM events),
           seen AS (SELECT user_id, CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY 1, 2)
           SELECT u.user_id, CAST(spine.d AS STRING) AS d, coalesce(n, 0) AS n FROM spine CROSS JOIN u LEFT JOIN seen ON seen.user_id = u.user_id AND seen.d = spine.d"""),
-    Query("j28_lateral_unnest", "SELECT id, item FROM VALUES (1, array('a', 'b')), (2, array('c')), (3, array()) AS t(id, items) LATERAL VIEW explode(items) x AS item",
-          "SELECT id, unnest(items) AS item FROM (VALUES (1, ['a', 'b']), (2, ['c']), (3, [])) AS t(id, items)"),
-    Query("j29_two_unnests", "SELECT DISTINCT id FROM VALUES (1, array(1, 2), array(2, 3)), (2, array(5), array(6)) AS t(id, a, b) LATERAL VIEW explode(a) x AS p LATERAL VIEW explode(b) y AS q WHERE p = q",
-          "SELECT DISTINCT id FROM (SELECT id, p, unnest(b) AS q FROM (SELECT id, b, unnest(a) AS p FROM (VALUES (1, [1, 2], [2, 3]), (2, [5], [6])) AS t(id, a, b))) WHERE p = q"),
+    Query("j28_lateral_unnest", "SELECT o_custkey, item FROM (SELECT o_custkey, array_distinct(collect_list(CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END)) AS items FROM {orders} GROUP BY o_custkey) LATERAL VIEW explode(items) x AS item",
+          "SELECT o_custkey, unnest(items) AS item FROM (SELECT o_custkey, list_distinct(list(CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END)) AS items FROM orders GROUP BY o_custkey)"),
+    Query("j29_two_unnests", "SELECT DISTINCT o_custkey FROM (SELECT o_custkey, collect_list(CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END) AS a, collect_list(CASE WHEN o_orderstatus = 'O' THEN o_orderpriority END) AS b FROM {orders} GROUP BY o_custkey) WHERE arrays_overlap(a, b)",
+          "SELECT DISTINCT o_custkey FROM (SELECT o_custkey, p, unnest(b) AS q FROM (SELECT o_custkey, b, unnest(a) AS p FROM (SELECT o_custkey, list(o_orderpriority) FILTER (o_orderstatus = 'F') AS a, list(o_orderpriority) FILTER (o_orderstatus = 'O') AS b FROM orders GROUP BY o_custkey))) WHERE p = q"),
     same("j31_right_and_full", """SELECT 'right' AS kind, count(*) AS n, count(o_orderkey) AS matched FROM {orders} RIGHT JOIN {customer} ON o_custkey = c_custkey
           UNION ALL SELECT 'full', count(*), count(o_orderkey) FROM (SELECT * FROM {orders} WHERE o_custkey % 2 = 0) o FULL JOIN {customer} ON o_custkey = c_custkey"""),
     Query("j32_as_of", _as_of, """SELECT event_id, (SELECT max(v.event_id) FROM events v WHERE v.event_type <> 'purchase' AND v.user_id = b.user_id AND v.ts = (SELECT max(w.ts) FROM events w WHERE w.event_type <> 'purchase' AND w.user_id = b.user_id AND w.ts <= b.ts)) AS last_event

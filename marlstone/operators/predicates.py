@@ -36,8 +36,8 @@ def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count(good, "valid").unionByName(count(bad, "invalid"))
 
 
-_PEOPLE = """(VALUES (1, 'gold', 1200.00, 720, NULL, 'a@x.org'), (2, NULL, 0.00, NULL, 'b2@x.org', NULL), (3, 'silver', NULL, 580, NULL, NULL), (4, 'gold', 300.50, 640, 'd2@x.org', 'd@x.org'))
- AS t(id, tier, spend, score, second, first_mail)"""
+_PEOPLE = """(SELECT c_custkey AS id, CASE WHEN c_acctbal > 7000 THEN 'gold' WHEN c_acctbal > 2000 THEN 'silver' END AS tier, CASE WHEN c_custkey % 4 > 0 THEN CAST(c_acctbal AS DECIMAL(12,2)) END AS spend, CASE WHEN c_custkey % 3 = 0 THEN c_name END AS second, CASE WHEN c_custkey % 6 = 0 THEN c_name END AS first_mail FROM {customer}) AS t"""
+
 
 QUERIES = [
     Query("p22_nested_filter", "SELECT event_type, count(*) AS n FROM {events} WHERE try_variant_get(try_parse_json(props), '$.k', 'int') >= 50 GROUP BY event_type", "SELECT event_type, count(*) AS n FROM events WHERE TRY_CAST(json_extract_string(props, '$.k') AS INT) >= 50 GROUP BY event_type"),

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalog import Query, same
+from ..catalog import Query, bare, same
 
-_STAFF = "staff(id, name, boss, pay) AS (SELECT * FROM (VALUES (1, 'ann', NULL, 900), (2, 'bob', 1, 500), (3, 'cy', 1, 450), (4, 'dee', 2, 300), (5, 'eli', 2, 310), (6, 'fay', 4, 200)) AS s(id, name, boss, pay))"
-_PARTS = "bom(parent, child, qty) AS (SELECT * FROM (VALUES ('car', 'wheel', 4), ('car', 'engine', 1), ('wheel', 'bolt', 5), ('engine', 'bolt', 20), ('engine', 'piston', 4), ('piston', 'ring', 3)) AS b(parent, child, qty))"
-_LOOP = "edge(a, b) AS (SELECT * FROM (VALUES (1, 2), (2, 3), (3, 1), (3, 4)) AS e(a, b))"
+#: Suppliers as staff: number n reports to n / 3; parts of parts: number n holds 2n and 2n + 1; and links in loops.
+_STAFF = "staff(id, name, boss, pay) AS (SELECT s_suppkey, s_name, CASE WHEN s_suppkey > 1 THEN CAST(floor(s_suppkey / 3) AS BIGINT) END, CAST(floor(s_acctbal) AS BIGINT) FROM {supplier} WHERE s_suppkey > 0)"
+_PARTS = "bom(parent, child, qty) AS (SELECT CAST(floor(p_partkey / 2) AS BIGINT), p_partkey, p_size % 3 + 1 FROM {part} WHERE p_partkey > 1)"
+_LOOP = "edge(a, b) AS (SELECT n_nationkey, (n_nationkey * 7 + 3) % 25 FROM {nation} UNION ALL SELECT n_nationkey, (n_nationkey + 5) % 25 FROM {nation} WHERE n_nationkey % 4 = 0)"
 
 
 def closure(edges: DataFrame, start: DataFrame, most: int = 100) -> DataFrame:
@@ -28,11 +29,13 @@ def closure(edges: DataFrame, start: DataFrame, most: int = 100) -> DataFrame:
 
 
 def _loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part hangs under the one of half its number, and some lead back up: steps from the first, loops and all."""
     from ..plans.tables import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
-    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "a int, b int")
-    return closure(edges, spark.createDataFrame([(1,)], "node int"))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey > 1")
+    edges = part.selectExpr("CAST(floor(p_partkey / 2) AS BIGINT) AS a", "p_partkey AS b").unionByName(part.filter("p_partkey % 9 = 0").selectExpr("p_partkey AS a", "CAST(floor(p_partkey / 9) AS BIGINT) AS b"))
+    return closure(edges, spark.createDataFrame([(1,)], "node long"))
 
 
 def _spine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,9 +50,9 @@ QUERIES = [
           SELECT id, concat(repeat('  ', depth), name) AS label, depth, sum(pay) OVER () AS payroll FROM down"""),
     same("r04_closure_per_manager", f"""WITH RECURSIVE {_STAFF}, reach(top, id, pay) AS (SELECT id, id, pay FROM staff UNION ALL SELECT reach.top, s.id, s.pay FROM reach JOIN staff s ON s.boss = reach.id)
           SELECT top, count(*) - 1 AS team, sum(CASE WHEN id <> top THEN pay ELSE 0 END) AS team_pay FROM reach GROUP BY top"""),
-    same("r05_bill_of_materials", f"""WITH RECURSIVE {_PARTS}, x(item, qty) AS (SELECT child, qty FROM bom WHERE parent = 'car' UNION ALL SELECT b.child, x.qty * b.qty FROM x JOIN bom b ON b.parent = x.item) SELECT item, sum(qty) AS qty FROM x GROUP BY item"""),
+    same("r05_bill_of_materials", f"""WITH RECURSIVE {_PARTS}, x(item, qty) AS (SELECT child, qty FROM bom WHERE parent = 1 UNION ALL SELECT b.child, x.qty * b.qty FROM x JOIN bom b ON b.parent = x.item) SELECT item, sum(qty) AS qty FROM x GROUP BY item"""),
     Query("r06_cycle_safe", f"""WITH RECURSIVE {_LOOP}, walk(node, seen, depth) AS (SELECT 1, array(1), 0 UNION ALL SELECT e.b, concat(seen, array(e.b)), depth + 1 FROM walk JOIN edge e ON e.a = node WHERE NOT array_contains(seen, e.b) AND depth < 20) SELECT node, min(depth) AS depth FROM walk GROUP BY node""",
-          f"""WITH RECURSIVE {_LOOP}, walk(node, seen, depth) AS (SELECT 1, [1], 0 UNION ALL SELECT e.b, list_concat(seen, [e.b]), depth + 1 FROM walk JOIN edge e ON e.a = node WHERE NOT list_contains(seen, e.b) AND depth < 20) SELECT node, min(depth) AS depth FROM walk GROUP BY node"""),
-    Query("r07_level_loop", _loop, "SELECT * FROM (VALUES (1, 0), (2, 1), (3, 2), (4, 3)) AS t(node, depth)"),
+          bare(f"""WITH RECURSIVE {_LOOP}, walk(node, seen, depth) AS (SELECT 1, [1], 0 UNION ALL SELECT e.b, list_concat(seen, [e.b]), depth + 1 FROM walk JOIN edge e ON e.a = node WHERE NOT list_contains(seen, e.b) AND depth < 20) SELECT node, min(depth) AS depth FROM walk GROUP BY node""")),
+    Query("r07_level_loop", _loop, "SELECT p_partkey AS node, CAST(floor(log2(p_partkey + 0.5)) AS INT) AS depth FROM part WHERE p_partkey > 0"),
     same("r08_view_dependencies", "WITH RECURSIVE dep(v, base) AS (SELECT * FROM (VALUES ('daily', 'orders'), ('weekly', 'daily'), ('report', 'weekly'), ('report', 'customer')) AS d(v, base)), r(v, base, depth) AS (SELECT v, base, 1 FROM dep UNION ALL SELECT r.v, dep.base, r.depth + 1 FROM r JOIN dep ON dep.v = r.base) SELECT v, base, depth FROM r"),
 ]

@@ -14,8 +14,11 @@ from ..plans.tables import scratch
 from . import readers, sinks
 
 _ORDER = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("name", T.StringType()), T.StructField("at", T.DateType()), T.StructField("amount", T.DecimalType(10, 2))])
-_LINES = ["id,name,at,amount", "1, ann ,2024-05-06,10.50", "2,,2024-05-07,3.25", "x,bob,2024-05-08,1.00", "4,cy,not a date,2.00", "5,\\N,2024-05-09,"]
-_GOOD = "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'ann', '2024-05-06', CAST(10.5 AS DOUBLE)), (2, NULL, '2024-05-07', 3.25), (5, NULL, '2024-05-09', NULL)) AS t(id, name, at_, amount)"
+#: A line for every customer: of ten keys one has a key that is no number, one a date that is none, one blanks for NULL.
+_LINE = """concat_ws(',', CASE WHEN c_custkey % 10 = 3 THEN concat('x', c_custkey) ELSE CAST(c_custkey AS STRING) END, CASE WHEN c_custkey % 10 = 5 THEN '\\\\N' ELSE concat(' ', c_name, ' ') END,
+ CASE WHEN c_custkey % 10 = 4 THEN 'not a date' ELSE CAST(date_add(DATE '2024-05-06', CAST(c_custkey % 20 AS INT)) AS STRING) END, CASE WHEN c_custkey % 10 = 5 THEN '' ELSE CAST(CAST(c_acctbal AS DECIMAL(10,2)) AS STRING) END)"""
+_GOOD = """SELECT c_custkey AS id, CASE WHEN c_custkey % 10 <> 5 THEN c_name END AS name, CAST(DATE '2024-05-06' + (c_custkey % 20)::INT AS STRING) AS at_, CASE WHEN c_custkey % 10 <> 5 THEN CAST(CAST(c_acctbal AS DECIMAL(10,2)) AS DOUBLE) END AS amount FROM customer WHERE c_custkey % 10 NOT IN (3, 4)"""
+_BAD = "FROM customer WHERE c_custkey % 10 IN (3, 4)"
 
 
 def _text(spark: SparkSession, lines: list[str], name: str) -> str:
@@ -24,18 +27,29 @@ def _text(spark: SparkSession, lines: list[str], name: str) -> str:
     return path
 
 
+def _lines(spark: SparkSession, sf_dir: str, table: str = "customer", line: str = _LINE) -> str:
+    """A folder of text files with a line for every row of a table."""
+    path = scratch(spark, "lines")
+    spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(f"{line} AS value").write.text(path)
+    return path
+
+
+def _copied(spark: SparkSession, sf_dir: str, max_errors: int = 1 << 30):
+    return readers.copy_csv(spark, _lines(spark, sf_dir), _ORDER, max_errors=max_errors, header=False)
+
+
 def _plain(df: DataFrame) -> DataFrame:
     return df.select("id", "name", F.col("at").cast("string").alias("at_"), F.col("amount").cast("double").alias("amount"))
 
 
 def _permissive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = readers.read_csv(spark, _text(spark, _LINES, "csv"), _ORDER)
-    return rows.agg(F.count("*").alias("n"), F.count(readers.CORRUPT).alias("bad"), F.max("name").alias("last_name"))
+    rows = readers.read_csv(spark, _lines(spark, sf_dir), _ORDER, header=False)
+    return rows.agg(F.count("*").alias("n"), F.count(readers.CORRUPT).alias("bad"))
 
 
 def _external(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = T.StructType([T.StructField("k", T.IntegerType()), T.StructField("v", T.StringType())])
-    return readers.external_table(spark, _text(spark, ["k|v", "1|a", "2|b"], "ext"), schema, "csv", sep="|", header="true")
+    return readers.external_table(spark, _lines(spark, sf_dir, "nation", "concat_ws('|', n_nationkey, n_name)"), schema, "csv", sep="|")
 
 
 def _partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,16 +65,19 @@ def _catalog_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _copy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(readers.copy_csv(spark, _text(spark, _LINES, "copy"), _ORDER, max_errors=2)[0])
+    return _plain(_copied(spark, sf_dir)[0])
 
 
 def _max_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    try:
-        readers.copy_csv(spark, _text(spark, _LINES, "copy"), _ORDER, max_errors=1)
-        refused = False
-    except readers.TooManyErrors:
-        refused = True
-    return spark.createDataFrame([(refused,)], "refused boolean")
+    """One error more than allowed stops the load; as many as allowed do not."""
+    bad = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_custkey % 10 IN (3, 4)").count()
+    out = []
+    for most in (bad, bad - 1):
+        try:
+            out.append((bad - most, False, _copied(spark, sf_dir, most)[0].count()))
+        except readers.TooManyErrors:
+            out.append((bad - most, True, 0))
+    return spark.createDataFrame(out, "missing int, refused boolean, n long")
 
 
 def _copy_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,21 +91,21 @@ def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_manifest(spark, _text(spark, [json.dumps(entries)], "manifest"))
 
 
-_JSON = ['{"id": 1, "who": {"name": "ann"}, "tags": ["a", "b"]}', '{"id": 2, "who": {}, "extra": true}']
+_JSON = """concat('{"id": ', s_suppkey, ', "who": {', CASE WHEN s_suppkey % 3 > 0 THEN concat('"name": "', s_name, '"') ELSE '' END, '}', CASE WHEN s_suppkey % 2 = 0 THEN concat(', "tags": ["t', s_nationkey, '", "b"]') ELSE ', "extra": true' END, '}')"""
 
 
 def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("who", T.StructType([T.StructField("name", T.StringType())]))])
-    return readers.read_json(spark, _text(spark, _JSON, "json"), schema).select("id", F.col("who.name").alias("name"))
+    return readers.read_json(spark, _lines(spark, sf_dir, "supplier", _JSON), schema).select("id", F.col("who.name").alias("name"))
 
 
 def _jsonpaths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.read_jsonpaths(spark, _text(spark, _JSON, "jsonpaths"), {"id": ("$.id", "long"), "name": ("$.who.name", "string"), "tag": ("$.tags[0]", "string")})
+    return readers.read_jsonpaths(spark, _lines(spark, sf_dir, "supplier", _JSON), {"id": ("$.id", "long"), "name": ("$.who.name", "string"), "tag": ("$.tags[0]", "string")})
 
 
 def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = ["5.00,7", "6.50,8"]
-    return readers.copy_csv(spark, _text(spark, lines, "cols"), _ORDER, columns=["amount", "id"], header=False)[0].select("id", F.col("amount").cast("double").alias("amount"))
+    path = _lines(spark, sf_dir, "orders", "concat_ws(',', CAST(o_totalprice AS DECIMAL(10,2)), o_orderkey)")
+    return readers.copy_csv(spark, path, _ORDER, columns=["amount", "id"], header=False)[0].select("id", F.col("amount").cast("double").alias("amount"))
 
 
 def _presorted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +115,7 @@ def _presorted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.load_errors(readers.copy_csv(spark, _text(spark, _LINES, "errors"), _ORDER, max_errors=10)[1])
+    return readers.load_errors(_copied(spark, sf_dir)[1])
 
 
 def _csv_out(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,18 +135,19 @@ def _single(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "quarantine")
-    bad = readers.copy_csv(spark, _text(spark, _LINES, "bad"), _ORDER, max_errors=10)[1].select("raw_line", "reason")
+    bad = _copied(spark, sf_dir)[1].select("raw_line", "reason")
     for run_ts in ("2024-01-01 00:00:00", "2024-01-02 00:00:00"):
         sinks.quarantine(bad, path, run_ts)
     return spark.read.parquet(path).groupBy("reason").agg(F.count("*").alias("n"), F.countDistinct("quarantined_at").alias("runs"))
 
 
 def _rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by status; then one status is written again, and the others' files stay."""
     path = scratch(spark, "rebuild")
-    rows = spark.createDataFrame([("a", 1), ("b", 2)], "p string, v int")
-    sinks.overwrite_partitions(rows, path, ["p"])
-    sinks.overwrite_partitions(rows.filter("p = 'b'").withColumn("v", F.lit(9)), path, ["p"])
-    return spark.read.parquet(path).select("p", "v")
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderstatus", "o_orderkey")
+    sinks.overwrite_partitions(rows, path, ["o_orderstatus"])
+    sinks.overwrite_partitions(rows.filter("o_orderstatus = 'P'").withColumn("o_orderkey", -F.col("o_orderkey")), path, ["o_orderstatus"])
+    return spark.read.parquet(path).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
 def _defects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,23 +179,23 @@ def _federated(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = [
     Query("s17_unload_partitioned", _unloaded, "SELECT o_orderstatus, count(*) AS n, true AS within FROM orders GROUP BY 1"),
     Query("s25_federated", _federated, "SELECT c_nationkey, count(*) AS n, max(c_custkey) AS top FROM customer WHERE c_acctbal > 0 GROUP BY 1"),
-    Query("s01_csv_permissive", _permissive, "SELECT CAST(5 AS BIGINT) AS n, CAST(2 AS BIGINT) AS bad, 'cy' AS last_name"),
-    Query("s02_external_text", _external, "SELECT * FROM (VALUES (1, 'a'), (2, 'b')) AS t(k, v)"),
+    Query("s01_csv_permissive", _permissive, "SELECT count(*) AS n, count(CASE WHEN c_custkey % 10 IN (3, 4) THEN 1 END) AS bad FROM customer"),
+    Query("s02_external_text", _external, "SELECT n_nationkey AS k, n_name AS v FROM nation"),
     Query("s03_partitioned_table", _partitioned, "SELECT count(*) AS n, max(o_orderkey) AS top FROM orders WHERE o_orderstatus = 'F'"),
     Query("s05_catalog_view", _catalog_view, "SELECT r_name FROM region"),
     Query("s08_copy_csv", _copy, _GOOD),
-    Query("s08_max_errors", _max_errors, "SELECT true AS refused"),
+    Query("s08_max_errors", _max_errors, "SELECT 0 AS missing, false AS refused, count(CASE WHEN c_custkey % 10 NOT IN (3, 4) THEN 1 END) AS n FROM customer UNION ALL SELECT 1, true, 0"),
     Query("s09_copy_parquet", _copy_parquet, "SELECT * FROM nation"),
     Query("s10_manifest", _manifest, "SELECT * FROM region"),
-    Query("s11_json", _json, "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'ann'), (2, NULL)) AS t(id, name)"),
-    Query("s12_jsonpaths", _jsonpaths, "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'ann', 'a'), (2, NULL, NULL)) AS t(id, name, tag)"),
-    Query("s13_column_list", _columns, "SELECT * FROM (VALUES (CAST(7 AS BIGINT), CAST(5 AS DOUBLE)), (8, 6.5)) AS t(id, amount)"),
+    Query("s11_json", _json, "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 > 0 THEN s_name END AS name FROM supplier"),
+    Query("s12_jsonpaths", _jsonpaths, "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 > 0 THEN s_name END AS name, CASE WHEN s_suppkey % 2 = 0 THEN 't' || s_nationkey END AS tag FROM supplier"),
+    Query("s13_column_list", _columns, "SELECT o_orderkey AS id, CAST(CAST(o_totalprice AS DECIMAL(10,2)) AS DOUBLE) AS amount FROM orders"),
     Query("s14_presorted", _presorted, "SELECT count(*) AS n FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01'"),
-    Query("s16_load_errors", _errors, "SELECT 'does not fit the schema' AS reason, CAST(2 AS BIGINT) AS n"),
+    Query("s16_load_errors", _errors, f"SELECT 'does not fit the schema' AS reason, count(*) AS n {_BAD}"),
     Query("s18_unload_csv", _csv_out, "SELECT * FROM nation"),
     Query("s19_single_file", _single, "SELECT 1 AS one, 4 AS many"),
-    Query("s20_quarantine", _quarantine, "SELECT 'does not fit the schema' AS reason, CAST(4 AS BIGINT) AS n, CAST(2 AS BIGINT) AS runs"),
-    Query("s21_overwrite_partitions", _rebuild, "SELECT * FROM (VALUES ('a', 1), ('b', 9)) AS t(p, v)"),
+    Query("s20_quarantine", _quarantine, f"SELECT 'does not fit the schema' AS reason, 2 * count(*) AS n, CAST(2 AS BIGINT) AS runs {_BAD}"),
+    Query("s21_overwrite_partitions", _rebuild, "SELECT o_orderstatus, count(*) AS n, CAST(sum(CASE WHEN o_orderstatus = 'P' THEN -o_orderkey ELSE o_orderkey END) AS BIGINT) AS keys FROM orders GROUP BY 1"),
     Query("s22_generator", lambda s, d: readers.generate(s, 500, n=lambda i: i, k=lambda i: i % 7), "SELECT range AS n, range % 7 AS k FROM range(500)"),
     Query("s23_multiplier", lambda s, d: s.read.parquet(f"{d}/nation.parquet").crossJoin(s.range(3).withColumnRenamed("id", "copy_")).groupBy("copy_").agg(F.count("*").alias("n")), "SELECT copy_, count(*) AS n FROM nation CROSS JOIN (SELECT range AS copy_ FROM range(3)) GROUP BY copy_"),
     Query("s24_defect_generator", _defects, "SELECT CAST(19 AS BIGINT) AS repeats, CAST(25 AS BIGINT) AS orphans, CAST(40 AS BIGINT) AS nameless, CAST(34 AS BIGINT) AS bad"),
