@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import carried, checkpointed
+from .storage import carried, checkpointed, scope
 
 #: Runs of white space that differ from one space; a lone space needs no rewriting.
 _RUNS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -68,7 +68,7 @@ class Filter:
 def repeated_filter(hashes: DataFrame, sha: str, slots_per_row: int = SLOTS_PER_ROW, max_bits: int = MAX_BITS, max_slots: int = MAX_SLOTS) -> Filter:
     """Pass 1: the filter of the hashes that may be repeated; at most max_bits bits."""
     slots = _power(hashes.count() * slots_per_row, max_slots)
-    twice = checkpointed(hashes.groupBy(_slot(F.col(sha), slots).alias("slot")).count().filter("count > 1").select("slot"))
+    twice = checkpointed(hashes.groupBy(_slot(F.col(sha), slots).alias("slot")).count().filter("count > 1").select("slot"), lasting=True)
     bitmaps = max(1, _power(twice.count() * BITS_PER_SLOT, max_bits) // BITMAP)
     bitmap, bits = _places(F.col("slot"), bitmaps)
     placed = twice.select(bitmap.alias("bitmap"), F.explode(F.array(*bits)).alias("bit"))
@@ -110,8 +110,9 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     size sends one row from each task.
     """
     columns = carried(df, ())
-    hashes = checkpointed(df.select(F.sha2(normalised(F.col(text_col)), 256).alias("sha")))
-    bloom = repeated_filter(hashes, "sha", slots_per_row, max_bits, max_slots)
+    with scope(df.sparkSession):
+        hashes = checkpointed(df.select(F.sha2(normalised(F.col(text_col)), 256).alias("sha")))
+        bloom = repeated_filter(hashes, "sha", slots_per_row, max_bits, max_slots)
     probed = probe(df.select(F.struct(*columns).alias("row"), F.sha2(normalised(F.col(text_col)), 256).alias("sha")), "sha", bloom)
     key = F.col(f"row.`{id_col}`")
     orderable = [F.col(f"row.`{c}`") for c, kind in df.dtypes if c != text_col and not kind.startswith(("map", "array", "struct", "variant"))]

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .storage import carried, checkpointed, numbered, small_batches
+from .storage import carried, checkpointed, numbered, scope, small_batches
 from .textkit import Words, mixed, noise, runs, windows
 
 WIDTH, REGISTERS, ROWS, BASE, RATE, TOP = 5, 144, 4, 1.001, 20.0, 65534
@@ -297,29 +297,30 @@ def _open_links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame
 def _grouped(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """One row per row: doc_id, text_hash, n_shingles, component_id."""
     small_batches(df.sparkSession)
-    rows = checkpointed(sketch(df, id_col, text_col))
-    linked = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    # a class is named by the smallest of its rows, whose text stands for all
-    least = F.min(F.struct("doc_id", "text_hash")).alias("least")
-    classes = linked.groupBy("set_key").agg(least, F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
-    classes = checkpointed(classes.select("set_key", F.xxhash64("least.doc_id", "least.text_hash").alias("rep"), F.col("least.doc_id").alias("doc_id"), "n", "registers"))
-    texts = _texts(df, id_col, text_col).filter("doc_id IS NOT NULL").select(F.xxhash64("doc_id", "text_hash").alias("id"), "text")
-    size = 2 * ROWS
-    bands = classes.select("rep", F.explode(F.array(*[F.xxhash64(F.substring("registers", 1 + size * k, size), F.lit(k)) for k in range(REGISTERS // ROWS)])).alias("bucket"))
-    buckets = checkpointed(bands.groupBy("bucket").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("members")).filter("members > 1"))
-    stars = bands.join(buckets, "bucket").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    edges = checkpointed(_verified(checkpointed(_screened(stars, classes, percent)), texts, percent))
-    roots = checkpointed(components(edges))
-    members = bands.join(buckets.filter("members > 2"), "bucket").filter("rep <> a").join(roots, F.col("rep") == F.col("node"), "left")
-    members = checkpointed(members.select("bucket", "rep", F.coalesce("root", "rep").alias("root")))
-    undecided = checkpointed(members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("bucket"))
-    left = members.join(undecided, "bucket", "left_semi").join(classes.select("rep", "n", "registers"), "rep")
-    more = checkpointed(_open_links(checkpointed(_open_members(left, percent)), texts, percent))
-    if not more.isEmpty():
-        roots = checkpointed(components(edges.unionByName(more)))
-    rooted = checkpointed(classes.join(roots, F.col("rep") == F.col("node"), "left").select("set_key", "doc_id", "root"))
-    joined = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component"))
-    named = checkpointed(rooted.join(joined, "root", "left").select("set_key", F.coalesce("component", "doc_id").alias("component_id")))
+    with scope(df.sparkSession):
+        rows = checkpointed(sketch(df, id_col, text_col), lasting=True)
+        linked = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+        # a class is named by the smallest of its rows, whose text stands for all
+        least = F.min(F.struct("doc_id", "text_hash")).alias("least")
+        classes = linked.groupBy("set_key").agg(least, F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
+        classes = checkpointed(classes.select("set_key", F.xxhash64("least.doc_id", "least.text_hash").alias("rep"), F.col("least.doc_id").alias("doc_id"), "n", "registers"))
+        texts = _texts(df, id_col, text_col).filter("doc_id IS NOT NULL").select(F.xxhash64("doc_id", "text_hash").alias("id"), "text")
+        size = 2 * ROWS
+        bands = classes.select("rep", F.explode(F.array(*[F.xxhash64(F.substring("registers", 1 + size * k, size), F.lit(k)) for k in range(REGISTERS // ROWS)])).alias("bucket"))
+        buckets = checkpointed(bands.groupBy("bucket").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("members")).filter("members > 1"))
+        stars = bands.join(buckets, "bucket").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+        edges = checkpointed(_verified(checkpointed(_screened(stars, classes, percent)), texts, percent))
+        roots = checkpointed(components(edges))
+        members = bands.join(buckets.filter("members > 2"), "bucket").filter("rep <> a").join(roots, F.col("rep") == F.col("node"), "left")
+        members = checkpointed(members.select("bucket", "rep", F.coalesce("root", "rep").alias("root")))
+        undecided = checkpointed(members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("bucket"))
+        left = members.join(undecided, "bucket", "left_semi").join(classes.select("rep", "n", "registers"), "rep")
+        more = checkpointed(_open_links(checkpointed(_open_members(left, percent)), texts, percent))
+        if not more.isEmpty():
+            roots = checkpointed(components(edges.unionByName(more)))
+        rooted = checkpointed(classes.join(roots, F.col("rep") == F.col("node"), "left").select("set_key", "doc_id", "root"))
+        joined = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component"))
+        named = checkpointed(rooted.join(joined, "root", "left").select("set_key", F.coalesce("component", "doc_id").alias("component_id")), lasting=True)
     out = linked.join(named, "set_key").select("doc_id", "text_hash", "n_shingles", "component_id")
     return out.unionByName(rows.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id")))
 
@@ -334,12 +335,14 @@ def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
 
     A filter of bounded size tells which rows may have to go; only these are joined, the others pass straight through.
     """
-    grouped = checkpointed(_grouped(df, id_col, text_col, percent).filter("doc_id IS NOT NULL AND n_shingles > 0"))
-    key = F.xxhash64("doc_id", "text_hash")
-    stays = grouped.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("least")).select(F.xxhash64("least.doc_id", "least.text_hash").alias("stays"))
-    rows = grouped.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("rows"))
-    # rows that go, and those that stay but are there several times
-    told = checkpointed(rows.join(stays, F.col("key") == F.col("stays"), "left").filter("stays IS NULL OR rows > 1").select("key", F.col("stays").isNull().alias("goes")))
+    with scope(df.sparkSession):
+        grouped = checkpointed(_grouped(df, id_col, text_col, percent).filter("doc_id IS NOT NULL AND n_shingles > 0"))
+        key = F.xxhash64("doc_id", "text_hash")
+        stays = grouped.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("least")).select(F.xxhash64("least.doc_id", "least.text_hash").alias("stays"))
+        rows = grouped.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("rows"))
+        # rows that go, and those that stay but are there several times
+        told = rows.join(stays, F.col("key") == F.col("stays"), "left").filter("stays IS NULL OR rows > 1")
+        told = checkpointed(told.select("key", F.col("stays").isNull().alias("goes")), lasting=True)
     kept = carried(df, ())
     named = df.select(F.struct(*numbered(kept)).alias("row"), F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("binary"))).alias("key"), F.col(id_col).isNotNull().alias("has"))
     named = _flagged(named, "key", told.select("key"), told.count())

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordtok
-from .storage import fresh_dir, small_batches
+from .storage import fresh_dir, small_batches, until_exit
 
 END_ID = 2
 #: Words in a generation of the encoder's cache: this operator holds little else.
@@ -310,4 +310,5 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = fresh_dir(spark, "records")
     write_records(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.path("word_bpe_49k.json"))
+    until_exit(spark, path)
     return read_records(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

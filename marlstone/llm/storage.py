@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
+import contextlib
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: set[str] = set()
-
-
 def carried(df: DataFrame, added: Iterable[str], keep: list[str] | None = None) -> list[str]:
     """Names of the columns to carry along, quoted, without those that an added column replaces (in any case)."""
     replaced = {c.lower() for c in added}
@@ -64,26 +62,55 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, "2000")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+_held = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    """The thread's open scopes."""
+    if not hasattr(_held, "scopes"):
+        _held.scopes = []
+    return _held.scopes
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that were checkpointed inside it; ``lasting`` ones belong to the scope around it."""
+    _scopes().append([])
+    try:
+        yield
+    finally:
+        for path in _scopes().pop():
+            remove(spark, path)
+
+
+def _path(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    store, at = _path(spark, path)
+    store.delete(at, True)
+
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """A written folder goes when the driver's JVM ends, whether or not the session was stopped before."""
+    store, at = _path(spark, path)
+    store.deleteOnExit(at)
+
+
+def checkpointed(df: DataFrame, lasting: bool = False) -> DataFrame:
     """The rows, written once as a table in the shared folder: lineage ends here and lost executors cost nothing.
 
     Tables are Parquet rather than serialised rows: smaller, read by column, and of a size that the planner knows.
-    They go when the session's process ends, as lazy results may still read them until then.
+    They go with their ``scope``, and outside of any when the driver ends; a table that a lazy result reads must be ``lasting``.
     """
-    path = fresh_dir(df.sparkSession, "table")
+    spark = df.sparkSession
+    path = fresh_dir(spark, "table")
     df.write.parquet(path)
-    if not _written:
-        atexit.register(_remove)
-    _written.add(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _remove() -> None:
-    """Deletes the tables at exit, if the session still lives."""
-    spark = SparkSession.getActiveSession()
-    if spark is None:
-        return
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _written:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+    scopes = _scopes()[: -1 if lasting else None]
+    if scopes:
+        scopes[-1].append(path)
+    else:
+        until_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)

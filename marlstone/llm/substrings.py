@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import carried, checkpointed, numbered, small_batches
+from .storage import carried, checkpointed, numbered, scope, small_batches
 from .textkit import Words, runs, windows
 
 WINDOW, MER = 35, 4
@@ -293,7 +293,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small_batches(df.sparkSession)
     raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     keyed = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(raw).alias("text_hash"), raw.alias("text"))
-    places = checkpointed(repeated_windows(keyed, window, mer).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "windows")).alias("places")))
+    with scope(df.sparkSession):
+        found = repeated_windows(keyed, window, mer).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "windows")).alias("places"))
+        places = checkpointed(found, lasting=True)
     places = places.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), "places")
     added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
     kept = carried(df, (f.name for f in added), keep)
