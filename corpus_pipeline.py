@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from marlstone.llm import exact_dedup, mixing, near_dedup, packing, quality
-from marlstone.llm.storage import carried, fresh_dir, unused
+from marlstone.llm.storage import carried, fresh_dir, remove, until_exit, unused
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -82,9 +82,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over a folder's documents."""
+    """All stages over a folder's documents. A stage's table goes once the next one is written."""
     docs, out = spark.read.parquet(f"{sf_dir}/documents.parquet"), fresh_dir(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{out}/{k}")
         docs = spark.read.parquet(f"{out}/{k}")
+        if k:
+            remove(spark, f"{out}/{k - 1}")
+    until_exit(spark, out)
     return docs
