@@ -37,8 +37,8 @@ QUERIES = [
     _q("x10_unnest_scalars", f"SELECT id, CAST(value AS STRING) AS tag FROM {_S} t, LATERAL variant_explode(variant_get(t.v, '$.tags', 'variant'))", f"SELECT id, x->>'$' AS tag FROM (SELECT id, unnest(CAST(js->'$.tags' AS JSON[])) AS x FROM {_D})"),
     _q("x11_unnest_with_index", f"SELECT id, pos, CAST(value AS STRING) AS tag FROM {_S} t, LATERAL variant_explode(variant_get(t.v, '$.tags', 'variant'))", f"SELECT id, CAST(pos - 1 AS INT) AS pos, x->>'$' AS tag FROM (SELECT id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS pos FROM (SELECT id, CAST(js->'$.tags' AS JSON[]) AS l FROM {_D}))"),
     _q("x12_unpivot_object", f"SELECT id, key FROM {_S} t, LATERAL variant_explode(variant_get(t.v, '$.user', 'variant'))", f"SELECT id, unnest(json_keys(js, '$.user')) AS key FROM {_D}"),
-    _q("x13_object_constructor", "SELECT to_json(named_struct('a', 1, 'b', 'x')) AS o, to_json(to_variant_object(named_struct('k', 2))) AS v", "SELECT '{\"a\":1,\"b\":\"x\"}' AS o, '{\"k\":2}' AS v"),
-    _q("x14_array_constructor", "SELECT size(array(1, 2, 3)) AS n, array(1, 2, 3)[1] AS second_", "SELECT CAST(len([1, 2, 3]) AS INT) AS n, [1, 2, 3][2] AS second_"),
+    _q("x13_object_constructor", "SELECT n_nationkey, to_json(struct(n_nationkey AS a, n_name AS b)) AS o, to_json(to_variant_object(struct(n_regionkey AS k))) AS v FROM {nation}", "SELECT n_nationkey, '{\"a\":' || n_nationkey || ',\"b\":\"' || n_name || '\"}' AS o, '{\"k\":' || n_regionkey || '}' AS v FROM nation"),
+    _q("x14_array_constructor", "SELECT n_nationkey, size(array(n_nationkey, n_regionkey, 3)) AS n, array(n_nationkey, n_regionkey, 3)[1] AS second_ FROM {nation}", "SELECT n_nationkey, CAST(len([n_nationkey, n_regionkey, 3]) AS INT) AS n, [n_nationkey, n_regionkey, 3][2] AS second_ FROM nation"),
     _q("x15_is_array_object", f"SELECT id, schema_of_variant(variant_get(v, '$.user', 'variant')) LIKE 'OBJECT%' AS is_object, schema_of_variant(variant_get(v, '$.user', 'variant')) LIKE 'ARRAY%' AS is_array FROM {_S}", f"SELECT id, json_type(js, '$.user') = 'OBJECT' AS is_object, json_type(js, '$.user') = 'ARRAY' AS is_array FROM {_D}"),
     _q("x16_extract_path_text", f"SELECT id, get_json_object(js, '$.user.tier') AS tier, get_json_object(js, '$.none') AS none_ FROM {_S}", f"SELECT id, js->>'$.user.tier' AS tier, js->>'$.none' AS none_ FROM {_D}"),
     _q("x17_array_element_text", f"SELECT id, get_json_object(js, '$.tags[1]') AS t FROM {_S}", f"SELECT id, js->>'$.tags[1]' AS t FROM {_D}"),
@@ -46,7 +46,7 @@ QUERIES = [
     _q("x19_aggregate_unnested", f"SELECT variant_get(value, '$.sku', 'string') AS sku, sum(variant_get(value, '$.qty', 'bigint')) AS qty FROM {_S} t, LATERAL variant_explode(variant_get(t.v, '$.items', 'variant')) GROUP BY 1", f"SELECT x->>'$.sku' AS sku, CAST(sum(CAST(x->>'$.qty' AS BIGINT)) AS BIGINT) AS qty FROM (SELECT unnest(CAST(js->'$.items' AS JSON[])) AS x FROM {_D}) GROUP BY 1"),
     _q("x20_key_presence", f"SELECT id, variant_get(v, '$.ip', 'variant') IS NOT NULL AS has_key FROM {_S}", f"SELECT id, json_exists(js, '$.ip') AS has_key FROM {_D}"),
     _q("x21_shred_by_position", f"SELECT id, get_json_object(js, '$.items[0].sku') AS sku FROM {_S} WHERE get_json_object(js, '$.items[0]') IS NOT NULL UNION ALL SELECT id, get_json_object(js, '$.items[1].sku') FROM {_S} WHERE get_json_object(js, '$.items[1]') IS NOT NULL", f"SELECT id, x->>'$.sku' AS sku FROM (SELECT id, unnest(CAST(js->'$.items' AS JSON[])) AS x FROM {_D})"),
-    _q("x22_array_functions", "SELECT array_contains(concat(array(1), array(2, 3)), 3) AS has_, size(concat(array(1), array(2, 3))) AS n", "SELECT list_contains(list_concat([1], [2, 3]), 3) AS has_, CAST(len(list_concat([1], [2, 3])) AS INT) AS n"),
+    _q("x22_array_functions", "SELECT n_nationkey, array_contains(concat(array(n_regionkey), array(n_nationkey, 3)), 3) AS has_, size(concat(array(n_regionkey), array(n_nationkey, 3))) AS n FROM {nation}", "SELECT n_nationkey, list_contains(list_concat([n_regionkey], [n_nationkey, 3]), 3) AS has_, CAST(len(list_concat([n_regionkey], [n_nationkey, 3])) AS INT) AS n FROM nation"),
     _q("x23_can_parse", f"SELECT id, try_parse_json(CASE WHEN id % 3 = 0 THEN left(js, length(js) - 1) ELSE js END) IS NOT NULL AS ok, is_valid_utf8(js) AS utf8 FROM {_S}", f"SELECT id, id % 3 <> 0 AS ok, true AS utf8 FROM {_D}"),
     _q("x24_empty_array_outer", f"SELECT id, CAST(tag AS STRING) AS tag FROM {_S} LATERAL VIEW OUTER explode(CAST(variant_get(v, '$.tags', 'variant') AS ARRAY<VARIANT>)) x AS tag", f"SELECT id, x->>'$' AS tag FROM (SELECT id, unnest(CASE WHEN json_array_length(js, '$.tags') = 0 THEN [NULL] ELSE CAST(js->'$.tags' AS JSON[]) END) AS x FROM {_D})"),
     _q("x25_events_props", "SELECT event_type, sum(try_variant_get(try_parse_json(props), '$.k', 'bigint')) AS k FROM {events} GROUP BY event_type", "SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY event_type"),

@@ -215,14 +215,14 @@ def _benchmark(spark, sf_dir):
 QUERIES = [
     Query("c04_variables", _script, "SELECT 15 AS total"),
     Query("c06_dynamic_sql", _dynamic, "SELECT count(*) AS n, CAST(0 AS BIGINT) AS injected FROM orders WHERE o_orderstatus = 'F'"),
-    Query("c07_select_into_strict", _strict, "SELECT * FROM (VALUES ('n_nationkey = 3', 'one'), ('n_nationkey < 2', 'more than one row'), ('n_nationkey = -1', 'no row')) AS t(condition, outcome)"),
+    Query("c07_select_into_strict", _strict, "SELECT c AS condition, CASE WHEN n = 0 THEN 'no row' WHEN n = 1 THEN 'one' ELSE 'more than one row' END AS outcome FROM (SELECT 'n_nationkey = 3' AS c, count(*) AS n FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 'n_nationkey < 2', count(*) FROM nation WHERE n_nationkey < 2 UNION ALL SELECT 'n_nationkey = -1', count(*) FROM nation WHERE n_nationkey = -1)"),
     Query("c14_parameter_validation", _validation, "SELECT * FROM (VALUES (0, true), (1, false), (2, false), (3, false), (4, false)) AS t(i, ok)"),
     Query("c16_orchestrator", _orchestrated, "SELECT 'load' AS step, 'DONE' AS status, count(*) AS n FROM orders UNION ALL SELECT 'check', 'FAILED', NULL"),
     Query("c17_set_not_loop", _loop_or_set, "SELECT true AS equal_"),
     Query("e12_quality_checks", _quality, """SELECT 'no_customer' AS check_, CAST(0 AS BIGINT) AS n, 'PASS' AS status UNION ALL SELECT 'pending', n, CASE WHEN n > 10 THEN 'WARN' ELSE 'PASS' END FROM (SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'P')
           UNION ALL SELECT 'dear', n, CASE WHEN n > 5 THEN 'BLOCKING' ELSE 'PASS' END FROM (SELECT count(*) AS n FROM orders WHERE o_totalprice > 1000)"""),
-    Query("e12_quality_gate", _gate, "SELECT 'blocked: dear' AS outcome"),
-    Query("e13_assert_unique", _unique, "SELECT * FROM (VALUES ('o_orderkey', true), ('o_custkey', false)) AS t(key, is_unique)"),
+    Query("e12_quality_gate", _gate, "SELECT CASE WHEN count(CASE WHEN o_totalprice > 1000 THEN 1 END) > 5 THEN 'blocked: dear' ELSE 'passed' END AS outcome FROM orders"),
+    Query("e13_assert_unique", _unique, "SELECT 'o_orderkey' AS key, count(*) = count(DISTINCT o_orderkey) AS is_unique FROM orders UNION ALL SELECT 'o_custkey', count(*) = count(DISTINCT o_custkey) FROM orders"),
     Query("e20_master_pipeline", _master, "SELECT b AS batch, 'DONE' AS status, n FROM (SELECT count(*) AS n FROM orders WHERE o_orderdate < TIMESTAMP '1996-02-01') CROSS JOIN (VALUES ('b1'), ('b2')) AS t(b)"),
     Query("e22_benchmark_gate", _benchmark, "SELECT CAST(0 AS BIGINT) AS differences"),
 ]

@@ -108,7 +108,8 @@ def silver(bronze_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return latest_per_key(marked.filter("reason IS NULL"), ["id"], F.desc("seq")).drop("reason"), marked.filter("reason IS NOT NULL")
 
 
-_PROFILES = [(1, '{"email": " Ann@X.org ", "age": "30"}', 1), (1, '{"email": "ann@y.org", "age": 31}', 2), (2, '{"email": "bad", "age": 20}', 1), (3, '{"email": "cy@z.net", "age": "old"}', 1), (4, '{"age": 5}', 1), (5, '{"email": "e@f.g", "age": 120}', 1)]
+#: A profile for every customer, with bad addresses and ages among them, and for some a later one.
+_PROFILE = """concat('{', CASE WHEN c_custkey % 7 > 0 THEN concat('"email": " C', c_custkey, CASE WHEN c_custkey % 11 > 0 THEN '@X.org' ELSE '' END, ' ", ') ELSE '' END, '"age": ', CASE WHEN c_custkey % 13 = 0 THEN '"old"' ELSE CAST(c_custkey % 150 AS STRING) END, '}')"""
 
 
 def _bronze(spark, sf_dir):
@@ -125,7 +126,10 @@ def _silver_join(spark, sf_dir):
 
 
 def _silver(spark, sf_dir):
-    good, bad = silver(spark.createDataFrame(_PROFILES, "id int, js string, seq int"))
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    first = customer.selectExpr("c_custkey AS id", f"{_PROFILE} AS js", "1 AS seq")
+    later = customer.filter("c_custkey % 5 = 0").selectExpr("c_custkey AS id", "concat('{\"email\": \"new', c_custkey, '@y.org\", \"age\": 50}') AS js", "2 AS seq")
+    good, bad = silver(first.unionByName(later))
     return good.select("id", "email", F.col("age").cast("string").alias("note")).unionByName(bad.select("id", "email", F.col("reason").alias("note")))
 
 
@@ -148,7 +152,9 @@ QUERIES = [
     Query("e01_raw_to_bronze", _bronze, """WITH raw AS (SELECT o_orderkey, CASE WHEN o_orderkey % 33 <> 0 THEN o_custkey END AS k FROM orders UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 33 <> 0 THEN o_custkey END FROM orders WHERE o_orderkey % 20 = 0)
           SELECT 'good' AS part, count(DISTINCT o_orderkey) AS n FROM raw WHERE k IS NOT NULL UNION ALL SELECT 'bad', count(*) FROM raw WHERE k IS NULL"""),
     Query("e02_bronze_to_silver", _silver_join, "SELECT count(*) AS n, CAST(sum(CASE WHEN o_custkey % 9 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS orphans FROM orders"),
-    Query("e03_json_to_silver", _silver, "SELECT * FROM (VALUES (1, 'ann@y.org', '31'), (5, 'e@f.g', '120'), (2, 'bad', 'MALFORMED_EMAIL'), (3, 'cy@z.net', 'INVALID_AGE'), (4, NULL, 'MALFORMED_EMAIL')) AS t(id, email, note)"),
+    Query("e03_json_to_silver", _silver, """WITH p AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 > 0 THEN 'c' || c_custkey || CASE WHEN c_custkey % 11 > 0 THEN '@x.org' ELSE '' END END AS email, CASE WHEN c_custkey % 13 > 0 THEN c_custkey % 150 END AS age FROM customer),
+          m AS (SELECT *, CASE WHEN k % 7 = 0 OR k % 11 = 0 THEN 'MALFORMED_EMAIL' WHEN age IS NULL OR age > 120 THEN 'INVALID_AGE' END AS reason FROM p)
+          SELECT k AS id, email, reason AS note FROM m WHERE reason IS NOT NULL UNION ALL SELECT k, CASE WHEN k % 5 = 0 THEN 'new' || k || '@y.org' ELSE email END, CASE WHEN k % 5 = 0 THEN '50' ELSE CAST(age AS VARCHAR) END FROM m WHERE reason IS NULL OR k % 5 = 0"""),
     Query("e04_scd2", _scd2, """WITH d AS (SELECT c_custkey, c_mktsegment, c_custkey % 10 = 0 AS moved, c_custkey % 5 <> 4 AS known FROM customer)
           SELECT c_custkey, c_mktsegment, '2020-01-01' AS valid_from, CASE WHEN moved THEN '2023-12-31' ELSE '9999-12-31' END AS valid_to, NOT moved AS is_current FROM d WHERE known
           UNION ALL SELECT c_custkey, CASE WHEN moved THEN 'MOVED' ELSE c_mktsegment END, '2024-01-01', '9999-12-31', true FROM d WHERE moved OR NOT known"""),

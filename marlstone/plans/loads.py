@@ -193,8 +193,10 @@ def _vacuum(spark, sf_dir):
 
 
 def _evolve(spark, sf_dir):
-    old, new = spark.createDataFrame([(1, "a")], "id int, name string"), spark.createDataFrame([(2, "b", 5)], "id int, name string, age int")
-    return old.unionByName(new, allowMissingColumns=True)
+    """Rows of an older schema, and of one with a column more, in one table."""
+    orders = _orders(spark, sf_dir)
+    t = _table(spark, orders.filter("o_orderkey % 2 = 1").select("o_orderkey", "o_custkey")).add_column("o_orderstatus", "string")
+    return t.insert(orders.filter("o_orderkey % 2 = 0")).read()
 
 
 def _forget(spark, sf_dir):
@@ -232,7 +234,7 @@ QUERIES = [
     Query("d20_watermark_load", _watermark, "SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys, CAST(0 AS BIGINT) AS changed, CAST(0 AS INT) AS second_run FROM orders"),
     Query("d21_late_data", _late, _ALL + " WHERE o_orderdate < TIMESTAMP '1996-03-11' AND (o_orderkey % 5 <> 0 OR o_orderdate >= TIMESTAMP '1996-02-09')"),
     Query("d22_vacuum", _vacuum, "SELECT 2 AS before_, 1 AS after_"),
-    Query("d23_schema_evolution", _evolve, "SELECT * FROM (VALUES (1, 'a', NULL), (2, 'b', 5)) AS t(id, name, age)"),
+    Query("d23_schema_evolution", _evolve, "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS o_orderstatus FROM orders"),
     Query("d24_forget", _forget, "SELECT sum(CASE WHEN c_custkey % 100 = 0 THEN 1 ELSE 0 END)::BIGINT AS forgotten, sum(CASE WHEN c_custkey % 100 = 0 OR c_acctbal = 0 THEN 1 ELSE 0 END)::BIGINT AS cleared FROM customer"),
     Query("d25_storage_tiers", _tiers, "SELECT CASE WHEN o_orderdate >= TIMESTAMP '2000-01-01' THEN 'hot' ELSE 'warm' END AS tier, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' GROUP BY 1"),
 ]

@@ -106,11 +106,11 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _partitions(spark, sf_dir):
     """Folders that appear are partitions at the next read."""
     path, orders = scratch(spark, "reg"), _t(spark, sf_dir, "orders")
-    counts = []
+    out = []
     for status in ("F", "O"):
         orders.filter(F.col("o_orderstatus") == status).drop("o_orderstatus").write.parquet(f"{path}/o_orderstatus={status}")
-        counts.append(spark.read.parquet(path).select("o_orderstatus").distinct().count())
-    return spark.createDataFrame([tuple(counts)], "first_ int, second_ int")
+        out += [(status, r["o_orderstatus"], r["count"]) for r in spark.read.parquet(path).groupBy("o_orderstatus").count().collect()]
+    return spark.createDataFrame(out, "after_ string, o_orderstatus string, n long")
 
 
 def _share(spark, sf_dir):
@@ -124,7 +124,8 @@ def _share(spark, sf_dir):
 
 def _items(spark, sf_dir):
     """Items of a key-value store: attributes differ from row to row."""
-    rows = spark.createDataFrame([(1, '{"name": {"S": "a"}, "qty": {"N": "3"}}'), (2, '{"name": {"S": "b"}}')], "id int, item string")
+    item = F.expr("""concat('{"name": {"S": "', p_name, '"}', CASE WHEN p_partkey % 3 > 0 THEN concat(', "qty": {"N": "', p_size, '"}') ELSE '' END, '}')""")
+    rows = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), item.alias("item"))
     v = F.parse_json("item")
     return rows.select("id", F.try_variant_get(v, "$.name.S", "string").alias("name"), F.try_variant_get(v, "$.qty.N", "string").cast("int").alias("qty"))
 
@@ -331,10 +332,10 @@ def _elt(spark, sf_dir):
 
 def _null_safe_scd2(spark, sf_dir):
     """NULL to value and value to NULL are changes; NULL to NULL is none."""
-    begin, end = F.lit("2020-01-01").cast("date"), F.lit(dimensions.FOREVER).cast("date")
-    dim = spark.createDataFrame([(1, None), (2, "x"), (3, None), (4, "")], "k int, v string").withColumn("valid_from", begin).withColumn("valid_to", end).withColumn("is_current", F.lit(True))
-    source = spark.createDataFrame([(1, "y"), (2, None), (3, None), (4, None)], "k int, v string")
-    return dimensions.scd2(dim, source, "k", ["v"], "2024-01-01").groupBy("k").agg(F.count("*").alias("n"))
+    begin, end, customer = F.lit("2020-01-01").cast("date"), F.lit(dimensions.FOREVER).cast("date"), _t(spark, sf_dir, "customer")
+    v = lambda text: customer.select(F.col("c_custkey").alias("k"), F.expr(text).alias("v"))
+    dim = v("CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END").withColumn("valid_from", begin).withColumn("valid_to", end).withColumn("is_current", F.lit(True))
+    return dimensions.scd2(dim, v("CASE WHEN c_custkey % 4 > 0 THEN c_mktsegment END"), "k", ["v"], "2024-01-01").groupBy("k").agg(F.count("*").alias("n"))
 
 
 def _score(spark, sf_dir):
@@ -366,30 +367,32 @@ def _refused(spark, sf_dir):
 
 
 def _team_cost(spark, sf_dir):
-    rows = spark.createDataFrame([("/* team=red */ SELECT 1", 5), ("/* team=blue */ SELECT 2", 7), ("/* team=red */ SELECT 3", 1), ("SELECT 4", 2)], "text string, cost int")
+    """The cost of statements by the team that their comment names."""
+    text = F.when(F.col("event_id") % 5 > 0, F.concat(F.lit("/* team="), F.col("event_type"), F.lit(" */ SELECT "), F.col("event_id"))).otherwise(F.concat(F.lit("SELECT "), F.col("event_id")))
+    rows = _t(spark, sf_dir, "events").select(text.alias("text"), (F.col("event_id") % 10).alias("cost"))
     return rows.groupBy(F.coalesce(F.nullif(F.regexp_extract("text", r"team=(\w+)", 1), F.lit("")), F.lit("none")).alias("team")).agg(F.sum("cost").alias("cost"))
 
 
 QUERIES = [
-    Query("s04_register_partitions", _partitions, "SELECT 1 AS first_, 2 AS second_"),
-    Query("s26_store_items", _items, "SELECT * FROM (VALUES (1, 'a', 3), (2, 'b', NULL)) AS t(id, name, qty)"),
+    Query("s04_register_partitions", _partitions, "SELECT after_, o_orderstatus, count(*) AS n FROM orders JOIN (VALUES ('F', 'F'), ('O', 'F'), ('O', 'O')) AS t(after_, s) ON s = o_orderstatus GROUP BY 1, 2"),
+    Query("s26_store_items", _items, "SELECT p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 3 > 0 THEN p_size END AS qty FROM part"),
     Query("s27_shared_tables", _share, "SELECT n_name, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"),
     Query("d18_table_lock", _lock, "SELECT r_regionkey, 3 * count(*) AS n, 'refused while held, refused when outrun' AS what FROM region GROUP BY 1"),
     Query("d26_schemas", _databases, "SELECT true AS made, false AS left_"),
     Query("v08_refused_definitions", _refused, "SELECT * FROM (VALUES (0, true), (1, true), (2, true), (3, false)) AS t(k, refused)"),
     Query("v14_refresh_by_control", _mv_by_control, "SELECT 'by_status' AS step, 'DONE' AS status, count(DISTINCT o_orderstatus) AS n FROM orders UNION ALL SELECT 'by_priority', 'DONE', count(DISTINCT o_orderpriority) FROM orders"),
-    Query("v16_external_view", _mv_external, "SELECT CAST(10 AS BIGINT) AS before_, CAST(25 AS BIGINT) AS after_"),
+    Query("v16_external_view", _mv_external, "SELECT count(CASE WHEN n_nationkey < 10 THEN 1 END) AS before_, count(*) AS after_ FROM nation"),
     Query("c05_cursor", _cursor, "SELECT CAST(row_number() OVER (ORDER BY r_regionkey) - 1 AS INT) AS k, r_name AS name FROM region"),
     Query("c08_row_count", _row_count, "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F'"),
-    Query("c09_raise_with_context", _raise, "SELECT true AS context, CAST(5 AS BIGINT) AS n, 'FAILED' AS status"),
-    Query("c13_nested_calls", _nested, "SELECT * FROM (VALUES ('load', CAST(25 AS BIGINT)), ('again', 25), ('all', 50)) AS t(step, n)"),
+    Query("c09_raise_with_context", _raise, "SELECT true AS context, count(*) AS n, 'FAILED' AS status FROM region"),
+    Query("c13_nested_calls", _nested, "SELECT 'load' AS step, count(*) AS n FROM nation UNION ALL SELECT 'again', count(*) FROM nation UNION ALL SELECT 'all', 2 * count(*) FROM nation"),
     Query("c18_stage_table", _stage_table, "SELECT c_nationkey, o_custkey, CAST(r AS INT) AS r FROM (SELECT c_nationkey, o_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY spent DESC, o_custkey) AS r FROM (SELECT o_custkey, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS spent FROM orders GROUP BY 1) JOIN customer ON o_custkey = c_custkey) WHERE r <= 10"),
     Query("c20_session_setting", _setting, "SELECT 'b9' AS batch"),
     Query("y01_roles", _roles, "SELECT * FROM (VALUES ('reader', true), ('writer', true), ('admin', true), ('nobody', false)) AS t(role, may_insert)"),
-    Query("b02_query_log", _log, "SELECT * FROM (VALUES ('nations', CAST(25 AS BIGINT)), ('regions', 5)) AS t(label, n)"),
-    Query("b03_load_log", _loads, "SELECT * FROM (VALUES ('nation', 'unload', CAST(25 AS BIGINT)), ('nation', 'load', 25), ('region', 'unload', 5), ('region', 'load', 5)) AS t(table_, what, n)"),
+    Query("b02_query_log", _log, "SELECT 'nations' AS label, count(*) AS n FROM nation UNION ALL SELECT 'regions', count(*) FROM region"),
+    Query("b03_load_log", _loads, "SELECT t AS table_, what, n FROM (SELECT 'nation' AS t, count(*) AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region) CROSS JOIN (VALUES ('unload'), ('load')) AS w(what)"),
     Query("b07_diagnose", _diagnose, "SELECT false AS good, true AS bad"),
-    Query("e07_null_safe_scd2", _null_safe_scd2, "SELECT * FROM (VALUES (1, CAST(2 AS BIGINT)), (2, 2), (3, 1), (4, 2)) AS t(k, n)"),
+    Query("e07_null_safe_scd2", _null_safe_scd2, "SELECT c_custkey AS k, CASE WHEN (c_custkey % 3 = 0) <> (c_custkey % 4 = 0) THEN CAST(2 AS BIGINT) ELSE 1 END AS n FROM customer"),
     Query("e11_metrics_rebuild", _metrics, "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1"),
     Query("e14_sales_lines", _lines, "SELECT count(DISTINCT line_id) AS n, CAST((SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey HAVING count(*) > 1)) AS BIGINT) AS repeats FROM (SELECT md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS line_id FROM lineitem)"),
     Query("e15_copy_then_merge", _copy_merge, "SELECT n_nationkey, CASE WHEN n_nationkey >= 15 THEN lower(n_name) ELSE n_name END AS n_name, n_regionkey, true AS refused FROM nation"),
@@ -401,5 +404,5 @@ QUERIES = [
     Query("e23_events_elt", _elt, "SELECT count(*) AS n, CAST(max(CAST(json_extract_string(props, '$.k') AS INT)) AS INT) AS top FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL"),
     Query("e36_report_refresh", _reports, "SELECT * FROM (VALUES (0, 'base'), (1, 'mid'), (2, 'top')) AS t(k, name)"),
     Query("e37_batch_scoring", _score, "SELECT true AS good, count(DISTINCT o_custkey) AS n FROM orders"),
-    Query("e38_team_cost", _team_cost, "SELECT * FROM (VALUES ('red', CAST(6 AS BIGINT)), ('blue', 7), ('none', 2)) AS t(team, cost)"),
+    Query("e38_team_cost", _team_cost, "SELECT CASE WHEN event_id % 5 > 0 THEN event_type ELSE 'none' END AS team, CAST(sum(event_id % 10) AS BIGINT) AS cost FROM events GROUP BY 1"),
 ]

@@ -90,7 +90,8 @@ def _denied(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([("Anna@x.org", "123-45-6789")], "mail string, ssn string").select(mask_email(F.col("mail")).alias("mail"), mask_digits(F.col("ssn")).alias("ssn"))
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey", "concat(c_mktsegment, '@X.org') AS mail", "concat('12', c_custkey % 10, '-45-', 6000 + c_custkey % 1000) AS ssn")
+    return rows.select("c_custkey", mask_email(F.col("mail")).alias("mail"), mask_digits(F.col("ssn")).alias("ssn"))
 
 
 def _privileges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +136,7 @@ QUERIES = [
     Query("y02_column_grant", lambda s, d: Policies().grant("r", "nation", ["n_name"]).attach_rows("r", "nation", F.lit(True)).view("r", "nation", s.read.parquet(f"{d}/nation.parquet")), "SELECT n_name FROM nation"),
     Query("y03_row_policy", _seen, "SELECT c_custkey, '***' || right(c_name, 3) AS c_name FROM customer WHERE c_nationkey = 3"),
     Query("y03_default_deny", _denied, "SELECT true AS refused, CAST(0 AS BIGINT) AS guest_rows, true AS protects, false AS free"),
-    Query("y04_masking", _masks, "SELECT 'an***@x.org' AS mail, 'XXX-XX-6789' AS ssn"),
+    Query("y04_masking", _masks, "SELECT c_custkey, left(lower(c_mktsegment), 2) || '***@x.org' AS mail, 'XXX-XX-' || (6000 + c_custkey % 1000) AS ssn FROM customer"),
     Query("y06_odd_hours", lambda s, d: odd_hours(s.read.parquet(f"{d}/events.parquet")), "SELECT user_id, count(*) AS n FROM events WHERE hour(ts) NOT BETWEEN 7 AND 19 GROUP BY 1"),
     Query("b01_table_health", lambda s, d: health(s.read.parquet(f"{d}/orders.parquet"), "o_custkey"), "SELECT CAST(sum(n) AS BIGINT) AS rows_, count(*) AS keys, round(max(n) / avg(n), 4) AS skew FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)"),
     Query("b08_recovery_check", lambda s, d: s.createDataFrame([(n,) for n in empty_tables({t: s.read.parquet(f"{d}/{t}.parquet") for t in ("nation", "orders")} | {"gone": s.read.parquet(f"{d}/nation.parquet").limit(0)})], "name string"), "SELECT 'gone' AS name"),
