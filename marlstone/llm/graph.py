@@ -53,8 +53,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Edges are first contracted within tasks. Then stars alternate: small-star hangs every node and its smaller
     neighbours under the smallest of them, large-star moves the larger ones on to that one's own parent. Rows stay
-    in proportion to the edges, a node's neighbours are never gathered, and rounds grow with the logarithm of
-    the graph's diameter. Each round is one written table.
+    in proportion to the edges; a node's neighbours are never gathered, and after the contraction a node has at most one
+    parent from each task, so a window over them is short. Rounds grow with the logarithm of the graph's diameter. Each round is one written table.
     """
     pairs = edges.filter("a <> b").select(F.greatest("a", "b").alias("child"), F.least("a", "b").alias("parent"))
     now = checkpointed(pairs.mapInArrow(_contracted, "child long, parent long").distinct())

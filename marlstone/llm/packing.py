@@ -5,7 +5,8 @@ then a remainder in pieces of at most ``max_piece``. A task gathers remainders u
 ``group_windows`` windows and balances them by differencing: each piece starts as a partition with one
 filled window; the two partitions of the largest spread merge, the fullest windows of one onto the emptiest
 of the other, until one is left. If a window exceeds the capacity, the count of windows rises and the
-differencing starts again. Groups are local to a task, so nothing shuffles and memory is bounded by one group.
+differencing starts again. Groups are local to a task, so nothing shuffles; memory is bounded by one group and the ids of
+one run of texts, or of one text that is longer (its windows leave the task as they are cut).
 
 Sequence ids are unique over the table: the task's partition in the upper bits, a counter in the lower ones.
 
@@ -115,6 +116,8 @@ def pack_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                     whole = total - total % capacity
                     for start in range(0, whole, capacity):
                         out.window([(doc, start, coded[4 * start : 4 * (start + capacity)], total)])
+                        if len(out.rows) >= 2048:
+                            yield out.take()
                     cuts = [*range(whole, total, max_piece), total]  # the odd ends are what differencing evens out with
                     rest += [(doc, a, coded[4 * a : 4 * b], total) for a, b in zip(cuts, cuts[1:])]
                     waiting += total - whole
