@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,11 +57,6 @@ def _sliding(spark, sf_dir):
     return table.read()
 
 
-def _sessions(spark, sf_dir):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    return streams.session_counts(events).groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("n"))
-
-
 def _promote(spark, sf_dir):
     """Gold rows beyond the largest sequence number, batch by batch."""
     table, at = _table(spark, "gold")
@@ -116,6 +113,19 @@ def _arriving(spark: SparkSession, runs: list[DataFrame]) -> DataFrame:
     return streams.event_stream(spark, path, runs[0].schema, files)
 
 
+def _sessions(spark, sf_dir):
+    """Sessions leave the stream when the watermark has passed their end; a last event of nobody, long after all others,
+    moves it past every one of them."""
+    events, (table, at) = spark.read.parquet(f"{sf_dir}/events.parquet"), _table(spark, "sessions")
+    low, high, last = events.agg(F.min("event_id"), F.max("event_id"), F.max("ts")).first()
+    half = F.col("event_id") < (low + high) // 2
+    end = events.limit(1).withColumn("user_id", F.lit(-1).cast("long")).withColumn("ts", F.lit(last + datetime.timedelta(days=30)))
+    stream = _arriving(spark, [events.filter(half), events.filter(~half), end])
+    closed = streams.session_counts(stream).select("user_id", F.col("w.start").cast("string").alias("start_"), "n")
+    streams.run_once(closed, at, streams.upserting(table, ["user_id", "start_"]))
+    return table.read().filter("user_id >= 0").groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("n"))
+
+
 def _late(spark, sf_dir):
     """Windows of a day with ten days of grace. Of the rows that arrive last, those of a day within the grace still count
     and those of days long closed are dropped. (A batch judges lateness by the watermark that the one before began with.)"""
