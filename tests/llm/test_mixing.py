@@ -69,9 +69,9 @@ def test_deviation_from_the_given_weights():
         given = {str(k).zfill(5): (few + k if k else hot) ** 0.5 for k in range(n + 1)}
         whole, slots = mixing.whole_weights(given), 20_000
         plan = mixing.Schedule([whole[s] for s in sorted(given)], [slots // (1 if n < 100 else 50)] + [slots if n < 100 else 30] * n)
-        end = min(plan.last)
+        end, total = min(plan.last), sum(map(Fraction, given.values()))
         for i, s in enumerate(sorted(given)):
-            share = Fraction(given[s]) / sum(map(Fraction, given.values()))
+            share = Fraction(given[s]) / total
             at = plan.slot(i, np.arange(30))
             assert all(abs((s + 1) * share - (j + 1)) < 1 and abs(s * share - j) < 1 for j, s in enumerate(at.tolist()) if s <= end)
 
