@@ -137,7 +137,7 @@ QUERIES = [
     same("w12_nth_value", f"SELECT store, day_, CAST(nth_value(revenue, 2) OVER (PARTITION BY store ORDER BY day_ ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS DOUBLE) AS second_ FROM {_DAYS}"),
     same("w13_running_sum", f"SELECT store, day_, CAST(sum(revenue) OVER (PARTITION BY store ORDER BY day_) AS DOUBLE) AS running FROM {_DAYS}"),
     same("w14_share_of_total", f"SELECT store, day_, round(CAST(revenue AS DOUBLE) * 100 / CAST(sum(revenue) OVER (PARTITION BY store) AS DOUBLE), 4) AS pct FROM {_DAYS}"),
-    same("w15_moving_average", f"SELECT store, day_, round(CAST(avg(CAST(revenue AS DOUBLE)) OVER (PARTITION BY store ORDER BY day_) AS DOUBLE), 4) AS running, round(avg(CAST(revenue AS DOUBLE)) OVER (PARTITION BY store ORDER BY day_ ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS moving FROM {_DAYS}"),
+    same("w15_moving_average", f"SELECT store, day_, round(CAST(avg(CAST(revenue AS DOUBLE)) OVER (PARTITION BY store ORDER BY day_) AS DOUBLE), 6) AS running, round(avg(CAST(revenue AS DOUBLE)) OVER (PARTITION BY store ORDER BY day_ ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS moving FROM {_DAYS}"),
     same("w16_count_over", f"SELECT store, day_, count(*) OVER (PARTITION BY store ORDER BY day_) AS so_far, count(*) OVER (PARTITION BY store) AS total FROM {_DAYS}"),
     same("w17_running_extremes", f"SELECT store, day_, CAST(min(revenue) OVER (PARTITION BY store ORDER BY day_) AS DOUBLE) AS low, CAST(max(revenue) OVER (PARTITION BY store ORDER BY day_) AS DOUBLE) AS high, CAST(max(revenue) OVER () AS DOUBLE) AS top FROM {_DAYS}"),
     same("w18_combined", f"SELECT store, day_, rank() OVER (PARTITION BY store ORDER BY revenue DESC) AS r, CAST(lag(revenue) OVER (PARTITION BY store ORDER BY day_) AS DOUBLE) AS before_, CAST(sum(revenue) OVER (PARTITION BY store ORDER BY day_) AS DOUBLE) AS running FROM {_DAYS}"),
