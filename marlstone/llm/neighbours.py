@@ -137,7 +137,10 @@ def nearest(df: DataFrame, every: int, id_col: str = "vec_id", vector_col: str =
         return spark.createDataFrame([], schema)
     dim, rows = most["dim"], most["count"]
     usable = usable.filter(F.size("v") == dim)
-    held = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, min(sample, SAMPLE_BYTES // (8 * dim)))).toArrow().combine_chunks()
+    # the sample's ids first, which are few bytes to sort; then only its vectors come
+    wanted = max(1, min(sample, SAMPLE_BYTES // (8 * dim)))
+    ids = spark.createDataFrame(usable.select("vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).distinct().collect(), "vec_id long")
+    held = usable.join(F.broadcast(ids), "vec_id").limit(wanted).toArrow().sort_by("vec_id").combine_chunks()
     centroids = int(min(MAX_CENTROIDS, max(4, 2 ** round(np.log2(max(1.0, rows**0.5 / 8))))))
     index = MultiIndex(_matrix(held.column("v").combine_chunks(), dim), centroids, k, target, ids=held.column("vec_id").to_numpy())
     del held
