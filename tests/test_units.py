@@ -6,12 +6,16 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marlstone import catalog
 from marlstone.functions import dialect, geometry
 from marlstone.operators.joins import bucketed, bucketed_range_join, sized_broadcast
+from marlstone.operators.recursion import exploded
 from marlstone.operators.windows import ranked
 from marlstone.plans import control, views
 from marlstone.plans.security import Policies
-from marlstone.plans.tables import Outrun, Table, TableLocked, scratch
+from marlstone.plans.tables import Outrun, Table, TableLocked, ensure_checkpoint_dir, scratch
+
+from .oracle import FOLDER, compare, connect
 
 
 def test_datediff_counts_boundaries(spark):
@@ -175,3 +179,22 @@ def test_buckets_spare_the_exchange(spark):
     rows = bucketed(spark.range(1000).selectExpr("id", "id % 50 AS k"), ["k"], 4)
     plan = rows.join(rows.groupBy("k").count(), "k")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan
+
+
+def test_bill_of_materials_outgrows_the_row_limit(spark):
+    name = "r05_bill_of_materials"
+    spark.conf.set("spark.sql.cteRecursionRowLimit", 50)
+    try:
+        compare(catalog.queries()[name](spark, FOLDER), connect(), catalog.oracle_sql()[name])
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+
+
+def test_quantities_add_up_over_all_ways(spark):
+    ensure_checkpoint_dir(spark)
+    rows = [(1, 2, 3), (1, 3, 2), (2, 4, 5), (3, 4, 7), (3, 4, 1), (4, 5, 2000000000), (1, 5, None), (3, 6, None), (6, 7, 4), (8, 9, 1)]
+    got = exploded(spark.createDataFrame(rows, "parent long, child long, qty int"), 1)
+    assert {r["item"]: r["qty"] for r in got.collect()} == {2: 3, 3: 2, 4: 31, 5: 62000000000, 6: None, 7: None}
+    with pytest.raises(RecursionError):
+        exploded(spark.createDataFrame([(1, 2, 1), (2, 1, 1)], "parent long, child long, qty int"), 1, most=5)
+    assert exploded(spark.createDataFrame(rows, "parent long, child long, qty int"), 99).count() == 0
