@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import glob
 import json
-import uuid
+import os
+import shutil
+import zipfile
+from urllib.parse import urlsplit
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -165,13 +171,41 @@ def _unloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.groupBy("o_orderstatus").agg(F.sum("n").alias("n"), (F.max("n") <= 500).alias("within"))
 
 
+def _database(spark: SparkSession, rows: DataFrame, columns: str) -> str:
+    """The URL of another database that holds the rows as its table CUSTOMER.
+
+    The driver's embedded engine loads the files that the executors wrote. A database that can be written belongs to one
+    process, so it is then closed and put, as read-only, into an archive in the shared folder: every executor opens that.
+    """
+    folder, jvm = scratch(spark, "database"), spark.sparkContext._jvm
+    if jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme() != "file":
+        raise ValueError(f"an embedded database needs a shared folder that is mounted on all machines, not {folder}")
+    at, manager = urlsplit(folder).path, jvm.java.sql.DriverManager
+    rows.write.csv(f"{folder}/rows")
+    link = manager.getConnection(f"jdbc:derby:{at}/remote;create=true")
+    try:
+        link.createStatement().execute(f"CREATE TABLE customer ({columns})")
+        for part in sorted(glob.glob(f"{at}/rows/part-*")):
+            if os.path.getsize(part):
+                link.createStatement().execute(f"CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, 'CUSTOMER', '{part}', ',', '\"', 'UTF-8', 0)")
+    finally:
+        link.close()
+        with contextlib.suppress(Py4JJavaError):  # the engine reports the end of a database as an exception
+            manager.getConnection(f"jdbc:derby:{at}/remote;shutdown=true")
+    with zipfile.ZipFile(f"{at}/remote.jar", "w", zipfile.ZIP_STORED) as jar:  # not compressed: pages are read at their offsets
+        for name in sorted(glob.glob("**", root_dir=f"{at}/remote", recursive=True)):
+            jar.write(f"{at}/remote/{name}", f"remote/{name}")
+    shutil.rmtree(f"{at}/remote")
+    shutil.rmtree(f"{at}/rows")
+    return f"jdbc:derby:jar:({at}/remote.jar)remote"
+
+
 def _federated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table of another database (an embedded one, in this process) read over JDBC: the query runs there, and the read
-    is split by a numeric column."""
-    url = f"jdbc:derby:memory:marlstone_{uuid.uuid4().hex};create=true"
+    """A table of another database (an embedded one) read over JDBC: the query runs there, and the read is split by a
+    numeric column."""
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", "c_acctbal")
-    customer.coalesce(1).write.format("jdbc").options(url=url, dbtable="customer", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").save()
-    top = customer.agg(F.max("c_custkey")).first()[0]
+    url = _database(spark, customer, '"c_custkey" BIGINT, "c_nationkey" INTEGER, "c_acctbal" DOUBLE PRECISION')
+    top = customer.agg(F.max("c_custkey")).first()[0] or 0
     remote = readers.federated(spark, url, 'SELECT "c_custkey", "c_nationkey" FROM customer WHERE "c_acctbal" > 0', '"c_custkey"', (0, top), 4)
     return remote.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.max("c_custkey").alias("top"))
 

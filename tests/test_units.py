@@ -1,6 +1,12 @@
 """Helpers that queries do not reach."""
 
 import datetime
+import importlib.util
+import json
+import os
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,6 +23,16 @@ from marlstone.plans.tables import Outrun, Table, TableLocked, ensure_checkpoint
 
 from .oracle import FOLDER, compare, connect
 
+#: Runs a query where executors are processes of their own, as on a cluster, and prints its rows.
+APART = """
+import json, sys
+from pyspark.sql import SparkSession
+from marlstone import catalog
+name, sf_dir, shared = sys.argv[1:]
+conf = {"spark.master": "local-cluster[2,1,1024]", "spark.executor.memory": "600m", "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.checkpoint.dir": shared}
+print(json.dumps([list(r) for r in catalog.queries()[name](SparkSession.builder.config(map=conf).getOrCreate(), sf_dir).collect()]))
+"""
+
 
 def test_datediff_counts_boundaries(spark):
     row = spark.createDataFrame([("2023-12-31 23:59:59", "2024-01-01 00:00:01")], "a string, b string").select(*(F.col(c).cast("timestamp_ntz").alias(c) for c in "ab"))
@@ -198,3 +214,25 @@ def test_quantities_add_up_over_all_ways(spark):
     with pytest.raises(RecursionError):
         exploded(spark.createDataFrame([(1, 2, 1), (2, 1, 1)], "parent long, child long, qty int"), 1, most=5)
     assert exploded(spark.createDataFrame(rows, "parent long, child long, qty int"), 99).count() == 0
+
+
+def test_executors_read_the_other_database(spark, tmp_path):
+    home = tmp_path / "home"  # Spark's, as executors write their logs there
+    home.mkdir()
+    for p in Path(importlib.util.find_spec("pyspark").origin).parent.iterdir():
+        if p.name != "work":
+            (home / p.name).symlink_to(p)
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_", "SPARK_"))}
+    env |= {"SPARK_HOME": str(home), "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_SCALA_VERSION": "2.13", "PYSPARK_PYTHON": sys.executable, "PYTHONPATH": str(Path(__file__).parents[1])}
+    run = subprocess.run([sys.executable, "-c", APART, "s25_federated", FOLDER, f"file://{tmp_path}/shared"], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert run.returncode == 0, run.stderr[-2000:]
+    want = connect().execute(catalog.oracle_sql()["s25_federated"]).fetchall()
+    assert sorted(map(tuple, json.loads(run.stdout))) == sorted(want)
+
+
+def test_the_other_database_holds_nulls_and_no_rows(spark, tmp_path):
+    columns = "c_custkey long, c_nationkey int, c_acctbal double"
+    for name, rows in (("none", []), ("odd", [(None, 1, 2.5), (-7, None, 1e-9), (3, 1, None), (None, None, None), (9, 1, -1.0)])):
+        spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/{name}/customer.parquet")
+        got = catalog.queries()["s25_federated"](spark, f"{tmp_path}/{name}").collect()
+        assert sorted(map(tuple, got), key=str) == ([(1, 1, None), (None, 1, -7)] if rows else [])
