@@ -36,8 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import wordtok
 from .graph import components
-from .storage import carried, checkpointed, numbered, scope, small_batches
+from .storage import BATCH_BYTES, carried, checkpointed, numbered, scope, small_batches
 from .textkit import Words, mixed, noise, runs, windows
 
 WIDTH, REGISTERS, ROWS, BASE, RATE, TOP = 5, 144, 4, 1.001, 20.0, 65534
@@ -117,6 +118,7 @@ def sketch(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per document: doc_id, text_hash, n_shingles, set_key (16 bytes that tell sets apart), registers."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wordtok.release()
         for batch in rows:
             ids, hashes, at = batch.column(0), batch.column(1), 0
             for texts in runs(batch.column(2).to_pylist()):
@@ -217,6 +219,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             if not batch.num_rows:
                 continue
             carried.append(batch)
+            if all(batch.column(k)[-1] == carried[0].column(k)[0] for k in range(3)):
+                continue  # the run may go on; its batches are put together once
         if not carried:
             continue
         table = pa.Table.from_batches(carried).combine_chunks()
@@ -296,7 +300,7 @@ def _open_links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame
 
 def _grouped(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """One row per row: doc_id, text_hash, n_shingles, component_id."""
-    small_batches(df.sparkSession)
+    small_batches(df.sparkSession, BATCH_BYTES)
     with scope(df.sparkSession):
         rows = checkpointed(sketch(df, id_col, text_col), lasting=True)
         linked = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")

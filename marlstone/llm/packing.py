@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordtok
-from .storage import small_batches
+from .storage import BATCH_BYTES, small_batches
 
 CAPACITY, MAX_PIECE, GROUP_WINDOWS, END_ID = 2048, 256, 64, 1
 #: A group is closed at this share of its windows' capacity: differencing leaves the fullest window about so much above the mean.
@@ -97,7 +97,7 @@ class _Output:
 
 def pack_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, max_piece: int = MAX_PIECE, group_windows: int = GROUP_WINDOWS) -> DataFrame:
     """One row per piece, with its ids (little-endian uint32) and its place in a sequence."""
-    small_batches(df.sparkSession)
+    small_batches(df.sparkSession, BATCH_BYTES)
     if not 0 < max_piece <= capacity:
         raise ValueError("max_piece must lie between 1 and the capacity")
 

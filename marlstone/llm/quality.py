@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import carried, numbered, small_batches
+from . import wordtok
+from .storage import BATCH_BYTES, carried, numbered, small_batches
 
 BLOCK, TAPS, FILTERS, LAGS, HIDDEN = 64, 3, 12, 32, 16
 SEGMENT = 1 << 18
@@ -244,16 +245,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, network: Network, text_col: str = "text", to: str = "score", keep: list[str] | None = None) -> DataFrame:
     """The rows, or their columns in ``keep``, with a column for the probability of a good text."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH_BYTES)
     kept = carried(docs, [to], keep)
     schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField(to, T.DoubleType())])
+    width, names = len(kept), schema.names[: len(kept)]
+    at = names.index(text_col) if text_col in names and "." not in text_col else width  # a text that is carried along is sent once
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wordtok.release()
         for batch in rows:
-            scores = [network.score((t or "").encode()) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], schema.names)
+            scores = [network.score((t or "").encode()) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(scores, pa.float64())], schema.names)
 
-    return docs.select(*numbered(kept), F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*numbered(kept), *[F.col(text_col).alias("__text")] * (at == width)).mapInArrow(run, schema)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,12 +55,18 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Fewer rows to an Arrow batch, where the session has the default: a row here is a whole text."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, "2000")
+def small_batches(spark: SparkSession, most_bytes: int | None = None) -> None:
+    """Fewer rows to an Arrow batch, and about so many bytes, where the session has the defaults: a row here is a whole text.
 
+    An executor's JVM and each of its Python workers hold several copies of a batch, and the JVM keeps their memory."""
+    for name, default, fewer in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", "67108864b", most_bytes)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if fewer and spark.conf.get(name) == default:
+            spark.conf.set(name, str(fewer))
+
+
+#: Bytes of an Arrow batch of texts at about most, where all of a table's columns travel; a longer text makes a batch of its own.
+BATCH_BYTES = 2 << 20
 
 _held = threading.local()
 

@@ -7,6 +7,8 @@ distinct word is encoded by the library's model once. Any other text goes to the
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import json
 import os
 import re
@@ -20,7 +22,7 @@ OTHER = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-\\xa9\\xab\\xac\\xae-\\xb1\\xb4-
 #: The pre-tokenizer's pattern, for those characters. Fixed by the tokenizer file.
 _WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 _PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-#: Strings, and words of strings, in one generation of the caches at about most.
+#: Strings and words of strings in one generation of the cache at about most.
 CACHE_WORDS = 250_000
 
 
@@ -34,48 +36,50 @@ BYTE_CHARACTERS = _byte_characters()
 
 
 class _Known(dict):
-    """Ids of strings without white space; one that is missing is cut into words, which have a cache of their own.
+    """Ids of strings without white space and of words; a string that is missing is cut into words.
 
-    Both are held in two generations: what an older one has moves on when it is asked for, the rest ages out.
+    They are held once, in two generations: what the older one has moves on when it is asked for, the rest ages out.
     """
 
     def __init__(self, tokenize):
         super().__init__()
         self._older: dict[str, bytes] = {}
-        self._words: dict[str, bytes] = {}
-        self._older_words: dict[str, bytes] = {}
         self._tokenize = tokenize
 
     def age(self, most: int) -> None:
         if len(self) > most:
+            self._older.clear()  # before the younger one is copied
             self._older = dict(self)
             self.clear()
-        if len(self._words) > most:
-            self._older_words, self._words = self._words, {}
+
+    def _word(self, w: str) -> bytes:
+        mapped = w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+        ids = self[w] = array("I", [t.id for t in self._tokenize(mapped)]).tobytes()
+        return ids
 
     def __missing__(self, x: str) -> bytes:
-        out = self._older.get(x)
+        older = self._older
+        out = older.get(x)
         if out is not None:
             self[x] = out
             return out
-        words = self._words
         if x.isalpha():
-            parts = (x,)
-        elif x[:-1].isalpha():  # letters, then one mark or digit: two words whatever they are
+            return self._word(x)
+        if x[:-1].isalpha():  # letters, then one mark or digit: two words whatever they are
             parts = (x[:-1], x[-1])
         else:
             parts = _WORDS.findall(x)
+            if parts == [x]:
+                return self._word(x)
         out, seen = b"", True
         for w in parts:
-            ids = words.get(w)
-            if ids is None:
-                ids = self._older_words.get(w)
-                if ids is not None:
-                    words[w] = ids
+            ids = self.get(w)
             if ids is None:
-                seen = False
-                mapped = w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_CHARACTERS)
-                ids = words[w] = array("I", [t.id for t in self._tokenize(mapped)]).tobytes()
+                ids = older.get(w)
+                if ids is None:
+                    seen, ids = False, self._word(w)
+                else:
+                    self[w] = ids
             out += ids
         if seen:  # strings of words met for the first time may never come again
             self[x] = out
@@ -93,6 +97,14 @@ def load(path: str, cache_words: int = CACHE_WORDS) -> "WordTokenizer":
     return _loaded[path]
 
 
+def release() -> None:
+    """Lets go of the tokenizers that an earlier stage left in this Python worker; stages without one begin with it."""
+    if _loaded:
+        _loaded.clear()
+        with contextlib.suppress(OSError, AttributeError):  # glibc alone keeps freed memory and has this call
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 class WordTokenizer:
     """Encodes texts to little-endian uint32 ids, special tokens not added."""
 
@@ -123,7 +135,7 @@ class WordTokenizer:
         return [b"".join(map(known, found)) if found is not None else np.array(self._library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, found in zip(texts, cut)]
 
 
-def batches(texts: Iterable[str | None], most_chars: int = 2_000_000) -> Iterator[list[str]]:
+def batches(texts: Iterable[str | None], most_chars: int = 500_000) -> Iterator[list[str]]:
     """Texts in runs of about so many characters at most; a longer text makes a run of its own. None counts as empty."""
     run, size = [], 0
     for t in texts:

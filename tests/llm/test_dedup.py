@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from marlstone.llm import exact_dedup, near_dedup, substrings, textkit
@@ -116,6 +117,14 @@ def test_chains_of_near_copies(spark):
     check_near(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_runs_go_on_over_batches():
+    keys = [(b, i, 0) for b in range(4) for i in range(3) for _ in range((1, 50, 7)[i])]
+    table = pa.Table.from_arrays([*(pa.array(c) for c in zip(*keys)), pa.array(range(len(keys)))], ["bucket", "i", "j", "rep"])
+    for size in (1, 3, 10, 1000):
+        blocks = [b.to_pydict() for b in near_dedup._blocks(iter(table.to_batches(size)))]
+        assert [len(b["rep"]) for b in blocks] == [1, 50, 7] * 4 and sum((b["rep"] for b in blocks), []) == list(range(len(keys)))
+
+
 def test_blocks_of_a_bucket(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
     monkeypatch.setattr(near_dedup, "SHARE", 4)

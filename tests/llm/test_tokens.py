@@ -33,6 +33,17 @@ def test_cached_encoding_equals_library(library):
     assert got == [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_cache_holds_a_string_once(library):
+    words = ["".join(random.choice("abcdefgh") for _ in range(9)) for _ in range(3000)]
+    texts = [" ".join(words[k : k + 10]) for k in range(0, 3000, 10)]
+    tok = wordtok.WordTokenizer(PATH, cache_words=2000)
+    for _ in range(2):
+        got = [x for part in wordtok.batches(texts, 2000) for x in tok.encode(part)]
+    assert got == [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    held = [tok._cache, *(v for v in vars(tok._cache).values() if isinstance(v, dict))]
+    assert sum(map(len, held)) <= 2 * 2000 + 400  # two generations, and the strings of one run
+
+
 def test_checksums():
     assert records.crc32c([b"123456789", b""]).tolist() == [0xE3069283, 0]
     blobs = [bytes(random.randrange(256) for _ in range(n)) for n in (0, 1, 255, 256, 257, 1000, 5000)]
