@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from marlstone.llm import exact_dedup, mixing, near_dedup, packing, quality
-from marlstone.llm.storage import carried, fresh_dir, remove, until_exit, unused
+from marlstone.llm.storage import carried, fresh_dir, remove, small_table, until_exit, unused
 
 TOKENIZER = "word_bpe_49k.json"
+#: Words in a generation of the encoder's cache: fewer than the operator has alone, as executors here hold what earlier stages left.
+CACHE_WORDS = 100_000
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +58,7 @@ def in_file_order(docs: DataFrame) -> DataFrame:
     number = lambda path: (int(m[1]) if (m := re.search(r"part-(\d+)[^/]*$", path)) else 0, path)
     sizes = sorted(rows.groupBy(file).count().collect(), key=lambda r: number(r[file]))  # one row for each file
     before = [0, *itertools.accumulate(r["count"] for r in sizes)]
-    firsts = spark.createDataFrame([(r[file], n) for r, n in zip(sizes, before)], f"{file} string, {before_file} long")
+    firsts = small_table(spark, [(r[file], n) for r, n in zip(sizes, before)], f"{file} string, {before_file} long")
     placed = rows.join(F.broadcast(firsts), file).select(*kept, (F.col(before_file) + F.col(row)).alias("mix_position"))
     tasks = max(len(sizes), int(spark.conf.get("spark.sql.shuffle.partitions")))  # the mix has a file for each task that read its input
     return mixing.in_order(placed, before[-1], tasks).select(*kept)
@@ -66,7 +68,7 @@ def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Pieces of documents with their ids and their places in sequences, in the order of the mix."""
     import public_tokenizers
 
-    return packing.pack_documents(in_file_order(docs), public_tokenizers.path(TOKENIZER))
+    return packing.pack_documents(in_file_order(docs), public_tokenizers.path(TOKENIZER), cache_words=CACHE_WORDS)
 
 
 STAGES = [

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .storage import carried, numbered, parts
+from .storage import carried, numbered, parts, small_table
 
 BLOCK_ROWS, SLOTS, ALPHA = 16, 1 << 20, 0.5
 BUCKET_ROWS, MAX_BUCKETS = 1000, 100_000
@@ -157,10 +157,10 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, id_col: str = "d
     per_bucket = max(BUCKET_ROWS, -(-total // MAX_BUCKETS))
     side = [(s, k, -(-counts[s] // per_bucket)) for k, s in enumerate(names)]
     schema = "source string, k int, buckets long"
-    large = spark.createDataFrame(sorted(side, key=lambda r: -r[2])[:MOST_BROADCAST], schema)
+    large = small_table(spark, sorted(side, key=lambda r: -r[2])[:MOST_BROADCAST], schema)
     named = rows.join(F.broadcast(large), "source")
     if len(side) > MOST_BROADCAST:  # the others hold less than a MOST_BROADCAST-th of all rows each
-        named = named.unionByName(rows.join(F.broadcast(large), "source", "left_anti").join(spark.createDataFrame(side, schema), "source"))
+        named = named.unionByName(rows.join(F.broadcast(large), "source", "left_anti").join(small_table(spark, side, schema), "source"))
     rows = named.withColumn("bucket", F.pmod("hash", "buckets"))
     tasks = parts(df)
     sizes = rows.filter("buckets > 1").groupBy("k", "bucket").count().collect()  # at most 2 * MAX_BUCKETS rows
@@ -169,7 +169,7 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, id_col: str = "d
     for k, bucket, n in sorted(map(tuple, sizes)):
         before.append((k, bucket, sums[k]))
         sums[k] += n
-    firsts = spark.createDataFrame(before, "k int, bucket long, before long")
+    firsts = small_table(spark, before, "k int, bucket long, before long")
     order = Window.partitionBy("k", "bucket").orderBy("hash", "id")
     index = F.coalesce("before", F.lit(0)) + F.row_number().over(order) - 1
     placed = rows.repartition(tasks, "k", "bucket").join(F.broadcast(firsts), ["k", "bucket"], "left").withColumn("at", index).withColumn("block", F.floor(F.col("at") / block_rows))

@@ -95,14 +95,14 @@ class _Output:
         return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], pa.binary())], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
 
-def pack_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, max_piece: int = MAX_PIECE, group_windows: int = GROUP_WINDOWS) -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, max_piece: int = MAX_PIECE, group_windows: int = GROUP_WINDOWS, cache_words: int = wordtok.CACHE_WORDS) -> DataFrame:
     """One row per piece, with its ids (little-endian uint32) and its place in a sequence."""
     small_batches(df.sparkSession, BATCH_BYTES)
     if not 0 < max_piece <= capacity:
         raise ValueError("max_piece must lie between 1 and the capacity")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, end = wordtok.load(tokenizer), np.array([end_id], "<u4").tobytes()
+        tok, end = wordtok.load(tokenizer, cache_words), np.array([end_id], "<u4").tobytes()
         out = _Output(TaskContext.get().partitionId() << 32)
         goal = max(capacity, int(capacity * group_windows * FILL))
         rest: list[tuple] = []

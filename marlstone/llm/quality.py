@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import wordtok
-from .storage import BATCH_BYTES, carried, numbered, small_batches
+from .storage import BATCH_BYTES, carried, numbered, small_batches, small_table
 
 BLOCK, TAPS, FILTERS, LAGS, HIDDEN = 64, 3, 12, 32, 16
 SEGMENT = 1 << 18
@@ -225,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     those that fit into ``sample_bytes`` bytes together (a text that is too long for what is left is passed over)."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("__id")).agg(F.avg(label_col).alias("__good"))
-    chosen = docs.sparkSession.createDataFrame(known.orderBy(F.xxhash64("__id"), "__id").limit(sample).collect(), known.schema)
+    chosen = small_table(docs.sparkSession, known.orderBy(F.xxhash64("__id"), "__id").limit(sample).collect(), known.schema)
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     texts = docs.select(F.col(id_col).alias("__id"), raw.alias("__raw"))
     sizes = texts.join(F.broadcast(chosen), "__id").select("__id", F.xxhash64("__raw").alias("__hash"), F.octet_length("__raw").alias("__size"))
@@ -236,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             left -= r["__size"]
     if not taken:
         return Network.fresh()
-    wanted = docs.sparkSession.createDataFrame(sorted(taken), sizes.select("__id", "__hash").schema)
+    wanted = small_table(docs.sparkSession, sorted(taken), sizes.select("__id", "__hash").schema)
     found = texts.join(F.broadcast(chosen.join(wanted, "__id")), (texts["__id"] == wanted["__id"]) & (F.xxhash64("__raw") == F.col("__hash")))
     rows = {(r[0], r[1]): (bytes(r[2]), r[3]) for r in found.select(texts["__id"], "__hash", "__raw", "__good").dropDuplicates(["__id", "__hash"]).collect()}
     ordered = [rows[k] for k in sorted(rows)]

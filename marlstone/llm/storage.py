@@ -8,8 +8,11 @@ import threading
 import uuid
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 def carried(df: DataFrame, added: Iterable[str], keep: list[str] | None = None) -> list[str]:
     """Names of the columns to carry along, quoted, without those that an added column replaces (in any case)."""
@@ -68,6 +71,17 @@ def small_batches(spark: SparkSession, most_bytes: int | None = None) -> None:
 #: Bytes of an Arrow batch of texts at about most, where all of a table's columns travel; a longer text makes a batch of its own.
 BATCH_BYTES = 2 << 20
 
+
+def small_table(spark: SparkSession, rows: list, schema: str | T.StructType) -> DataFrame:
+    """The driver's rows as a table, by way of Arrow: of plain rows Spark makes one in Python workers of another pool, which
+    then stay in each executor beside those of the operators."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if not all(isinstance(f.dataType, (T.NumericType, T.StringType, T.BinaryType, T.BooleanType)) for f in schema):
+        return spark.createDataFrame(rows, schema)
+    columns = [pa.array([r[k] for r in rows], to_arrow_type(f.dataType)) for k, f in enumerate(schema)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema.names), schema)
+
+
 _held = threading.local()
 
 

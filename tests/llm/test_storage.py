@@ -5,7 +5,7 @@ import os
 import pyarrow as pa
 import public_tokenizers
 
-from marlstone.llm import exact_dedup, near_dedup, quality, storage, wordtok
+from marlstone.llm import exact_dedup, mixing, near_dedup, quality, storage, wordtok
 
 
 def tables(spark):
@@ -64,3 +64,12 @@ def test_other_stages_let_go_of_tokenizers(docs, monkeypatch):
         wordtok.load(path)
         assert not list(run(iter([]))) and not wordtok._loaded
     assert len(found) == 2
+
+
+def test_small_tables_need_no_python_workers(spark, docs):
+    plans = [storage.small_table(spark, rows, "a long, b string, c double") for rows in ([], [(1, "x", 0.5), (None, None, None)])]
+    assert [list(map(tuple, p.collect())) for p in plans] == [[], [(1, "x", 0.5), (None, None, None)]]
+    assert all(p._jdf.queryExecution().analyzed().toString().startswith("LocalRelation") for p in plans)
+    assert "ExternalRDD" not in (plan := mixing.mix(docs.repartition(2))._jdf.queryExecution().analyzed().toString()) and plan.count("LocalRelation") >= 2
+    when = spark.sql("SELECT TIMESTAMP '2020-01-02 03:04:05' AS t")
+    assert storage.small_table(spark, when.collect(), when.schema).collect() == when.collect()
