@@ -33,8 +33,8 @@ from . import wordtok
 from .storage import fresh_dir, small_batches, until_exit
 
 END_ID = 2
-#: Words in a generation of the encoder's cache: this operator holds little else.
-CACHE_WORDS = 400_000
+#: Strings and words in a generation of the encoder's cache: this operator holds little else.
+CACHE_WORDS = 640_000
 #: Fixed by the checksum's definition: the reflected Castagnoli polynomial and the mask's constant.
 _POLYNOMIAL, _MASK = 0x82F63B78, 0xA282EAD8
 _LANE = 256
